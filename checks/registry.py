@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from checks.relations import (
     BASE_YEAR, GROUPS, PERIODS, PROJECTION_SHIFT, TRADE, Trade, trade,
 )
-from checks.sqltext import dbl, half_even, query
+from checks.sqltext import cents, dbl, half_even, query
 from fluxbook.functions import masks
 from fluxbook.operators import concessional, filters, joins, names, periods, reshape, scenarios as sc, series, totals
 from fluxbook.plans import charts, flows as fl, reports, scenario_reports as sr
@@ -40,6 +40,11 @@ def finish(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").cast("decimal(38,4)").cast("double") for c in money})
 
 
+def to_cents(df: DataFrame, *columns: str) -> DataFrame:
+    """Scaled amounts rounded to two digits."""
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), 2) for c in columns or ("value",)})
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -428,18 +433,18 @@ def _scenario_pairs(t: Trade) -> DataFrame:
 
 
 PAIRS = "year, country, continent, income_level, prices, scenario"
-PAIR_VALUES = f"{dbl('inflows')} AS inflows, {dbl('outflows')} AS outflows"
-PAIR_SUMS = f"{dbl('coalesce(sum(inflows), 0)')}, {dbl('coalesce(sum(outflows), 0)')}"
+PAIR_VALUES = f"{cents('inflows')} AS inflows, {cents('outflows')} AS outflows"
+PAIR_SUMS = f"{cents('coalesce(sum(inflows), 0)')}, {cents('coalesce(sum(outflows), 0)')}"
 register(
     "income_aggs_scen",
-    lambda t: totals.append_scenario_income_levels(_scenario_pairs(t), TRADE.developing),
+    lambda t: totals.append_scenario_income_levels(_scenario_pairs(t), TRADE.developing).transform(to_cents, "inflows", "outflows"),
     f"""SELECT {PAIRS}, {PAIR_VALUES} FROM scenario_pairs
     UNION ALL SELECT year, income_level, NULL, NULL, 'current', scenario, {PAIR_SUMS} FROM scenario_pairs
     WHERE country <> 'Developing countries' AND income_level <> 'High income' GROUP BY year, income_level, scenario""",
 )
 register(
     "africa_agg_scen",
-    lambda t: totals.append_scenario_africa(_scenario_pairs(t), TRADE.africa),
+    lambda t: totals.append_scenario_africa(_scenario_pairs(t), TRADE.africa).transform(to_cents, "inflows", "outflows"),
     f"""SELECT {PAIRS}, {PAIR_VALUES} FROM scenario_pairs
     UNION ALL SELECT year, continent, NULL, NULL, 'current', scenario, {PAIR_SUMS} FROM scenario_pairs
     WHERE continent = 'AFRICA' GROUP BY year, continent, scenario""",
@@ -588,11 +593,9 @@ def _constant_series(t: Trade) -> DataFrame:
 
 register(
     "constant_series",
-    lambda t: _constant_series(t).transform(rounded, 3, "constant_usd_gni").transform(
-        rounded, 3, "usd_usd_deflator", "lcu_lcu_deflator"
-    ),
-    """SELECT u.year, u.iso_code, round(u.usd, 3) AS usd_usd_deflator, round(l.lcu, 3) AS lcu_lcu_deflator,
-        round(g.constant_usd_gni, 3) AS constant_usd_gni
+    _constant_series,
+    """SELECT u.year, u.iso_code, round(u.usd, 4) AS usd_usd_deflator, round(l.lcu, 4) AS lcu_lcu_deflator,
+        round(g.constant_usd_gni, 4) AS constant_usd_gni
     FROM (SELECT year, iso_code, 100 * value AS usd FROM rebased WHERE indicator = 'NGDPD' AND year <= 1999
         UNION ALL SELECT r.year, r.iso_code, 100 * (100 * r.value) / e.exchange_deflator
         FROM rebased r JOIN exchange e ON e.year = r.year AND e.iso_code = r.iso_code
@@ -604,11 +607,9 @@ register(
 )
 register(
     "deflate",
-    lambda t: series.to_constant_prices(_debtor_sums(t), t.iso_deflators("NGDP_D")).transform(
-        lambda d: d.withColumn("value", F.round(F.col("value").cast("double"), 2))
-    ),
-    """SELECT s.year, s.iso_code, s.indicator_type, 'constant' AS prices,
-        round(CAST(CAST(s.value AS DOUBLE) / (100 * r.value / 100) AS DECIMAL(38,4))::DOUBLE, 2) AS value
+    lambda t: series.to_constant_prices(_debtor_sums(t), t.iso_deflators("NGDP_D")).transform(to_cents),
+    f"""SELECT s.year, s.iso_code, s.indicator_type, 'constant' AS prices,
+        {cents('CAST(s.value AS DOUBLE) / (100 * r.value / 100)')} AS value
     FROM (SELECT f.year, i.iso_code, f.indicator_type, sum(f.value) AS value
         FROM flows f LEFT JOIN isos i ON f.country = i.name GROUP BY ALL) s
     LEFT JOIN rebased r ON r.indicator = 'NGDP_D' AND r.iso_code = s.iso_code AND r.year = s.year""",
@@ -633,16 +634,16 @@ RECENT = """(SELECT year, country, indicator, sum(value) AS value FROM flows
 AHEAD = f"""(SELECT r.* REPLACE (CAST(y.range AS INTEGER) AS year), y.range > 2000 AND (r.indicator LIKE 'grants%'
     OR r.indicator IN ('bilateral_concessional', 'multilateral_concessional')) AS cut
     FROM {RECENT} r, range(1995, 2005) y WHERE y.range = r.year OR (r.year = 2000 AND y.range > 2000))"""
-CUT_60 = "CAST(CAST(value AS DOUBLE) * (1 - 60::DOUBLE / 100 * ((year - 2000) / 4)) AS DECIMAL(38,4))"
+CUT_60 = "CAST(CAST(value AS DOUBLE) * (1 - 60::DOUBLE / 100 * ((year - 2000) / 4)) AS DECIMAL(38,8))"
 register(
     "project_linear",
-    lambda t: sc.project_linear(_recent(t), "concessional_finance", 60, TRADE.target_year),
-    f"""SELECT year, country, indicator, {dbl(f'CASE WHEN cut THEN {CUT_60} ELSE value END')} AS value FROM {AHEAD}""",
+    lambda t: sc.project_linear(_recent(t), "concessional_finance", 60, TRADE.target_year).transform(to_cents),
+    f"""SELECT year, country, indicator, {cents(f'CASE WHEN cut THEN {CUT_60} ELSE value END')} AS value FROM {AHEAD}""",
 )
 register(
     "project_oda_linear",
-    lambda t: sc.project_linear(_recent(t), None, 60, TRADE.target_year),
-    f"""SELECT year, country, indicator, {dbl(f'CASE WHEN year > 2000 THEN {CUT_60} ELSE value END')} AS value FROM {AHEAD}""",
+    lambda t: sc.project_linear(_recent(t), None, 60, TRADE.target_year).transform(to_cents),
+    f"""SELECT year, country, indicator, {cents(f'CASE WHEN year > 2000 THEN {CUT_60} ELSE value END')} AS value FROM {AHEAD}""",
 )
 
 
@@ -652,7 +653,7 @@ def _recent_coded(t: Trade) -> DataFrame:
 
 def _multiplied(applies: str) -> str:
     return f"""SELECT a.year, a.country, a.indicator, i.iso_code, round(f.realistic_multiplier, 8) AS realistic_multiplier,
-        {dbl(f"CASE WHEN {applies} AND f.iso_code IS NOT NULL THEN CAST(CAST(a.value AS DOUBLE) * f.realistic_multiplier AS DECIMAL(38,4)) ELSE a.value END")} AS value
+        {cents(f"CASE WHEN {applies} AND f.iso_code IS NOT NULL THEN CAST(CAST(a.value AS DOUBLE) * f.realistic_multiplier AS DECIMAL(38,8)) ELSE a.value END")} AS value
     FROM {AHEAD} a LEFT JOIN isos i ON a.country = i.name
     LEFT JOIN factors f ON f.iso_code = i.iso_code AND f.year = a.year"""
 
@@ -660,13 +661,13 @@ def _multiplied(applies: str) -> str:
 register(
     "project_mult",
     lambda t: sc.project_with_multiplier(_recent_coded(t), _factors(t), "grants", target_year=TRADE.target_year)
-    .transform(rounded, 8, "realistic_multiplier"),
+    .transform(rounded, 8, "realistic_multiplier").transform(to_cents),
     _multiplied("a.indicator LIKE 'grants%'"),
 )
 register(
     "project_oda_mult",
     lambda t: sc.project_with_multiplier(_recent_coded(t), _factors(t), None, target_year=TRADE.target_year)
-    .transform(rounded, 8, "realistic_multiplier"),
+    .transform(rounded, 8, "realistic_multiplier").transform(to_cents),
     _multiplied("TRUE"),
 )
 register(
@@ -693,15 +694,15 @@ for _scenario in SCENARIOS:
     _n = _scenario.name[-1]
     register(
         f"scenario_{_n}",
-        lambda t, s=_scenario: _inflow_scenarios(t, [s]).drop("scenario"),
-        f"SELECT {GROUPER}, {dbl('value')} AS value FROM scen{_n}",
+        lambda t, s=_scenario: _inflow_scenarios(t, [s]).drop("scenario").transform(to_cents),
+        f"SELECT {GROUPER}, {cents('value')} AS value FROM scen{_n}",
     )
 for _scenario in SCENARIOS[1:]:
     _n = _scenario.name[-1]
     register(
         f"oda_scenario_{_n}",
-        lambda t, s=_scenario: sr.aid_scenario(t.aid, t.isos, _factors(t), TRADE, s),
-        f"""SELECT year, donor_code, donor_name, currency, prices, indicator, iso_code, {dbl('value')} AS value
+        lambda t, s=_scenario: sr.aid_scenario(t.aid, t.isos, _factors(t), TRADE, s).transform(to_cents),
+        f"""SELECT year, donor_code, donor_name, currency, prices, indicator, iso_code, {cents('value')} AS value
         FROM aid_dac{_n}""",
     )
 register("projected_outflows", _estimates, f"SELECT {GROUPER}, {dbl('value')} AS value FROM estimates")
@@ -770,9 +771,9 @@ register(
 )
 register(
     "debt_inflows_constant",
-    lambda t: fl.debt_inflows(t.sources(), TRADE, constant=True).withColumn("value", F.round(F.col("value").cast("double"), 2)),
+    lambda t: fl.debt_inflows(t.sources(), TRADE, constant=True).transform(to_cents),
     f"""SELECT {', '.join('l.' + c for c in CLEAN.replace(', prices', '').split(', '))}, 'constant' AS prices,
-        round(CAST(CAST(l.value AS DOUBLE) / (100 * r.value / 100) AS DECIMAL(38,4))::DOUBLE, 2) AS value
+        {cents('CAST(l.value AS DOUBLE) / (100 * r.value / 100)')} AS value
     FROM clean_inflow_legs l LEFT JOIN rebased r ON r.indicator = 'NGDP_D' AND 'ISO_' || r.k = l.iso_code AND r.year = l.year""",
 )
 register(
@@ -826,8 +827,8 @@ register(
 register("debt_service", _service, f"SELECT {SERVICE}, {dbl('value')} AS value FROM service")
 register(
     "inflow_scenarios",
-    _inflow_scenarios,
-    f"SELECT {GROUPER}, scenario, {dbl('value')} AS value FROM scenario_inflows",
+    lambda t: _inflow_scenarios(t).transform(to_cents),
+    f"SELECT {GROUPER}, scenario, {cents('value')} AS value FROM scenario_inflows",
 )
 
 
@@ -837,15 +838,16 @@ def _scenario_table(t: Trade) -> DataFrame:
 
 register(
     "net_flow_scenarios",
-    _scenario_table,
-    f"""SELECT {PAIRS}, {PAIR_VALUES}, {dbl('net_flows')} AS net_flows FROM scenario_table""",
+    lambda t: _scenario_table(t).transform(to_cents, "inflows", "outflows", "net_flows"),
+    f"""SELECT {PAIRS}, {PAIR_VALUES}, {cents('net_flows')} AS net_flows FROM scenario_table""",
 )
 register(
     "oda_scenarios",
-    lambda t: sr.aid_scenarios(t.aid, t.isos, _factors(t), TRADE, (sc.SCENARIO_2, SCENARIO_3)),
-    f"""SELECT year, donor_name, currency, prices, {dbl('h.value')} AS "ODA",
-        CASE WHEN year >= 2001 THEN {dbl('s2.value')} END AS "ODA (Projected Scenario 2)",
-        CASE WHEN year >= 2001 THEN {dbl('s3.value')} END AS "ODA (Projected Scenario 3)"
+    lambda t: sr.aid_scenarios(t.aid, t.isos, _factors(t), TRADE, (sc.SCENARIO_2, SCENARIO_3))
+    .transform(to_cents, *sr.AID_TITLES.values()),
+    f"""SELECT year, donor_name, currency, prices, {cents('h.value')} AS "ODA",
+        CASE WHEN year >= 2001 THEN {cents('s2.value')} END AS "ODA (Projected Scenario 2)",
+        CASE WHEN year >= 2001 THEN {cents('s3.value')} END AS "ODA (Projected Scenario 3)"
     FROM aid_history h
     FULL OUTER JOIN (SELECT year, donor_name, currency, prices, value FROM aid_dac2) s2 USING (year, donor_name, currency, prices)
     FULL OUTER JOIN (SELECT year, donor_name, currency, prices, value FROM aid_dac3) s3 USING (year, donor_name, currency, prices)""",
@@ -937,11 +939,12 @@ register(
 )
 register(
     "chart_5",
-    lambda t: charts.chart_5(_report(t), _scenario_table(t), TRADE),
-    f"""SELECT year, country, {dbl("max(value) FILTER (scenario = 'all net flows')")} AS "all net flows",
-        {dbl("max(value) FILTER (scenario = 'scenario 1')")} AS optimistic,
-        {dbl("max(value) FILTER (scenario = 'scenario 2')")} AS realistic,
-        {dbl("max(value) FILTER (scenario = 'scenario 3')")} AS pessimistic
+    lambda t: charts.chart_5(_report(t), _scenario_table(t), TRADE)
+    .transform(to_cents, "all net flows", "optimistic", "realistic", "pessimistic"),
+    f"""SELECT year, country, {cents("max(value) FILTER (scenario = 'all net flows')")} AS "all net flows",
+        {cents("max(value) FILTER (scenario = 'scenario 1')")} AS optimistic,
+        {cents("max(value) FILTER (scenario = 'scenario 2')")} AS realistic,
+        {cents("max(value) FILTER (scenario = 'scenario 3')")} AS pessimistic
     FROM (SELECT year, country, value, 'all net flows' AS scenario FROM report
             WHERE indicator_type = 'net_flow' AND flow_type = 'all'
         UNION ALL SELECT year, country, value, s.scenario FROM report,

@@ -20,6 +20,11 @@ def dbl(expression: str) -> str:
     return f"CAST(CAST({expression} AS DECIMAL(38,4)) AS DOUBLE)"
 
 
+def cents(expression: str) -> str:
+    """Scaled amounts, to two digits."""
+    return f"CAST(round(CAST({expression} AS DECIMAL(38,8)), 2) AS DOUBLE)"
+
+
 def half_even(amount: str, divisor: int, digits: int = 2) -> str:
     """Exact half-even rounding of DECIMAL(38,4) ``amount`` / ``divisor`` in whole numbers."""
     scale = 10 ** (4 - digits) * divisor
@@ -368,9 +373,9 @@ CTES = {
             SELECT y.y AS year, l.country, l.continent, l.income_level, l.prices, l.indicator_type,
                 CASE WHEN NOT l.cut THEN l.value WHEN l.covered THEN
                     CASE WHEN f.iso_code IS NULL THEN l.value
-                        ELSE CAST(CAST(l.value AS DOUBLE) * (f.realistic_multiplier{ramp}) AS DECIMAL(38,4)) END
-                WHEN l.iso_code = 'USA' THEN CAST(CAST(l.value AS DOUBLE) * (1 - {usa}::DOUBLE / 100 * ((y.y - 2000) / 4)) AS DECIMAL(38,4))
-                ELSE CAST(CAST(l.value AS DOUBLE) * (1 - {rest}::DOUBLE / 100 * ((y.y - 2000) / 4)) AS DECIMAL(38,4)) END AS value
+                        ELSE CAST(CAST(l.value AS DOUBLE) * (f.realistic_multiplier{ramp}) AS DECIMAL(38,8)) END
+                WHEN l.iso_code = 'USA' THEN CAST(CAST(l.value AS DOUBLE) * (1 - {usa}::DOUBLE / 100 * ((y.y - 2000) / 4)) AS DECIMAL(38,8))
+                ELSE CAST(CAST(l.value AS DOUBLE) * (1 - {rest}::DOUBLE / 100 * ((y.y - 2000) / 4)) AS DECIMAL(38,8)) END AS value
             FROM latest_coded l, years_ahead y
             LEFT JOIN factors f ON l.covered AND f.iso_code = l.iso_code AND f.year = y.y) GROUP BY ALL"""
         for n, usa, rest, ramp in (
@@ -414,10 +419,10 @@ CTES = {
         f"aid_scen{n}": f"""
         SELECT a.year, a.donor_code, a.donor_name, a.currency, a.prices, a.indicator, a.iso_code,
             CASE WHEN a.class = 'covered' THEN CASE WHEN f.iso_code IS NULL THEN a.value
-                    ELSE CAST(CAST(a.value AS DOUBLE) * (f.realistic_multiplier{ramp}) AS DECIMAL(38,4)) END
+                    ELSE CAST(CAST(a.value AS DOUBLE) * (f.realistic_multiplier{ramp}) AS DECIMAL(38,8)) END
                 WHEN a.year <= a.latest THEN a.value
                 ELSE CAST(CAST(a.value AS DOUBLE) * (1 - CASE a.class WHEN 'usa' THEN {usa}::DOUBLE ELSE {rest}::DOUBLE END
-                    / 100 * ((a.year - a.latest) / (2004 - a.latest))) AS DECIMAL(38,4)) END AS value
+                    / 100 * ((a.year - a.latest) / (2004 - a.latest))) AS DECIMAL(38,8)) END AS value
         FROM aid_ahead a LEFT JOIN factors f ON a.class = 'covered' AND f.iso_code = a.iso_code AND f.year = a.year"""
         for n, usa, rest, ramp in (
             (2, 60, 0, ""),
@@ -436,12 +441,17 @@ CTES = {
 }
 
 
-def _needed(body: str, seen: dict[str, None]) -> dict[str, None]:
-    for word in dict.fromkeys(re.findall(r"\b[a-z_0-9]+\b", body)):
-        if word in CTES and word not in seen:
-            _needed(CTES[word], seen)
-            seen[word] = None
-    return seen
+def _tables(body: str) -> list[str]:
+    words = re.findall(r"(?:FROM|JOIN|,)\s+([a-z_0-9]+)\b", body)
+    return [w for w in dict.fromkeys(words) if w in CTES]
+
+
+def _needed(body: str, done: dict[str, None]) -> dict[str, None]:
+    for name in _tables(body):
+        if name not in done:
+            _needed(CTES[name], done)
+            done[name] = None
+    return done
 
 
 def query(body: str) -> str:

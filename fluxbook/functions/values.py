@@ -31,10 +31,15 @@ def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names})
 
 
-def multiply(df: DataFrame, factor: Column, column: str = "value") -> DataFrame:
-    """Scale a measure in place, in its own type. Rows with factor 1 keep their exact value."""
+def scaled_type(df: DataFrame, column: str) -> T.DataType:
+    """Type of a measure after scaling: a decimal gets enough digits for the product."""
     kind = df.schema[column].dataType
-    scaled = (F.col(column).cast("double") * factor).cast(kind)
+    return T.DecimalType(38, 8) if isinstance(kind, T.DecimalType) else T.DoubleType()
+
+
+def multiply(df: DataFrame, factor: Column, column: str = "value") -> DataFrame:
+    """Scale a measure in place. Rows with factor 1 keep their exact value."""
+    scaled = (F.col(column).cast("double") * factor).cast(scaled_type(df, column))
     return df.withColumn(column, F.when(factor == 1.0, F.col(column)).otherwise(scaled))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fluxbook.functions.values import scaled_type
 from fluxbook.operators.totals import union_by_name
 
 SERIES = W.partitionBy("iso_code")
@@ -133,9 +134,8 @@ def deflate(df: DataFrame, deflators: DataFrame, *, to_current: bool = False, co
     rate = F.col("__deflator") / 100
     value = F.col(column).cast("double")
     changed = value * rate if to_current else F.try_divide(value, rate)
-    kind = df.schema[column].dataType
-    kind = kind if kind.typeName() in ("double", "decimal") else "double"
-    return df.join(rates, ["iso_code", "year"], "left").withColumn(column, changed.cast(kind)).drop("__deflator").select(*df.columns)
+    deflated = df.join(rates, ["iso_code", "year"], "left")
+    return deflated.withColumn(column, changed.cast(scaled_type(df, column))).select(*df.columns)
 
 
 def to_constant_prices(df: DataFrame, deflators: DataFrame) -> DataFrame:

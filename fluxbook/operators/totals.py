@@ -72,28 +72,26 @@ def developing_total(df: DataFrame, name: str = "Developing countries") -> DataF
 Level = tuple[Mapping[str, Column], Column | None]
 
 
-def relabel(df: DataFrame, levels: Iterable[Level], measures: Sequence[str] = ("value",)) -> DataFrame:
+def relabel(df: DataFrame, levels: Iterable[Level]) -> DataFrame:
     """Emit each row once per level that accepts it, with the level's columns replaced.
 
     A level is (replacements, condition). The added column ``__level`` numbers the level, so
     that a later sum never merges a country with a total of the same name.
     """
-    keys = columns_except(df, *measures)
     options = []
     for number, (replace, condition) in enumerate(levels):
         row = F.struct(
             F.lit(number).alias("__level"),
-            *[replace.get(c, F.col(c)).cast(df.schema[c].dataType).alias(c) for c in keys],
+            *[replace.get(c, F.col(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns],
         )
         options.append(row if condition is None else F.when(condition, row))
-    exploded = df.select(F.explode(F.array_compact(F.array(*options))).alias("row"), *measures)
-    return exploded.select("row.*", *measures)
+    return df.select(F.explode(F.array_compact(F.array(*options))).alias("row")).select("row.*")
 
 
 def relabel_and_sum(df: DataFrame, levels: Iterable[Level], *, drop: Sequence[str] = (),
                     measures: Sequence[str] = ("value",)) -> DataFrame:
     """``relabel``, then sum by everything but the measures and ``drop``."""
-    rows = relabel(df.drop(*drop), levels, measures)
+    rows = relabel(df.drop(*drop), levels)
     return sum_by(rows, columns_except(rows, *measures), *measures).drop("__level")
 
 

@@ -67,7 +67,7 @@ def net_flow_scenarios(inflows: DataFrame, outflows: DataFrame, settings: FlowSe
         ({"country": F.col("continent"), **label}, complete & (F.col("continent") == settings.africa)),
     ]
     measures = ("inflows", "outflows")
-    rows = totals.relabel(both, levels, measures)
+    rows = totals.relabel(both, levels)
     # A country without an estimate keeps its NULL; in a group total it counts as 0.
     sums = [F.when(F.col("__level") == 0, F.sum(m)).otherwise(total(m)).alias(m) for m in measures]
     return (
