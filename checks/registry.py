@@ -595,7 +595,7 @@ register(
     "constant_series",
     _constant_series,
     """SELECT u.year, u.iso_code, round(u.usd, 4) AS usd_usd_deflator, round(l.lcu, 4) AS lcu_lcu_deflator,
-        round(g.constant_usd_gni, 4) AS constant_usd_gni
+        round_even(g.constant_usd_gni, 4) AS constant_usd_gni
     FROM (SELECT year, iso_code, 100 * value AS usd FROM rebased WHERE indicator = 'NGDPD' AND year <= 1999
         UNION ALL SELECT r.year, r.iso_code, 100 * (100 * r.value) / e.exchange_deflator
         FROM rebased r JOIN exchange e ON e.year = r.year AND e.iso_code = r.iso_code
@@ -638,12 +638,12 @@ CUT_60 = "CAST(CAST(value AS DOUBLE) * (1 - 60::DOUBLE / 100 * ((year - 2000) /
 register(
     "project_linear",
     lambda t: sc.project_linear(_recent(t), "concessional_finance", 60, TRADE.target_year).transform(to_cents),
-    f"""SELECT year, country, indicator, {cents(f'CASE WHEN cut THEN {CUT_60} ELSE value END')} AS value FROM {AHEAD}""",
+    f"""SELECT year, country, indicator, {cents(f'CASE WHEN cut THEN {CUT_60} ELSE CAST(value AS DECIMAL(38,8)) END')} AS value FROM {AHEAD}""",
 )
 register(
     "project_oda_linear",
     lambda t: sc.project_linear(_recent(t), None, 60, TRADE.target_year).transform(to_cents),
-    f"""SELECT year, country, indicator, {cents(f'CASE WHEN year > 2000 THEN {CUT_60} ELSE value END')} AS value FROM {AHEAD}""",
+    f"""SELECT year, country, indicator, {cents(f'CASE WHEN year > 2000 THEN {CUT_60} ELSE CAST(value AS DECIMAL(38,8)) END')} AS value FROM {AHEAD}""",
 )
 
 
@@ -653,7 +653,7 @@ def _recent_coded(t: Trade) -> DataFrame:
 
 def _multiplied(applies: str) -> str:
     return f"""SELECT a.year, a.country, a.indicator, i.iso_code, round(f.realistic_multiplier, 8) AS realistic_multiplier,
-        {cents(f"CASE WHEN {applies} AND f.iso_code IS NOT NULL THEN CAST(CAST(a.value AS DOUBLE) * f.realistic_multiplier AS DECIMAL(38,8)) ELSE a.value END")} AS value
+        {cents(f"CASE WHEN {applies} AND f.iso_code IS NOT NULL THEN CAST(CAST(a.value AS DOUBLE) * f.realistic_multiplier AS DECIMAL(38,8)) ELSE CAST(a.value AS DECIMAL(38,8)) END")} AS value
     FROM {AHEAD} a LEFT JOIN isos i ON a.country = i.name
     LEFT JOIN factors f ON f.iso_code = i.iso_code AND f.year = a.year"""
 

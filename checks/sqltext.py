@@ -371,8 +371,8 @@ CTES = {
         f"scen{n}": f"""
         SELECT year, country, continent, income_level, prices, indicator_type, sum(value) AS value FROM (
             SELECT y.y AS year, l.country, l.continent, l.income_level, l.prices, l.indicator_type,
-                CASE WHEN NOT l.cut THEN l.value WHEN l.covered THEN
-                    CASE WHEN f.iso_code IS NULL THEN l.value
+                CASE WHEN NOT l.cut THEN CAST(l.value AS DECIMAL(38,8)) WHEN l.covered THEN
+                    CASE WHEN f.iso_code IS NULL THEN CAST(l.value AS DECIMAL(38,8))
                         ELSE CAST(CAST(l.value AS DOUBLE) * (f.realistic_multiplier{ramp}) AS DECIMAL(38,8)) END
                 WHEN l.iso_code = 'USA' THEN CAST(CAST(l.value AS DOUBLE) * (1 - {usa}::DOUBLE / 100 * ((y.y - 2000) / 4)) AS DECIMAL(38,8))
                 ELSE CAST(CAST(l.value AS DOUBLE) * (1 - {rest}::DOUBLE / 100 * ((y.y - 2000) / 4)) AS DECIMAL(38,8)) END AS value
@@ -418,9 +418,9 @@ CTES = {
     **{
         f"aid_scen{n}": f"""
         SELECT a.year, a.donor_code, a.donor_name, a.currency, a.prices, a.indicator, a.iso_code,
-            CASE WHEN a.class = 'covered' THEN CASE WHEN f.iso_code IS NULL THEN a.value
+            CASE WHEN a.class = 'covered' THEN CASE WHEN f.iso_code IS NULL THEN CAST(a.value AS DECIMAL(38,8))
                     ELSE CAST(CAST(a.value AS DOUBLE) * (f.realistic_multiplier{ramp}) AS DECIMAL(38,8)) END
-                WHEN a.year <= a.latest THEN a.value
+                WHEN a.year <= a.latest THEN CAST(a.value AS DECIMAL(38,8))
                 ELSE CAST(CAST(a.value AS DOUBLE) * (1 - CASE a.class WHEN 'usa' THEN {usa}::DOUBLE ELSE {rest}::DOUBLE END
                     / 100 * ((a.year - a.latest) / (2004 - a.latest))) AS DECIMAL(38,8)) END AS value
         FROM aid_ahead a LEFT JOIN factors f ON a.class = 'covered' AND f.iso_code = a.iso_code AND f.year = a.year"""
