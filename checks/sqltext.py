@@ -365,7 +365,7 @@ CTES = {
         FROM latest l LEFT JOIN isos i ON l.counterpart_area = i.name""",
     "years_ahead": "SELECT CAST(range AS INTEGER) AS y FROM range(2000, 2005)",
     "scen1": """
-        SELECT y AS year, country, continent, income_level, prices, indicator_type, sum(value) AS value
+        SELECT y AS year, country, continent, income_level, prices, indicator_type, CAST(sum(value) AS DECIMAL(38,8)) AS value
         FROM latest_coded, years_ahead GROUP BY ALL""",
     **{
         f"scen{n}": f"""

@@ -39,8 +39,10 @@ def scaled_type(df: DataFrame, column: str) -> T.DataType:
 
 def multiply(df: DataFrame, factor: Column, column: str = "value") -> DataFrame:
     """Scale a measure in place. Rows with factor 1 keep their exact value."""
-    scaled = (F.col(column).cast("double") * factor).cast(scaled_type(df, column))
-    return df.withColumn(column, F.when(factor == 1.0, F.col(column)).otherwise(scaled))
+    kind = scaled_type(df, column)
+    # Both branches in the wider type: a common type of the two would lose digits again.
+    scaled = (F.col(column).cast("double") * factor).cast(kind)
+    return df.withColumn(column, F.when(factor == 1.0, F.col(column).cast(kind)).otherwise(scaled))
 
 
 def half_even(column: Column, digits: int) -> Column:
