@@ -181,7 +181,6 @@ def project_scenarios(df: DataFrame, factors: DataFrame, scenarios: Sequence[Sce
     carries its own latest year forward; a caller whose rows are all of one year passes
     ``latest`` and saves the scan for the maxima.
     """
-    kind = df.schema["year"].dataType
     classed = df.join(_by_donor(factors), F.col("iso_code") == F.col("__iso"), "left").withColumn(
         "__class",
         F.when(F.col("__iso").isNotNull(), "covered").when(F.col("iso_code") == usa, "usa").otherwise("rest"),
@@ -189,11 +188,13 @@ def project_scenarios(df: DataFrame, factors: DataFrame, scenarios: Sequence[Sce
     if latest is not None:
         dated = classed.withColumns({"__own": latest, "__all": latest})
     else:
-        # At most three rows, one per class.
-        maxima = classed.groupBy("__class").agg(F.max("year").alias("__own"))
-        dated = classed.join(F.broadcast(maxima), "__class").withColumn("__all", F.lit(None).cast(kind))
-        if any(s.extend and not s.donors for s in scenarios):
-            dated = dated.withColumn("__all", latest_year(df))
+        # At most three rows, one per class; the overall maximum comes from them. As in
+        # latest_year, the value rides along so that the shuffle below is shared.
+        own = F.max(F.struct("year", "value"))["year"]
+        maxima = classed.groupBy("__class").agg(own.alias("__own")).withColumn(
+            "__all", F.max("__own").over(W.partitionBy(F.lit(0)))
+        )
+        dated = classed.join(F.broadcast(maxima), "__class")
 
     def per_scenario(value):
         return F.coalesce(*[F.when(F.col("scenario") == s.name, value(s)) for s in scenarios])

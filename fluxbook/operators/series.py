@@ -6,35 +6,55 @@ years; all windows of an index share one partitioning and one sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from fluxbook.functions.values import scaled_type
 from fluxbook.operators.totals import union_by_name
 
-SERIES = W.partitionBy("iso_code")
-IN_ORDER = SERIES.orderBy("year")
-SO_FAR = IN_ORDER.rowsBetween(W.unboundedPreceding, 0)
+
+def in_series() -> WindowSpec:
+    return W.partitionBy("iso_code")
+
+
+def in_order() -> WindowSpec:
+    return in_series().orderBy("year")
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(W.unboundedPreceding, 0)
+
+
+def _latest(df: DataFrame) -> DataFrame:
+    # The value rides along in the maximum so that both uses of df need the same columns:
+    # Spark then computes the shuffle below them once and reuses it.
+    return df.agg(F.max(F.struct("year", "value"))["year"].alias("__latest"))
 
 
 def latest_year(df: DataFrame) -> Column:
     """Largest year of a table as a scalar subquery, so nothing passes through the driver."""
-    return df.select(F.max("year")).scalar()
+    return _latest(df).scalar()
+
+
+def keep_latest_year(df: DataFrame) -> DataFrame:
+    """Rows of the last year. An equi-join with one row, because a filter on the scalar
+    would be pushed below the shuffle and keep it from being shared with the maximum."""
+    return df.join(F.broadcast(_latest(df)), F.col("year") == F.col("__latest")).drop("__latest")
 
 
 def growth_rate(df: DataFrame) -> DataFrame:
     """Change on the previous row, gaps carried forward; rows without a rate drop out."""
-    filled = df.withColumn("value", F.last("value", ignorenulls=True).over(SO_FAR))
-    rate = F.try_divide(F.col("value"), F.lag("value").over(IN_ORDER)) - 1
+    filled = df.withColumn("value", F.last("value", ignorenulls=True).over(so_far()))
+    rate = F.try_divide(F.col("value"), F.lag("value").over(in_order())) - 1
     return filled.withColumn("value", rate).dropna(subset=["value"])
 
 
 def cumulative_growth(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", F.product(1 + F.col("value")).over(SO_FAR))
+    return df.withColumn("value", F.product(1 + F.col("value")).over(so_far()))
 
 
 def rebase(df: DataFrame, base_year: int) -> DataFrame:
     """Divide by the base-year value; NULL where a series has no base year."""
-    base = F.sum(F.when(F.col("year") == base_year, F.col("value"))).over(SERIES)
+    base = F.sum(F.when(F.col("year") == base_year, F.col("value"))).over(in_series())
     return df.withColumn("value", F.try_divide(F.col("value"), base))
 
 
@@ -54,7 +74,7 @@ def exchange_deflator(local: DataFrame, dollars: DataFrame, base_year: int) -> D
         dollars.select("iso_code", "year", F.col("value").alias("usd")), ["iso_code", "year"]
     )
     rate = both.select("year", "iso_code", F.try_divide("usd", "lcu").alias("rate"))
-    base = F.max(F.when(F.col("year") == base_year, F.struct("rate"))).over(SERIES)
+    base = F.max(F.when(F.col("year") == base_year, F.struct("rate"))).over(in_series())
     return (
         rate.withColumn("base", base)
         .where("base is not null")
@@ -77,8 +97,8 @@ def extend_series(df: DataFrame, last_year: int, window: int = 3, mode: str = "p
     def mean_ending(offset: int) -> Column:
         inside = year.between(top - offset - window + 1, top - offset)
         diff = F.when(inside, F.col("__diff"))
-        full = F.count(diff).over(SERIES) == window
-        return F.when(full, F.sum(diff).over(SERIES) / window)
+        full = F.count(diff).over(in_series()) == window
+        return F.when(full, F.sum(diff).over(in_series()) / window)
 
     recent = F.when(year >= top - window, F.when(F.col("value").isNotNull(), F.struct("year", "value")))
     step = F.coalesce("__m", "__m_prev")
@@ -88,13 +108,13 @@ def extend_series(df: DataFrame, last_year: int, window: int = 3, mode: str = "p
     years = F.when((year == top) & (top < last_year), F.sequence(year, F.lit(last_year))).otherwise(F.array(year))
     return (
         df.withColumns({
-            "__diff": F.col("value") - F.lag("value").over(IN_ORDER),
-            "__top": F.max("year").over(SERIES),
+            "__diff": F.col("value") - F.lag("value").over(in_order()),
+            "__top": F.max("year").over(in_series()),
         })
         .withColumns({
             "__m": mean_ending(0),
             "__m_prev": mean_ending(1),
-            "__last": F.max(recent).over(SERIES),
+            "__last": F.max(recent).over(in_series()),
         })
         .withColumn("__year", F.explode(years))
         .withColumn("value", F.when(F.col("__year") <= top, F.col("value")).otherwise(future))
@@ -104,9 +124,8 @@ def extend_series(df: DataFrame, last_year: int, window: int = 3, mode: str = "p
 
 def future_gni(gni: DataFrame, index: DataFrame, prices: str) -> DataFrame:
     """Level of the last year in ``gni`` times the growth index of each later year."""
-    last = latest_year(gni)
-    level = gni.where(F.col("year") == last).select("iso_code", F.col("value").alias("level"))
-    ahead = index.where(F.col("year") > last)
+    level = keep_latest_year(gni).select("iso_code", F.col("value").alias("level"))
+    ahead = index.where(F.col("year") > latest_year(gni))
     grown = (F.col("level") * F.col("value")).alias(f"{prices}_usd_gni")
     return ahead.join(level, "iso_code").select("year", "iso_code", grown)
 

@@ -11,7 +11,7 @@ from fluxbook.functions.values import columns_except, missing, sum_by, total
 from fluxbook.operators import filters, scenarios as sc, totals
 from fluxbook.operators.joins import add_iso_codes, natural_left_join
 from fluxbook.operators.reshape import pivot_unique
-from fluxbook.operators.series import latest_year
+from fluxbook.operators.series import keep_latest_year
 from fluxbook.plans.flows import flows_by_version
 from fluxbook.settings import FlowSettings
 from fluxbook.vocabulary import DAC_TOTAL, HIGH_INCOME, OUTPUT_GROUPER
@@ -34,8 +34,7 @@ def latest_inflows(flows: DataFrame, settings: FlowSettings, *, exclude_outliers
         remove_countries_wo_outflows=remove_countries_wo_outflows,
         china_as_counterpart_type=china_as_counterpart_type,
     ).where(F.col("indicator_type") == "inflow")
-    rows = inflows.where(F.col("year") == latest_year(inflows))
-    return totals.with_developing_total(rows, settings.developing)
+    return totals.with_developing_total(keep_latest_year(inflows), settings.developing)
 
 
 def inflow_scenarios(latest: DataFrame, isos: DataFrame, factors: DataFrame, settings: FlowSettings,
