@@ -252,10 +252,18 @@ register(
 )
 register(
     "semi_outflows",
-    lambda t: t.flow_table.transform(filters.semi_join_outflows),
+    lambda t: t.flow_table.transform(filters.keep_countries_with_outflows),
     f"""SELECT {FLOW}, {dbl('value')} AS value FROM flows WHERE (year, country) IN
         (SELECT (year, country) FROM flows WHERE indicator_type = 'outflow')""",
 )
+register(
+    "semi_outflows_facts",
+    lambda t: t.flow_rows.transform(filters.semi_join_outflows).select(
+        "year", "country", "counterpart_area", "indicator", "indicator_type", "value"
+    ),
+    f"""SELECT year, country, counterpart_area, indicator, indicator_type, {dbl('value')} AS value FROM flow_rows
+    WHERE (year, country) IN (SELECT (year, country) FROM flow_rows WHERE indicator_type = 'outflow')""",
+)
 
 # --- joins -------------------------------------------------------------------------------
 
@@ -276,7 +284,7 @@ def _trimmed_debt(t: Trade) -> DataFrame:
 
 register(
     "clean_debtors",
-    lambda t: names.clean_debtors(_trimmed_debt(t), "country", t.book()),
+    lambda t: names.clean_debtors(_trimmed_debt(t), "country", t.book(), t.table("nation", "n_name")),
     f"""SELECT d.iso_code, coalesce(d.name, r.country) AS country, coalesce(d.continent, r.country) AS continent,
         r.indicator, r.year, trim(r.counterpart_area) AS counterpart_area, {dbl('r.value')} AS value
     FROM debt_raw r LEFT JOIN names d ON r.country = d.raw_name""",
@@ -593,9 +601,9 @@ def _constant_series(t: Trade) -> DataFrame:
 
 register(
     "constant_series",
-    _constant_series,
+    lambda t: _constant_series(t).transform(rounded, 2, "constant_usd_gni"),
     """SELECT u.year, u.iso_code, round(u.usd, 4) AS usd_usd_deflator, round(l.lcu, 4) AS lcu_lcu_deflator,
-        round_even(g.constant_usd_gni, 4) AS constant_usd_gni
+        round(round_even(g.constant_usd_gni, 4), 2) AS constant_usd_gni
     FROM (SELECT year, iso_code, 100 * value AS usd FROM rebased WHERE indicator = 'NGDPD' AND year <= 1999
         UNION ALL SELECT r.year, r.iso_code, 100 * (100 * r.value) / e.exchange_deflator
         FROM rebased r JOIN exchange e ON e.year = r.year AND e.iso_code = r.iso_code

@@ -27,19 +27,25 @@ def concessional_split(debt: DataFrame, total_code: str, concessional_code: str,
 
 
 def debt_by_indicator(debt: DataFrame, codes: dict) -> DataFrame:
-    """All indicators of a code book (see vocabulary) in one scan and one shuffle.
+    """All indicators of one code book (see vocabulary)."""
+    return debt_by_direction(debt, {"inflow": codes}).drop("indicator_type")
+
+
+def debt_by_direction(debt: DataFrame, books: dict[str, dict]) -> DataFrame:
+    """Indicators of several code books, one per indicator type, in one scan and one shuffle.
 
     The legs of an indicator (principal and interest) stay separate rows, as in the source;
     they are summed when the flows are prepared.
     """
     role = {}
-    for name, pairs in codes["split"].items():
-        for leg, (total_code, concessional_code) in enumerate(pairs):
-            role[total_code] = (name, leg, "total")
-            role[concessional_code] = (name, leg, "concessional")
-    for name, plain in codes["plain"].items():
-        for leg, code in enumerate(plain):
-            role[code] = (name, leg, "plain")
+    for direction, codes in books.items():
+        for name, pairs in codes["split"].items():
+            for leg, (total_code, concessional_code) in enumerate(pairs):
+                role[total_code] = (name, leg, "total", direction)
+                role[concessional_code] = (name, leg, "concessional", direction)
+        for name, plain in codes["plain"].items():
+            for leg, code in enumerate(plain):
+                role[code] = (name, leg, "plain", direction)
 
     def pick(position):
         case = None
@@ -54,8 +60,11 @@ def debt_by_indicator(debt: DataFrame, codes: dict) -> DataFrame:
 
     sums = (
         debt.where(F.col("indicator").isin(*role))
-        .select(*DEBT_KEYS, "value", pick(0).alias("family"), pick(1).alias("leg"), pick(2).alias("role"))
-        .groupBy(*DEBT_KEYS, "family", "leg")
+        .select(
+            *DEBT_KEYS, "value", pick(0).alias("family"), pick(1).alias("leg"), pick(2).alias("role"),
+            pick(3).alias("indicator_type"),
+        )
+        .groupBy(*DEBT_KEYS, "family", "leg", "indicator_type")
         .agg(
             F.max(F.col("role") == "total").alias("has_total"),
             F.max(F.col("role") == "plain").alias("is_plain"),
@@ -75,5 +84,5 @@ def debt_by_indicator(debt: DataFrame, codes: dict) -> DataFrame:
     return (
         sums.where("has_total or is_plain")
         .withColumn("out", F.explode(F.when(F.col("is_plain"), plain).otherwise(split)))
-        .select(*DEBT_KEYS, "out.indicator", "out.value")
+        .select(*DEBT_KEYS, "out.indicator", "indicator_type", "out.value")
     )

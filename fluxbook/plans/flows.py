@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluxbook import vocabulary as v
 from fluxbook.operators import filters, totals
-from fluxbook.operators.concessional import debt_by_indicator
+from fluxbook.operators.concessional import debt_by_direction
 from fluxbook.operators.filters import Members
 from fluxbook.operators.joins import add_donor_and_recipient_names, add_income_level
 from fluxbook.operators.names import NameBook, clean_creditors, clean_debtors
@@ -83,14 +83,30 @@ def clean_debt(debt: DataFrame, src: FlowSources) -> DataFrame:
     )
 
 
-def _debt(src: FlowSources, codes: dict, first_year: int, last_year: int, constant: bool) -> DataFrame:
-    wanted = [c for pairs in codes["split"].values() for pair in pairs for c in pair]
-    wanted += [c for plain in codes["plain"].values() for c in plain]
-    rows = (
-        scan_debt(src.debt, wanted, first_year, last_year)
-        .transform(debt_by_indicator, codes)
-        .transform(clean_debt, src)
-    )
+def _codes(book: dict) -> list[str]:
+    split = [c for pairs in book["split"].values() for pair in pairs for c in pair]
+    return split + [c for plain in book["plain"].values() for c in plain]
+
+
+def debt_flows(src: FlowSources, settings: FlowSettings, constant: bool = False,
+               directions: tuple[str, ...] = ("inflow", "outflow")) -> DataFrame:
+    """Disbursements and debt service, as positive amounts, from one scan of the debt table.
+
+    Disbursements end with the analysis years; debt service includes the years the source
+    projects.
+    """
+    projected = settings.last_year + settings.service_projection_years
+    books = {
+        "inflow": (v.DISBURSEMENT_CODES, settings.last_year),
+        "outflow": (v.DEBT_SERVICE_CODES, projected),
+    }
+    books = {d: books[d] for d in directions}
+    last = max(year for _, year in books.values())
+    rows = scan_debt(src.debt, [c for b, _ in books.values() for c in _codes(b)], settings.first_year, last)
+    for book, year in books.values():
+        if year < last:
+            rows = rows.where(~F.col("indicator").isin(*_codes(book)) | (F.year("year") <= year))
+    rows = debt_by_direction(rows, {d: book for d, (book, _) in books.items()}).transform(clean_debt, src)
     if not constant:
         return rows.withColumn("prices", F.lit("current"))
     if src.deflators is None:
@@ -100,14 +116,12 @@ def _debt(src: FlowSources, codes: dict, first_year: int, last_year: int, consta
 
 def debt_inflows(src: FlowSources, settings: FlowSettings, constant: bool = False) -> DataFrame:
     """Disbursements by indicator."""
-    return _debt(src, v.DISBURSEMENT_CODES, settings.first_year, settings.last_year, constant)
+    return debt_flows(src, settings, constant, ("inflow",)).drop("indicator_type")
 
 
 def debt_service(src: FlowSources, settings: FlowSettings, constant: bool = False) -> DataFrame:
     """Principal and interest by indicator, including the years the source projects."""
-    last = settings.last_year + settings.service_projection_years
-    rows = _debt(src, v.DEBT_SERVICE_CODES, settings.first_year, last, constant)
-    return rows.withColumn("indicator_type", F.lit("outflow"))
+    return debt_flows(src, settings, constant, ("outflow",))
 
 
 def total_inflows(src: FlowSources, settings: FlowSettings, constant: bool = False) -> DataFrame:
@@ -119,10 +133,13 @@ def total_inflows(src: FlowSources, settings: FlowSettings, constant: bool = Fal
 
 def all_flows(src: FlowSources, settings: FlowSettings, constant: bool = False) -> DataFrame:
     """The flow table: inflows positive, outflows negative, no zero rows."""
-    inflows = total_inflows(src, settings, constant).transform(totals.prep_flows, settings.world)
-    outflows = debt_service(src, settings, constant).transform(totals.prep_flows, settings.world)
+    grants = grants_inflows(src, settings, constant).withColumn("indicator_type", F.lit("inflow"))
+    flows = totals.union_by_name(grants, debt_flows(src, settings, constant)).transform(
+        totals.prep_flows, settings.world
+    )
+    signed = F.when(F.col("indicator_type") == "outflow", -F.col("value")).otherwise(F.col("value"))
     return (
-        totals.union_by_name(inflows, outflows.withColumn("value", -F.col("value")))
+        flows.withColumn("value", signed)
         .drop("iso_code", "counterpart_iso_code")
         .where(F.col("value") != 0)
     )
