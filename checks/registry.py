@@ -284,7 +284,7 @@ def _trimmed_debt(t: Trade) -> DataFrame:
 
 register(
     "clean_debtors",
-    lambda t: names.clean_debtors(_trimmed_debt(t), "country", t.book(), t.table("nation", "n_name")),
+    lambda t: names.clean_debtors(_trimmed_debt(t), "country", t.book, t.table("nation", "n_name")),
     f"""SELECT d.iso_code, coalesce(d.name, r.country) AS country, coalesce(d.continent, r.country) AS continent,
         r.indicator, r.year, trim(r.counterpart_area) AS counterpart_area, {dbl('r.value')} AS value
     FROM debt_raw r LEFT JOIN names d ON r.country = d.raw_name""",
@@ -292,7 +292,7 @@ register(
 register(
     "clean_creditors",
     lambda t: names.clean_creditors(
-        _trimmed_debt(t), "counterpart_area", t.book(), t.table("nation", "n_name")
+        _trimmed_debt(t), "counterpart_area", t.book, t.table("nation", "n_name")
     ),
     f"""SELECT r.indicator, r.year, r.country, coalesce(c.name, trim(r.counterpart_area)) AS counterpart_area,
         coalesce(c.iso_code, trim(r.counterpart_area)) AS counterpart_iso_code, {dbl('r.value')} AS value
@@ -601,9 +601,9 @@ def _constant_series(t: Trade) -> DataFrame:
 
 register(
     "constant_series",
-    lambda t: _constant_series(t).transform(rounded, 2, "constant_usd_gni"),
+    _constant_series,
     """SELECT u.year, u.iso_code, round(u.usd, 4) AS usd_usd_deflator, round(l.lcu, 4) AS lcu_lcu_deflator,
-        round(round_even(g.constant_usd_gni, 4), 2) AS constant_usd_gni
+        round_even(g.constant_usd_gni, 4) AS constant_usd_gni
     FROM (SELECT year, iso_code, 100 * value AS usd FROM rebased WHERE indicator = 'NGDPD' AND year <= 1999
         UNION ALL SELECT r.year, r.iso_code, 100 * (100 * r.value) / e.exchange_deflator
         FROM rebased r JOIN exchange e ON e.year = r.year AND e.iso_code = r.iso_code
@@ -752,19 +752,19 @@ register(
 CLEAN = "year, iso_code, country, continent, counterpart_area, counterpart_iso_code, income_level, indicator, counterpart_type, prices"
 register(
     "clean_grants",
-    lambda t: fl.clean_grants(t.aid_raw, t.sources()),
+    lambda t: fl.clean_grants(t.aid_raw, t.sources),
     f"SELECT {CLEAN}, {dbl('value')} AS value FROM grants",
 )
 register(
     "grants_inflows",
-    lambda t: fl.grants_inflows(t.sources(), TRADE, constant=True),
+    lambda t: fl.grants_inflows(t.sources, TRADE, constant=True),
     f"SELECT {CLEAN}, {dbl('value')} AS value FROM grants WHERE prices = 'constant' AND year <= 2000",
 )
 
 
 def _clean_debt(t: Trade) -> DataFrame:
     coded = concessional.debt_by_indicator(t.debt_raw.where("year < timestamp_ntz'2001-01-01'"), DISBURSEMENT_CODES)
-    return fl.clean_debt(coded, t.sources())
+    return fl.clean_debt(coded, t.sources)
 
 
 register(
@@ -774,32 +774,32 @@ register(
 )
 register(
     "debt_inflows",
-    lambda t: fl.debt_inflows(t.sources(), TRADE),
+    lambda t: fl.debt_inflows(t.sources, TRADE),
     f"SELECT {CLEAN}, {dbl('value')} AS value FROM clean_inflow_legs",
 )
 register(
     "debt_inflows_constant",
-    lambda t: fl.debt_inflows(t.sources(), TRADE, constant=True).transform(to_cents),
+    lambda t: fl.debt_inflows(t.sources, TRADE, constant=True).transform(to_cents),
     f"""SELECT {', '.join('l.' + c for c in CLEAN.replace(', prices', '').split(', '))}, 'constant' AS prices,
         {cents('CAST(l.value AS DOUBLE) / (100 * r.value / 100)')} AS value
     FROM clean_inflow_legs l LEFT JOIN rebased r ON r.indicator = 'NGDP_D' AND 'ISO_' || r.k = l.iso_code AND r.year = l.year""",
 )
 register(
     "debt_service_raw",
-    lambda t: fl.debt_service(t.sources(), TRADE),
+    lambda t: fl.debt_service(t.sources, TRADE),
     f"SELECT {CLEAN}, indicator_type, {dbl('value')} AS value FROM clean_service_legs",
 )
 TOTAL_INFLOWS = f"""(SELECT {CLEAN}, value FROM clean_inflow_legs UNION ALL
     SELECT {CLEAN}, value FROM grants WHERE prices = 'current' AND year <= 2000)"""
 register(
     "total_inflows",
-    lambda t: fl.total_inflows(t.sources(), TRADE),
+    lambda t: fl.total_inflows(t.sources, TRADE),
     f"SELECT {CLEAN}, 'inflow' AS indicator_type, {dbl('value')} AS value FROM {TOTAL_INFLOWS}",
 )
 SLIM = "year, country, continent, counterpart_area, income_level, indicator, counterpart_type, prices"
 register(
     "all_flows",
-    lambda t: fl.all_flows(t.sources(), TRADE),
+    lambda t: fl.all_flows(t.sources, TRADE),
     f"""SELECT {SLIM}, indicator_type, {dbl('sum(value)')} AS value FROM (
         SELECT {SLIM}, iso_code, counterpart_iso_code, 'inflow' AS indicator_type, value FROM {TOTAL_INFLOWS}
         UNION ALL SELECT {SLIM}, iso_code, counterpart_iso_code, indicator_type, -value FROM clean_service_legs)

@@ -331,6 +331,7 @@ class Trade:
     def aid(self) -> DataFrame:
         return scans.scan_aid_totals(self.aid_total, AID_DONORS, TRADE.first_year, TRADE.last_year)
 
+    @cached_property
     def book(self) -> NameBook:
         """Aliases for every third nation, patterns for the next third, nothing for the rest."""
         key = F.col("n_nationkey")
@@ -349,11 +350,12 @@ class Trade:
     def group(self, condition: str) -> DataFrame:
         return self.table("nation", "n_nationkey").where(condition).toDF("code")
 
+    @cached_property
     def sources(self) -> FlowSources:
         names = self.table("nation", "n_name")
         deflators = self.deflators("concat('ISO_', n_nationkey)")
         return FlowSources(
-            debt=self.debt_raw, aid=self.aid_raw, debtors=self.book(), creditors=self.book(),
+            debt=self.debt_raw, aid=self.aid_raw, debtors=self.book, creditors=self.book,
             income_levels=self.income_levels, donor_names=self.donor_names,
             recipient_names=self.recipient_names,
             official_donors=self.group("n_nationkey < 20"),
@@ -423,7 +425,7 @@ class Trade:
         """GNI of donors as an aid indicator, in both price bases."""
         bases = F.array(
             F.struct(F.lit("current").alias("prices"), F.col("ngdp").alias("value")),
-            F.struct(F.lit("constant").alias("prices"), (F.col("ngdp") * 1.5).alias("value")),
+            F.struct(F.lit("constant").alias("prices"), (F.col("ngdp") * 1.37).alias("value")),
         )
         return self._nation_years.withColumn("basis", F.explode(bases)).select(
             "year", F.col("c_nationkey").alias("donor_code"), "basis.prices",

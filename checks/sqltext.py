@@ -317,7 +317,7 @@ CTES = {
             JOIN macro bu ON bu.indicator = 'NGDPD' AND bu.iso_code = l.iso_code AND bu.year = 1998
         WHERE l.indicator = 'NGDP' AND l.iso_code IS NOT NULL""",
     "donor_gni": """
-        SELECT n.year, i.iso_code, n.ngdp AS value, n.ngdp * 1.5 AS constant_value
+        SELECT n.year, i.iso_code, n.ngdp AS value, n.ngdp * 1.37::DOUBLE AS constant_value
         FROM nation_years n JOIN isos i ON n.k = i.donor_code
         WHERE length(i.iso_code) = 3 AND n.year BETWEEN 1995 AND 1998""",
     "gni_current": """

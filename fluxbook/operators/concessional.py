@@ -7,6 +7,7 @@ one conditional aggregation over one scan; no join of the two code slices is nee
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fluxbook.functions.values import total
@@ -37,33 +38,23 @@ def debt_by_direction(debt: DataFrame, books: dict[str, dict]) -> DataFrame:
     The legs of an indicator (principal and interest) stay separate rows, as in the source;
     they are summed when the flows are prepared.
     """
-    role = {}
+    roles = []
     for direction, codes in books.items():
         for name, pairs in codes["split"].items():
             for leg, (total_code, concessional_code) in enumerate(pairs):
-                role[total_code] = (name, leg, "total", direction)
-                role[concessional_code] = (name, leg, "concessional", direction)
+                roles.append((total_code, name, leg, "total", direction))
+                roles.append((concessional_code, name, leg, "concessional", direction))
         for name, plain in codes["plain"].items():
-            for leg, code in enumerate(plain):
-                role[code] = (name, leg, "plain", direction)
-
-    def pick(position):
-        case = None
-        for code, parts in role.items():
-            test = F.col("indicator") == code
-            value = F.lit(parts[position])
-            case = F.when(test, value) if case is None else case.when(test, value)
-        return case
+            roles += [(code, name, leg, "plain", direction) for leg, code in enumerate(plain)]
+    # A local relation of a few dozen codes: Spark broadcasts it by its known size.
+    names = ("indicator", "family", "leg", "role", "indicator_type")
+    book = debt.sparkSession.createDataFrame(pa.table(dict(zip(names, zip(*roles)))))
 
     def part(kind):
         return F.when(F.col("role") == kind, F.col("value"))
 
     sums = (
-        debt.where(F.col("indicator").isin(*role))
-        .select(
-            *DEBT_KEYS, "value", pick(0).alias("family"), pick(1).alias("leg"), pick(2).alias("role"),
-            pick(3).alias("indicator_type"),
-        )
+        debt.join(book, "indicator")
         .groupBy(*DEBT_KEYS, "family", "leg", "indicator_type")
         .agg(
             F.max(F.col("role") == "total").alias("has_total"),

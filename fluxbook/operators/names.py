@@ -57,15 +57,22 @@ def creditor_aliases(spark: SparkSession) -> DataFrame:
     return alias_table(spark, [(s, isos.get(s), names.get(s), None) for s in spellings])
 
 
-def _first_match(column: Column, patterns: Sequence[NamePattern]) -> Column:
-    kind = "struct<iso_code:string,name:string,continent:string>"
-    if not patterns:
-        return F.lit(None).cast(kind)
-    hits = [
-        F.when(column.rlike(p.pattern), F.struct(*[F.lit(getattr(p, f)).cast("string").alias(f) for f in FIELDS]))
+def _text(value: str | None) -> str:
+    """SQL literal of a string or NULL."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _first_match(column: str, patterns: Sequence[NamePattern]) -> Column:
+    """What the first fitting pattern stands for, as one CASE expression."""
+    nothing = "cast(null as struct<iso_code:string,name:string,continent:string>)"
+    arms = [
+        f"when `{column}` rlike {_text(p.pattern)} then "
+        f"named_struct({', '.join(f'{_text(f)}, {_text(getattr(p, f))}' for f in FIELDS)})"
         for p in patterns
     ]
-    return F.coalesce(*hits)
+    return F.expr(f"case {' '.join(arms)} else {nothing} end" if arms else nothing)
 
 
 def resolve_names(names: DataFrame, book: NameBook) -> DataFrame:
@@ -73,7 +80,7 @@ def resolve_names(names: DataFrame, book: NameBook) -> DataFrame:
     raw = names.toDF("raw_name").distinct()
     aliases = book.aliases.select("alias", *[F.col(f).alias(f"alias_{f}") for f in FIELDS])
     matched = raw.join(aliases, F.col("raw_name") == F.col("alias"), "left").withColumn(
-        "hit", _first_match(F.col("raw_name"), book.patterns)
+        "hit", _first_match("raw_name", book.patterns)
     )
     return matched.select(
         "raw_name", *[F.coalesce(f"alias_{f}", f"hit.{f}").alias(f) for f in FIELDS]

@@ -78,11 +78,12 @@ def relabel(df: DataFrame, levels: Iterable[Level]) -> DataFrame:
     A level is (replacements, condition). The added column ``__level`` numbers the level, so
     that a later sum never merges a country with a total of the same name.
     """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     options = []
     for number, (replace, condition) in enumerate(levels):
         row = F.struct(
             F.lit(number).alias("__level"),
-            *[replace.get(c, F.col(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns],
+            *[replace[c].cast(kinds[c]).alias(c) if c in replace else c for c in df.columns],
         )
         options.append(row if condition is None else F.when(condition, row))
     return df.select(F.explode(F.array_compact(F.array(*options))).alias("row")).select("row.*")
