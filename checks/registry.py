@@ -91,7 +91,7 @@ register(
     "dim_names",
     lambda t: totals.union_by_name(
         *[
-            scans.dim_names(t.name_reference, side, 1996, 2000).select(
+            scans.dim_names(t.code_list, side, 1996, 2000).select(
                 F.lit(side).alias("side"), F.col(f"{side}_code").alias("code"), F.col(f"{side}_name").alias("name")
             ) for side in ("donor", "recipient")
         ]
@@ -919,8 +919,24 @@ def _cells(column: str, labels: Sequence[str]) -> str:
     return ", ".join(f"""{dbl(f"max(value) FILTER ({column} = '{c}')")} AS "{c}" """ for c in labels)
 
 
+register(
+    "inflows_table",
+    lambda t: reports.inflows_table(t.flows, TRADE),
+    f"""SELECT year, country, continent, income_level, counterpart_type, indicator_type, prices, period,
+        {dbl('value')} AS value FROM inflow_table""",
+)
+register(
+    "debt_service_table",
+    lambda t: reports.debt_service_table(t.flows, TRADE),
+    f"SELECT {SERVICE}, period, {dbl('value')} AS value FROM service_table",
+)
 register(
     "chart_3",
+    lambda t: charts.chart_3(reports.inflows_table(t.flows, TRADE), HISTORY_TYPES, TRADE),
+    f"SELECT year, country, {_cells('counterpart_type', HISTORY_TYPES)} FROM inflow_table GROUP BY year, country",
+)
+register(
+    "chart_3_download",
     lambda t: charts.chart_3(reports.inflows_table(t.flows, TRADE), HISTORY_TYPES, TRADE, download=True),
     f"""SELECT year, country, 'current' AS prices, {_cells('counterpart_type', HISTORY_TYPES)}
     FROM inflow_table GROUP BY year, country""",

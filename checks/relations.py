@@ -306,8 +306,8 @@ class Trade:
         return self._names("recipient")
 
     @cached_property
-    def name_reference(self) -> DataFrame:
-        """Yearly reference rows with codes and names of both sides."""
+    def code_list(self) -> DataFrame:
+        """Yearly rows with codes and names of both sides."""
         pairs = self.cube.where("status = 'O'").select(
             "year", F.col("creditor").alias("donor_code"), F.col("debtor").alias("recipient_code")
         )

@@ -87,7 +87,7 @@ def scan_deflators(deflators: DataFrame) -> DataFrame:
     return deflators.select("year", "iso_code", "usd_usd_deflator")
 
 
-def dim_names(reference: DataFrame, side: str, start_year: int = 2010, end_year: int = 2022) -> DataFrame:
-    """Distinct (code, name) pairs of one side (donor or recipient) of the reference rows."""
+def dim_names(code_list: DataFrame, side: str, start_year: int = 2010, end_year: int = 2022) -> DataFrame:
+    """Distinct (code, name) pairs of one side (donor or recipient) of the yearly code list."""
     years = F.col("year").between(start_year, end_year)
-    return reference.where(years).select(f"{side}_code", f"{side}_name").distinct()
+    return code_list.where(years).select(f"{side}_code", f"{side}_name").distinct()
