@@ -166,12 +166,6 @@ def project_with_multiplier(df: DataFrame, factors: DataFrame, version: str | No
     return joined.transform(multiply, factor).select(*df.columns, multiplier)
 
 
-def _by_donor(factors: DataFrame) -> DataFrame:
-    """One row per iso with its (year, multiplier) list, at most a few dozen entries long."""
-    entries = F.collect_list(F.struct(F.col("year").alias("at"), F.col("realistic_multiplier").alias("m")))
-    return factors.groupBy(F.col("iso_code").alias("__iso")).agg(entries.alias("__factors"))
-
-
 def project_scenarios(df: DataFrame, factors: DataFrame, scenarios: Sequence[Scenario],
                       version: str | None, target_year: int = 2027, usa: str = "USA",
                       latest: Column | None = None) -> DataFrame:
@@ -181,9 +175,10 @@ def project_scenarios(df: DataFrame, factors: DataFrame, scenarios: Sequence[Sce
     carries its own latest year forward; a caller whose rows are all of one year passes
     ``latest`` and saves the scan for the maxima.
     """
-    classed = df.join(_by_donor(factors), F.col("iso_code") == F.col("__iso"), "left").withColumn(
+    covered = factors.select(F.col("iso_code").alias("__donor")).distinct()
+    classed = df.join(covered, F.col("iso_code") == F.col("__donor"), "left").withColumn(
         "__class",
-        F.when(F.col("__iso").isNotNull(), "covered").when(F.col("iso_code") == usa, "usa").otherwise("rest"),
+        F.when(F.col("__donor").isNotNull(), "covered").when(F.col("iso_code") == usa, "usa").otherwise("rest"),
     )
     if latest is not None:
         dated = classed.withColumns({"__own": latest, "__all": latest})
@@ -206,18 +201,21 @@ def project_scenarios(df: DataFrame, factors: DataFrame, scenarios: Sequence[Sce
         dated.withColumn("scenario", F.explode(F.array(*[F.lit(s.name) for s in scenarios])))
         .withColumn("__latest", start)
         .withColumn("year", F.explode(years))
-        # In donor scenarios, one output row per multiplier of the year, and one without any.
-        .withColumn("__m", F.explode_outer(F.when(
-            per_scenario(lambda s: F.lit(s.donors)), F.filter("__factors", lambda f: f["at"] == year)
-        )))
     )
+    # Only covered donors in donor scenarios take a multiplier, at most one row per year and
+    # donor name; all other rows pass the left join untouched.
+    multiplier = factors.select(
+        F.col("iso_code").alias("__iso"), F.col("year").alias("__at"), F.col("realistic_multiplier").alias("__m")
+    )
+    takes = per_scenario(lambda s: F.lit(s.donors)) & (F.col("__class") == "covered")
+    rows = rows.join(multiplier, takes & (F.col("iso_code") == F.col("__iso")) & (year == F.col("__at")), "left")
 
     def factor_of(s: Scenario) -> Column:
         if not s.extend:
             return F.lit(1.0)
         if not s.donors:
             return _linear_factor(s.rest, target_year)
-        own = F.col("__m.m") - s.ramp.cut(year) if s.ramp else F.col("__m.m")
+        own = F.col("__m") - s.ramp.cut(year) if s.ramp else F.col("__m")
         return (
             F.when(F.col("__class") == "covered", F.coalesce(own, F.lit(1.0)))
             .when(F.col("__class") == "usa", _linear_factor(s.usa, target_year))
