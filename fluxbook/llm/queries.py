@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from fluxbook.llm.mixing import OP1_SQL, op1_mix_sources
+from fluxbook.llm.quality_rules import op7_quality_rules
 from fluxbook.llm.secrets import OP3_SQL, op3_secret_scan
+from fluxbook.llm.token_counts import op4_token_counts
 from fluxbook.llm.urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_secret_scan": op3_secret_scan,
+    "op4_token_counts": op4_token_counts,
+    "op7_quality_rules": op7_quality_rules,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES = {
