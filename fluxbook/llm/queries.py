@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from fluxbook.llm.language import op6_language_id
 from fluxbook.llm.mixing import OP1_SQL, op1_mix_sources
 from fluxbook.llm.quality_rules import op7_quality_rules
 from fluxbook.llm.secrets import OP3_SQL, op3_secret_scan
+from fluxbook.llm.suffix_tree import op8_lm_scores
 from fluxbook.llm.token_counts import op4_token_counts
 from fluxbook.llm.urls import OP10_SQL, op10_url_filter
 
@@ -12,7 +14,9 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_lm_scores": op8_lm_scores,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES = {
