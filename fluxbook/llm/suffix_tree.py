@@ -29,8 +29,8 @@ class TreeSettings:
     that of its suffix is at least ``divergence`` nats, and this times its count ``evidence``.
     ``drawn``: count that the suffix's distribution gets in the smoothing."""
 
-    least_share: float = 2e-5
-    divergence: float = 0.02
+    least_share: float = 1e-5
+    divergence: float = 0.01
     evidence: float = 10.0
     drawn: float = 4.0
 
@@ -222,8 +222,9 @@ def score_texts(
     """The id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every document.
 
     ``held_out`` is a condition; the other documents are learned from. The words of a text, in
-    small letters, are drawn one by one, then its end; a word is drawn symbol by symbol by the
-    suffix tree of the training words. ``base_score`` is that of single words with added ones.
+    small letters, are drawn one by one, then its end. A word is drawn by its training count or, with
+    as much weight as there are words seen once, spelt symbol by symbol by the suffix tree of the
+    training words, so every word has a probability. ``base_score`` is that of single words with added ones.
 
     The texts are read once: a chunk of some megabytes becomes its vocabulary and a bag of
     places per document. Vocabularies are summed over all chunks, scored once per different
@@ -244,9 +245,9 @@ def score_texts(
     chosen.mapInArrow(_bags(id_type), bags_schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     bag, vocabulary = (spark.read.schema(bags_schema).parquet(path).filter(f"kind = {k}") for k in (0, 1))
     words = staged(vocabulary.groupBy("word").agg(F.sum("trained").alias("c")), "lm-words")
-    known = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
+    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds"), F.count_if(F.col("c") == 1).alias("once")).first()
     ends = bag.filter("not held_out").count()
-    tokens, kinds = known["tokens"] + ends, known["kinds"] + (ends > 0)
+    tokens, kinds = seen["tokens"] + ends, seen["kinds"] + (ends > 0)
     table = context_table(words, settings).toPandas()
     tree = spark.sparkContext.broadcast(SuffixTree(*(table[c].to_numpy(np.int64) for c in ("code", "symbol", "n", "total")), settings.drawn))
 
@@ -262,6 +263,7 @@ def score_texts(
     by_chunk = vocabulary.select("chunk", "place", "word").join(scored, "word").select("chunk", "place", "c", "log")
     below = np.log10(tokens + kinds + 1)
     stop = (ends + 1) / (tokens + 2)
+    fresh = max(seen["once"], 1)
     end_base, end_log, go_on, end_known = float(np.log10(ends + 1) - below), float(np.log10(stop)), float(np.log10(1 - stop)), int(ends > 0)
 
     def finish(documents: pa.Table, vocab: pa.Table) -> pa.Table:
@@ -274,10 +276,11 @@ def score_texts(
         places, times = joined("places"), joined("times").astype(float)
         row = np.repeat(np.arange(documents.num_rows), [len(x) // 4 for x in documents["places"].to_pylist()])
         total = lambda values: np.bincount(row, times * values[places], minlength=documents.num_rows)
+        whole = np.log10((c + fresh * 10.0**log) / max(seen["tokens"] + fresh, 1))
         return pa.table({
             "id": documents["id"], "held_out": documents["held_out"], "n_tokens": documents["n_tokens"],
             "n_known": pa.array(total((c > 0).astype(float)).astype(np.int64) + end_known), "train_tokens": pa.array(np.full(documents.num_rows, tokens)),
-            "base_score": pa.array(total(base) + end_base), "score": pa.array(total(log + go_on) + end_log),
+            "base_score": pa.array(total(base) + end_base), "score": pa.array(total(whole + go_on) + end_log),
         })
 
     result = T.StructType([
