@@ -74,7 +74,7 @@ def path_templates(paths: DataFrame, settings: TreeSettings) -> DataFrame:
     labelled = F.col("blocked") + F.col("allowed")
     for level in range(settings.depth):
         here = tree.filter(F.size("segments") > level)
-        raw = F.col("segments")[level]
+        raw = F.get("segments", F.lit(level))
         children = here.withColumn("segment", F.when(raw.rlike("[0-9]"), F.lit(ANY)).otherwise(raw)).groupBy("host", "template", "segment").agg(
             *[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")], F.count_distinct(raw).alias("kinds")
         )
