@@ -5,6 +5,7 @@ from __future__ import annotations
 from fluxbook.llm.language import op6_language_id
 from fluxbook.llm.mixing import OP1_SQL, op1_mix_sources
 from fluxbook.llm.quality_rules import op7_quality_rules
+from fluxbook.llm.resampling import op9_importance_resampling
 from fluxbook.llm.secrets import OP3_SQL, op3_secret_scan
 from fluxbook.llm.suffix_tree import op8_lm_scores
 from fluxbook.llm.token_counts import op4_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_lm_scores": op8_lm_scores,
+    "op9_importance_resampling": op9_importance_resampling,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES = {
