@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from fluxbook.llm.staging import staged
-from fluxbook.llm.texts import AS_IS, LOWERED, U64, map_texts, span_hashes, spans_of, text_slices
+from fluxbook.llm.texts import AS_IS, U64, lowered, map_texts, span_hashes, spans_of, text_slices
 
 UNKNOWN = "und"
 IS_LETTER = np.zeros(256, bool)
@@ -33,15 +33,6 @@ class LanguageSettings:
     seed: int = 6
 
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    """Small letters for ASCII and the two-byte Latin-1 capitals."""
-    out = LOWERED[data]
-    capital = np.zeros(len(data), bool)
-    capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    out[capital] += 0x20
-    return out
-
-
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     small = lowered(data)
     starts, ends, rows = spans_of(IS_LETTER[small], offsets)

@@ -51,6 +51,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Small letters for ASCII and the two-byte Latin-1 capitals."""
+    out = LOWERED[data]
+    capital = np.zeros(len(data), bool)
+    capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[capital] += 0x20
+    return out
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices ``(first row, end row, bytes, offsets of the rows in the bytes)``; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):
