@@ -7,6 +7,7 @@ from fluxbook.llm.mixing import OP1_SQL, op1_mix_sources
 from fluxbook.llm.quality_rules import op7_quality_rules
 from fluxbook.llm.resampling import op9_importance_resampling
 from fluxbook.llm.secrets import OP3_SQL, op3_secret_scan
+from fluxbook.llm.shingle_join import op2_shingle_join
 from fluxbook.llm.suffix_tree import op8_lm_scores
 from fluxbook.llm.templates import op5_template_decontamination
 from fluxbook.llm.token_counts import op4_token_counts
@@ -14,6 +15,7 @@ from fluxbook.llm.urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_shingle_join": op2_shingle_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op5_template_decontamination": op5_template_decontamination,
