@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from fluxbook.llm.staging import running_totals, staged
+from fluxbook.llm.staging import running_totals, staged, text_hash
 from fluxbook.llm.texts import LOWERED, U64, map_texts, span_hashes, text_slices, windows, words_of
 
 #: Word n-grams of one and two words; of words longer than that also the first 4 and 5 bytes, which inflected forms share.
@@ -111,7 +111,7 @@ def _cut(weight: np.ndarray, good: np.ndarray, cost: float) -> float:
 def resample(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: ResamplingSettings = ResamplingSettings(),
 ) -> DataFrame:
-    """The id, ``n_grams``, ``log_weight``, ``key`` and ``kept`` of every document.
+    """The id, ``text_hash``, ``n_grams``, ``log_weight``, ``key`` and ``kept`` of every document.
 
     Two hashed n-gram models are counted: one of the target, labelled documents of quality 1
     that are not toxic (a bounded sample), one of all raw text. A document's mean log ratio of
@@ -129,7 +129,7 @@ def resample(
     )
     hashed = truth.withColumn("_hash", F.xxhash64("_id", F.lit(settings.seed)))
     sample = staged(hashed.orderBy("_hash", "_id").limit(settings.sample), "resample-labels").withColumn("_fit", F.pmod("_hash", F.lit(2)) == 0)
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
     fitted = F.broadcast(sample.filter("_fit and _good").select("_id"))  # at most settings.sample rows
     marked = chosen.join(fitted, F.col("id") == F.col("_id"), "left").select(F.col("_id").isNotNull().alias("target"), "text")
     schema = "model int, block int, counts binary"
@@ -150,18 +150,18 @@ def resample(
         return kernel
 
     added = T.StructType([T.StructField("n_grams", T.LongType()), T.StructField("mean", T.DoubleType())])
-    weighed = staged(map_texts(chosen, "text", ["id"], added, weighing), "resample-weights")
+    weighed = staged(map_texts(chosen, "text", ["id", "text_hash"], added, weighing), "resample-weights")
     held = weighed.join(F.broadcast(sample.filter("not _fit").select("_id", "_good")), F.col("id") == F.col("_id")).select("mean", "_good").toPandas()
     cut = _cut(held["mean"].to_numpy(float), held["_good"].to_numpy(bool), settings.good_cost)
     if np.isinf(cut):
-        return weighed.select(F.col("id").alias(id_col), "n_grams", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("key"), F.lit(True).alias("kept"))
+        return weighed.select(F.col("id").alias(id_col), "text_hash", "n_grams", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("key"), F.lit(True).alias("kept"))
     uniform = (F.pmod(F.xxhash64("id", F.lit(settings.seed), F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     weight = (F.col("mean") - cut) * (F.col("n_grams") + settings.shrink)
     keyed = weighed.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") - settings.temperature * F.log(-F.log(uniform)))
     draws = weighed.filter(F.col("mean") > cut).count()
     ranked = running_totals(keyed.withColumn("one", F.lit(1).cast("long")), [], [F.col("key").desc(), F.col("id").asc_nulls_last()], {"one": "rank"}, "resample-rank")
-    return ranked.select(F.col("id").alias(id_col), "n_grams", "log_weight", "key", (F.col("rank") < draws).alias("kept"))
+    return ranked.select(F.col("id").alias(id_col), "text_hash", "n_grams", "log_weight", "key", (F.col("rank") < draws).alias("kept"))
 
 
 def op9_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
-    return resample(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    return resample(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).drop("text_hash")

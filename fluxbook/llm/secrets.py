@@ -80,7 +80,7 @@ def update_ledger(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULE
     spark = versions.sparkSession
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
     seen = spark.read.schema(LEDGER).parquet(ledger)
-    addressed = versions.select("path", F.col("text"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
+    addressed = versions.select("path", F.col("text"), blob_of(F.col("text")).alias("blob"))
     stand_in = addressed.groupBy("blob").agg(F.min("path").alias("in"))
     pairs = stand_in.select("blob", "in", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("r"))
     due = (
@@ -104,6 +104,23 @@ def update_ledger(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULE
     return spark.read.schema(LEDGER).parquet(ledger).join(F.broadcast(current), ["kind", "version"])
 
 
+def blob_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def blob_findings(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule], ledger: str | None) -> DataFrame:
+    """``blob`` and ``found``, an array of (start, rank, end, kind), of every blob with findings."""
+    versions = docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text"))
+    rows = update_ledger(versions, ledger or shared_path(docs.sparkSession, "ledger"), rules)
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
+    return (
+        rows.filter(F.size("spans") > 0)
+        .select("blob", "kind", F.explode("spans").alias("s"))
+        .groupBy("blob")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), rank[F.col("kind")].alias("rank"), F.col("s.end").alias("end"), F.col("kind").alias("kind")))).alias("found"))
+    )
+
+
 def scan_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, ledger: str | None = None,
 ) -> DataFrame:
@@ -114,23 +131,24 @@ def scan_secrets(
     no findings; a NULL id is a path like any other; repeated rows stay rows of their own; an
     empty table gives no rows. Other columns are left aside.
     """
-    versions = docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text"))
-    rows = update_ledger(versions, ledger or shared_path(docs.sparkSession, "ledger"), rules)
-    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    per_blob = (
-        rows.filter(F.size("spans") > 0)
-        .select("blob", "kind", F.explode("spans").alias("s"))
-        .groupBy("blob")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), rank[F.col("kind")].alias("rank"), F.col("s.end").alias("end"), F.col("kind").alias("kind")))).alias("found"))
-    )
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return (
-        versions.select(F.col("path").alias(id_col), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
-        .join(per_blob, "blob", "left")
+        docs.select(F.col(id_col).alias(id_col), blob_of(F.col(text_col)).alias("blob"))
+        .join(blob_findings(docs, id_col, text_col, rules, ledger), "blob", "left")
         .select(id_col, "blob", F.coalesce("found", none).alias("found"))
     )
 
 
+def redact_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, ledger: str | None = None,
+) -> DataFrame:
+    """``docs`` with a mask in place of every secret; rows, columns and other texts stay as they are."""
+    found = blob_findings(docs, id_col, text_col, rules, ledger).select(F.col("blob").alias("_of"), F.col("found").alias("_found"))
+    joined = docs.withColumn("_blob", blob_of(F.col(text_col))).join(found, F.col("_blob") == F.col("_of"), "left")
+    text = F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_found")))
+    return joined.withColumn(text_col, text).select(*docs.columns)
+
+
 def redact(text: Column, found: Column) -> Column:
     """``text`` with every found span replaced by a mask; overlapping and touching spans become one mask.
 

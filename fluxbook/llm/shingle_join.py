@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from fluxbook.llm.components import connected_components
-from fluxbook.llm.staging import WORD, staged
+from fluxbook.llm.staging import WORD, row_key, staged, text_hash
 from fluxbook.llm.texts import LOWERED, U64, map_texts, mix, span_hashes, text_slices, windows, words_of
 
 SHINGLE = 5
@@ -299,10 +299,6 @@ def _link_parts(asking: pa.Table, members: pa.Table) -> pa.Table:
 
 # --- the join -------------------------------------------------------------------------------
 
-def _key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("string"), F.lit("\x00"))
-
-
 def _blocks(chosen: DataFrame) -> DataFrame:
     """``class`` and ``leader``: every two similar classes have a leader in common.
 
@@ -371,7 +367,7 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Documents of one class have the same shingles; those of one ``root`` are connected by links.
     """
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns(
-        {"key": _key("id"), "hash": F.xxhash64(F.coalesce("text", F.lit("")))}
+        {"key": row_key("id"), "hash": text_hash("text")}
     )
     added = T.StructType([T.StructField("n", T.LongType()), T.StructField("class", T.LongType())])
     slim = staged(map_texts(chosen, "text", ["id", "key", "hash"], added, _classes), "join-classes")
@@ -411,7 +407,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = groups.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "hash")).alias("k")).select(
         F.col("k.key").alias("_of_key"), F.col("k.hash").alias("_of_hash")
     )
-    keyed = docs.withColumns({"_key": _key(id_col), "_hash": F.xxhash64(F.coalesce(text_col, F.lit("")))})
+    keyed = docs.withColumns({"_key": row_key(id_col), "_hash": text_hash(text_col)})
     order = Window.partitionBy("_key", "_hash").orderBy("_hash")
     worded = F.coalesce(F.regexp_like(text_col, F.lit(WORD)), F.lit(False))
     kept = keyed.filter(worded).join(first, (F.col("_key") == F.col("_of_key")) & (F.col("_hash") == F.col("_of_hash"))).withColumn("_place", F.row_number().over(order))

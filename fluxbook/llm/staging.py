@@ -39,6 +39,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def row_key(id_col: str) -> Column:
+    """An id as a string that is never NULL; with ``text_hash`` it tells rows with different contents apart."""
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("\x00"))
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def without(docs: DataFrame, id_col: str, text_col: str, rejected: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text are not among ``rejected`` (``id``, ``text_hash``)."""
+    out = rejected.select(row_key("id").alias("_out_key"), F.col("text_hash").alias("_out_hash")).distinct()
+    keyed = docs.withColumns({"_key": row_key(id_col), "_hash": text_hash(text_col)})
+    return keyed.join(out, (F.col("_key") == F.col("_out_key")) & (F.col("_hash") == F.col("_out_hash")), "left_anti").select(*docs.columns)
+
+
 def running_totals(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], totals: dict[str, str], name: str
 ) -> DataFrame:

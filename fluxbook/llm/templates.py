@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from fluxbook.llm.staging import staged
+from fluxbook.llm.staging import staged, text_hash
 from fluxbook.llm.texts import U64, lowered, map_texts, span_hashes, spans_of, windows
 
 #: Words that are units when they follow a number.
@@ -160,7 +160,7 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", settings: TemplateSettings = TemplateSettings(),
 ) -> DataFrame:
-    """``row`` (a number of the input row), the id, ``contaminated``, ``n_items``, ``item`` (the smallest one held),
+    """``row`` (a number of the input row), the id, ``text_hash``, ``contaminated``, ``n_items``, ``item`` (the smallest one held),
     ``matched`` (most windows of an item) and ``same_slots`` (an item is held with its own values).
 
     Texts and benchmark items become templates. Windows of the benchmark are looked up in every
@@ -189,15 +189,15 @@ def decontaminate(
     hashes = item_windows.select("window").distinct()
     passes = max(1, -(-hashes.count() // settings.block))
     found = None
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
     for k in range(passes):
         part = hashes.filter(F.pmod("window", F.lit(passes)) == k) if passes > 1 else hashes
         wanted = spark.sparkContext.broadcast(np.sort(part.toPandas()["window"].to_numpy(np.int64).view(U64)))
-        one = map_texts(chosen, "text", ["id"], LISTS, lambda wanted=wanted: _kernel(names, widths, settings, wanted.value))
+        one = map_texts(chosen, "text", ["id", "text_hash"], LISTS, lambda wanted=wanted: _kernel(names, widths, settings, wanted.value))
         # the pass that numbers the rows keeps them all, the others only rows with hits
         one = staged(one.withColumn("row", F.monotonically_increasing_id()).drop("n_words"), f"template-hits-{k}")
         found = one if found is None else found.unionByName(one.filter(F.size("windows") > 0))
-    rows = found.groupBy("row").agg(F.first("id").alias("id")) if passes > 1 else found.select("row", "id")
+    rows = found.groupBy("row").agg(F.first("id").alias("id"), F.first("text_hash").alias("text_hash")) if passes > 1 else found.select("row", "id", "text_hash")
     hits = hits_of(found.filter(F.size("windows") > 0), "row").select(
         "row", F.col("h.windows").alias("window"), F.col("h.places").alias("place"), F.col("h.slots").alias("doc_slots")
     )
@@ -219,11 +219,11 @@ def decontaminate(
         .agg(F.count("*").alias("n_items"), F.min("item").alias("item"), F.max("matched").alias("matched"), F.max("same").alias("same_slots"))
     )
     return rows.join(held, F.col("row") == F.col("_row"), "left").select(
-        "row", F.col("id").alias(id_col), F.col("_row").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        "row", F.col("id").alias(id_col), "text_hash", F.col("_row").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         "item", F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), "same_slots",
     )
 
 
 def op5_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
-    return found.drop("row").withColumnRenamed("item", "item_id")
+    return found.drop("row", "text_hash").withColumnRenamed("item", "item_id")
