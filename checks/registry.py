@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from checks.relations import (
     BASE_YEAR, GROUPS, PERIODS, PROJECTION_SHIFT, TRADE, Trade, trade,
@@ -104,8 +104,8 @@ register(
 )
 register(
     "scan_gni",
-    lambda t: t.gni.join(t.gni_pc, ["year", "entity_code"]).transform(rounded, 6, "gni_pc"),
-    "SELECT year, entity_code, gni, round(gni_pc, 6) AS gni_pc FROM balances",
+    lambda t: joins.add_gni_per_capita(t.gni, t.gni_pc).transform(rounded, 6, "gni_pc"),
+    "SELECT year, entity_code, gni, CASE WHEN entity_code IS NOT NULL THEN round(gni_pc, 6) END AS gni_pc FROM balances",
 )
 register(
     "read_projections",
@@ -115,10 +115,10 @@ register(
 register(
     "clean_columns",
     lambda t: t.projections_raw.transform(sc.clean_columns),
-    """SELECT n.year + 4 AS year, t.country AS donor, n.ngdp * 3 AS gni, n.ngdp AS oda_realistic,
+    """SELECT n.year + 4 AS year, CASE WHEN t.k < 10 THEN t.country END AS donor, n.ngdp * 3 AS gni, n.ngdp AS oda_realistic,
         n.finished AS oda_downside, n.ngdp_r AS health_bilateral_realistic,
         n.ngdp_r * 2 AS wb_multilateral_upside, n.ngdp_r * 4 AS agriculture_bilateral_upside
-    FROM nation_years n JOIN nat t ON n.k = t.k WHERE t.k < 10""",
+    FROM nation_years n JOIN nat t ON n.k = t.k""",
 )
 register(
     "select_family",
@@ -174,6 +174,23 @@ register(
     lambda t: _aid(t).transform(filters.keep_official_donors, t.group("n_nationkey < 20")),
     f"{AID} AND donor_code < 20",
 )
+register(
+    "official_donors_listed",
+    lambda t: _aid(t).withColumn("donor_code", F.when(F.col("donor_code") == 22, 1055).otherwise(F.col("donor_code")))
+    .transform(filters.keep_official_donors, t.group("n_nationkey < 20")),
+    f"""SELECT year, CASE donor_code WHEN 22 THEN 1055 ELSE donor_code END AS donor_code, recipient_code, {dbl('units')} AS value
+    FROM aid_raw WHERE prices = 'current' AND (donor_code < 20 OR donor_code = 22)""",
+)
+register(
+    "scan_aid_totals",
+    lambda t: scans.scan_aid_totals(
+        t.aid_total.withColumn("donor_code", F.when(F.col("donor_code") == 5, 83).otherwise(F.col("donor_code"))), range(5), 1996, 1999,
+    ),
+    f"""SELECT f.year, CASE n.k WHEN 5 THEN 83 ELSE n.k END AS donor_code, n.country AS donor_name, 'USD' AS currency,
+        'current' AS prices, 'total_oda' AS indicator, {dbl('sum(f.principal)')} AS value
+    FROM facts f JOIN nat n ON n.k = f.creditor WHERE f.status = 'O' AND f.line IN (1, 2) AND n.k <= 5
+        AND f.year BETWEEN 1996 AND 1999 GROUP BY f.year, n.k, n.country""",
+)
 register(
     "recipient_group",
     lambda t: _aid(t).transform(filters.keep_recipient_group, t.group("n_nationkey <> 24")),
@@ -258,7 +275,7 @@ register(
 )
 register(
     "semi_outflows_facts",
-    lambda t: t.flow_rows.transform(filters.semi_join_outflows).select(
+    lambda t: t.flow_rows.transform(filters.semi_join_outflows, t.table("nation", "n_name"), 10).select(
         "year", "country", "counterpart_area", "indicator", "indicator_type", "value"
     ),
     f"""SELECT year, country, counterpart_area, indicator, indicator_type, {dbl('value')} AS value FROM flow_rows
@@ -278,6 +295,26 @@ register(
 )
 
 
+def _debt_with_nan(t: Trade) -> DataFrame:
+    year, code = F.year("year") % 3, F.col("indicator")
+    missing = ((year == 0) & (code == "DT.DIS.BLAT.CD")) | ((year == 1) & (code == "DT.DIS.BLTC.CD"))
+    return t.debt_raw.withColumn("value", F.when(missing, float("nan")).otherwise(F.col("value").cast("double")))
+
+
+register(
+    "concessional_split_nan",
+    lambda t: _year(concessional.concessional_split(_debt_with_nan(t), "DT.DIS.BLAT.CD", "DT.DIS.BLTC.CD", "bilateral"))
+    .transform(rounded, 4, "value"),
+    """SELECT t.year, t.country, t.counterpart_area, 'bilateral' || k.kind AS indicator,
+        round(CASE k.kind WHEN '_concessional' THEN c.known ELSE coalesce(t.known, 0) - coalesce(c.known, 0) END, 4) AS value
+    FROM (SELECT *, CASE WHEN year % 3 <> 0 THEN CAST(value AS DOUBLE) END AS known FROM debt_raw) t
+    CROSS JOIN (VALUES ('_concessional'), ('_non_concessional')) k(kind)
+    LEFT JOIN (SELECT *, CASE WHEN year % 3 <> 1 THEN CAST(value AS DOUBLE) END AS known FROM debt_raw) c
+        ON c.indicator = 'DT.DIS.BLTC.CD' AND c.year = t.year AND c.country = t.country
+        AND c.counterpart_area = t.counterpart_area WHERE t.indicator = 'DT.DIS.BLAT.CD'""",
+)
+
+
 def _trimmed_debt(t: Trade) -> DataFrame:
     return _year(t.debt_raw).withColumn("counterpart_area", F.trim("counterpart_area"))
 
@@ -298,6 +335,36 @@ register(
         coalesce(c.iso_code, trim(r.counterpart_area)) AS counterpart_iso_code, {dbl('r.value')} AS value
     FROM debt_raw r LEFT JOIN names c ON trim(r.counterpart_area) = c.raw_name""",
 )
+
+
+def _spelt(column: str, spellings: tuple[str, ...]) -> Column:
+    """Published spellings in place of the nations' names, by turns."""
+    turn = F.regexp_extract(column, "[0-9]+", 0).cast("int") % (len(spellings) + 1)
+    return F.coalesce(*[F.when(turn == i, name) for i, name in enumerate(spellings)], F.col(column))
+
+
+register(
+    "fixed_creditors",
+    lambda t: names.clean_creditors(
+        _trimmed_debt(t).withColumn("counterpart_area", _spelt("counterpart_area", (
+            "World Bank-IDA", "Green Climate Fund [GCF]", "Korea, D.P.R. of", "GermanDem.Rep."))),
+        "counterpart_area", names.NameBook(names.creditor_aliases(t.spark)),
+    ),
+    f"""SELECT indicator, year, country, {dbl('value')} AS value, CASE turn WHEN 0 THEN 'WB International Development Association'
+            WHEN 1 THEN 'Green Climate Fund' WHEN 2 THEN 'North Korea' WHEN 3 THEN 'Germany' ELSE area END AS counterpart_area,
+        CASE turn WHEN 0 THEN 'WB International Development Association' WHEN 1 THEN 'Green Climate Fund' WHEN 2 THEN 'PRK'
+            WHEN 3 THEN 'GermanDem.Rep.' ELSE area END AS counterpart_iso_code
+    FROM (SELECT *, trim(counterpart_area) AS area, CAST(regexp_extract(counterpart_area, '[0-9]+') AS INTEGER) % 5 AS turn FROM debt_raw)""",
+)
+register(
+    "fixed_debtors",
+    lambda t: names.clean_debtors(
+        _trimmed_debt(t).withColumn("country", _spelt("country", ("Macau (China)",))), "country", names.NameBook(names.debtor_aliases(t.spark)),
+    ),
+    f"""SELECT CASE turn WHEN 0 THEN 'MAC' END AS iso_code, CASE turn WHEN 0 THEN 'Macau' ELSE country END AS country,
+        CASE turn WHEN 0 THEN 'Asia' ELSE country END AS continent, indicator, year, trim(counterpart_area) AS counterpart_area, {dbl('value')} AS value
+    FROM (SELECT *, CAST(regexp_extract(country, '[0-9]+') AS INTEGER) % 2 AS turn FROM debt_raw)""",
+)
 register(
     "add_iso",
     lambda t: joins.add_iso_codes(t.flow_table, t.isos, "counterpart_area"),
@@ -509,6 +576,16 @@ register(
     lambda t: t.series("NGDP").transform(series.growth_rate).transform(rounded, 8, "value"),
     f"SELECT {INDEX} FROM growth WHERE indicator = 'NGDP'",
 )
+register(
+    "growth_rate_nan",
+    lambda t: t.series("NGDP").withColumn("value", F.when(F.col("year") % 3 == 0, float("nan")).otherwise(F.col("value")))
+    .transform(series.growth_rate).transform(rounded, 8, "value"),
+    """SELECT iso_code, year, round(value, 8) AS value FROM (
+        SELECT iso_code, year, known / nullif(lag(known) OVER (PARTITION BY iso_code ORDER BY year), 0) - 1 AS value FROM (
+            SELECT iso_code, year, last_value(CASE WHEN year % 3 <> 0 THEN value END IGNORE NULLS) OVER (
+                PARTITION BY iso_code ORDER BY year ROWS UNBOUNDED PRECEDING) AS known
+            FROM macro WHERE indicator = 'NGDP' AND iso_code IS NOT NULL)) WHERE value IS NOT NULL""",
+)
 register(
     "cum_deflator",
     lambda t: t.series("NGDP").transform(series.growth_rate).transform(series.cumulative_growth)
@@ -820,6 +897,14 @@ register(
     f"""SELECT year, country, continent, income_level, prices, 'net_flow' AS indicator_type, {dbl('sum(value)')} AS value
     FROM net_market GROUP BY year, country, continent, income_level, prices""",
 )
+register(
+    "net_flows_without_grants",
+    lambda t: reports.net_flows_by_country(t.flows, TRADE, "excluding_grants"),
+    f"""SELECT year, country, continent, income_level, prices, 'net_flow' AS indicator_type, {dbl('sum(value)')} AS value FROM (
+        SELECT year, country, continent, income_level, prices, value FROM no_grants
+        UNION ALL SELECT year, 'Developing countries', 'World', 'All', prices, value FROM no_grants)
+    GROUP BY year, country, continent, income_level, prices""",
+)
 
 
 def _report(t: Trade) -> DataFrame:
@@ -833,6 +918,15 @@ register(
     f"""SELECT year, country, continent, income_level, counterpart_type, indicator_type, prices, {dbl('value')} AS value FROM hist""",
 )
 register("debt_service", _service, f"SELECT {SERVICE}, {dbl('value')} AS value FROM service")
+register(
+    "debt_service_all_countries",
+    lambda t: reports.debt_service_report(t.flows, TRADE, exclude_outliers=False, remove_countries_wo_outflows=False),
+    f"""SELECT year, country, continent, income_level, counterpart_area, counterpart_type, prices, {dbl('-sum(value)')} AS value
+    FROM (SELECT * FROM flows UNION ALL BY NAME SELECT * REPLACE ('Developing countries' AS country,
+        'World' AS continent, 'All' AS income_level) FROM flows)
+    WHERE indicator_type = 'outflow' AND year <= 2001
+    GROUP BY year, country, continent, income_level, counterpart_area, counterpart_type, prices""",
+)
 register(
     "inflow_scenarios",
     lambda t: _inflow_scenarios(t).transform(to_cents),

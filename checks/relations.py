@@ -138,13 +138,13 @@ class Trade:
 
     @cached_property
     def isos(self) -> DataFrame:
-        """name, donor_code -> iso_code; one group code of four letters, one nation without."""
+        """name, donor_code -> iso_code; one group code of four letters, one nation with NULL."""
         key = F.col("n_nationkey")
         code = (
             F.when(key == 12, "USA").when(key == 23, "NX23")
-            .otherwise(F.concat(F.lit("N"), F.lpad(key.cast("string"), 2, "0")))
+            .when(key != 24, F.concat(F.lit("N"), F.lpad(key.cast("string"), 2, "0")))
         )
-        return self.table("nation", "n_nationkey", "n_name").where(key != 24).select(
+        return self.table("nation", "n_nationkey", "n_name").select(
             F.col("n_name").alias("name"), key.alias("donor_code"), code.alias("iso_code")
         )
 
@@ -211,15 +211,18 @@ class Trade:
         return self.instruments.join(codes, ["status", "indicator"]).drop("indicator")
 
     def _labelled(self, facts: DataFrame) -> DataFrame:
-        """Flow columns on facts or on the cube, less the outflows dropped on purpose."""
+        """Flow columns on facts or on the cube.
+
+        To have debtor-years without outflows, or with concessional ones only, some payments
+        are labelled as inflows.
+        """
         remainder = (F.col("debtor") + F.col("year")) % 7
         concessional = F.col("line").isin(3, 5)
-        outflow = F.col("status") == "F"
-        dropped = outflow & ((remainder == 0) | ((remainder == 1) & ~concessional))
+        turned = (remainder == 0) | ((remainder == 1) & ~concessional)
+        outflow = (F.col("status") == "F") & ~turned
         creditor = self.table("nation", "n_nationkey", "n_name").toDF("creditor_key", "counterpart_area")
         return (
-            facts.where(~dropped)
-            .join(self.instruments, list(INSTRUMENT_KEYS))
+            facts.join(self.instruments, list(INSTRUMENT_KEYS))
             .join(self.nations, F.col("debtor") == F.col("n_nationkey"))
             .join(creditor, F.col("creditor") == F.col("creditor_key"))
             .select(
@@ -315,9 +318,10 @@ class Trade:
 
     @cached_property
     def aid_total(self) -> DataFrame:
-        """Official totals by donor in millions. The USA's last year is one year earlier."""
-        usa_cut = (F.col("creditor") == 12) & (F.col("year") > 1999)
-        sums = self.cube.where(GRANT_LINES).where(~usa_cut).groupBy("year", "creditor").agg(
+        """Official totals by donor in millions. The USA's last year is one year earlier: later
+        grants go by the next donor's name."""
+        creditor = F.when((F.col("creditor") == 12) & (F.col("year") > 1999), 13).otherwise(F.col("creditor"))
+        sums = self.cube.where(GRANT_LINES).groupBy("year", creditor.alias("creditor")).agg(
             F.sum("principal").alias("total")
         )
         names = self.table("nation", "n_nationkey", "n_name")
@@ -375,32 +379,36 @@ class Trade:
         )
 
     def macro_by_nation(self, indicator: str) -> DataFrame:
-        """One macro series by nation key, with a missing base year and a missing value."""
+        """One macro series by nation key, with a base year that has lost its key and a missing value."""
         if indicator == "NGDPD":
             rows = self.cube.groupBy("year", F.col("debtor").alias("c_nationkey")).agg(
                 F.sum("gross").cast("double").alias("level")
             )
         else:
-            level = {
-                "NGDP": F.col("ngdp"), "NGDP_R": F.col("ngdp_r"),
-                "NGDP_D": 100 * F.col("ngdp") / F.col("ngdp_r"),
-            }[indicator]
-            rows = self._nation_years.withColumn("level", level)
+            rows = self._domestic.where(F.col("indicator") == indicator)
+        return self._with_gaps(rows).select("c_nationkey", "year", "value")
+
+    def _with_gaps(self, rows: DataFrame) -> DataFrame:
         gap = (F.col("c_nationkey") == 4) & (F.col("year") == 1997)
-        return rows.where(~((F.col("c_nationkey") == 2) & (F.col("year") == BASE_YEAR))).select(
-            "c_nationkey", "year", F.when(~gap, F.col("level")).alias("value")
-        )
+        lost = (F.col("c_nationkey") == 2) & (F.col("year") == BASE_YEAR)
+        return rows.withColumns({"value": F.when(~gap, F.col("level")), "c_nationkey": F.when(~lost, F.col("c_nationkey"))})
+
+    @cached_property
+    def _domestic(self) -> DataFrame:
+        """The three series of one aggregate. It always asks for both of its measures, so that
+        every series, and every join of series, shares one shuffle."""
+        levels = F.array(*[
+            F.struct(F.lit(name).alias("indicator"), level.alias("level")) for name, level in (
+                ("NGDP", F.col("ngdp")), ("NGDP_R", F.col("ngdp_r")), ("NGDP_D", 100 * F.col("ngdp") / F.col("ngdp_r")),
+            )
+        ])
+        return self._nation_years.select("year", "c_nationkey", F.explode(levels).alias("s")).select("year", "c_nationkey", "s.*")
 
     @cached_property
     def macro(self) -> DataFrame:
         """The macro table; a scan of one indicator prunes the other branches."""
-        parts = [
-            self.macro_by_nation(i).withColumn("indicator", F.lit(i))
-            for i in ("NGDP", "NGDP_R", "NGDP_D", "NGDPD")
-        ]
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
+        domestic = self._with_gaps(self._domestic).select("c_nationkey", "year", "value", "indicator")
+        rows = domestic.unionByName(self.macro_by_nation("NGDPD").withColumn("indicator", F.lit("NGDPD")))
         return rows.join(self.isos, F.col("c_nationkey") == F.col("donor_code"), "left").select(
             "iso_code", _new_year().alias("year"), "indicator", "value"
         )
@@ -427,7 +435,8 @@ class Trade:
             F.struct(F.lit("current").alias("prices"), F.col("ngdp").alias("value")),
             F.struct(F.lit("constant").alias("prices"), (F.col("ngdp") * 1.37).alias("value")),
         )
-        return self._nation_years.withColumn("basis", F.explode(bases)).select(
+        # ngdp_r counts orders and is never 0; asking for it shares the shuffle of the macro series
+        return self._nation_years.where("ngdp_r > 0").withColumn("basis", F.explode(bases)).select(
             "year", F.col("c_nationkey").alias("donor_code"), "basis.prices",
             F.lit("gni").alias("indicator"), "basis.value",
         )
@@ -438,15 +447,15 @@ class Trade:
         )
 
     def _gni_source(self, per_capita: bool) -> DataFrame:
-        """Balances of the customers that ordered in a year; one nation is missing."""
+        """Balances of the customers that ordered in a year; one nation's code is missing."""
         buyers = self.orders_by_nation.select("year", F.col("c_custkey").alias("buyer")).distinct()
-        customers = self.table("customer", "c_custkey", "c_nationkey", "c_acctbal").where("c_nationkey <> 11")
+        customers = self.table("customer", "c_custkey", "c_nationkey", "c_acctbal")
         level = (F.sum(F.col("c_acctbal").cast(MONEY)) * 1000).cast("double")
         rows = buyers.join(customers, F.col("buyer") == F.col("c_custkey")).groupBy("year", "c_nationkey").agg(
             (level / F.count(F.lit(1)) if per_capita else level).alias("value")
         )
         return rows.join(self.isos, F.col("c_nationkey") == F.col("donor_code")).select(
-            "year", F.col("iso_code").alias("entity_code"), "value"
+            "year", F.when(F.col("donor_code") != 11, F.col("iso_code")).alias("entity_code"), "value"
         )
 
     @cached_property
@@ -459,8 +468,8 @@ class Trade:
 
     @cached_property
     def projections_raw(self) -> DataFrame:
-        """Wide projections with workbook headers, for the first ten nations."""
-        names = self.table("nation", "n_nationkey", "n_name").where("n_nationkey < 10")
+        """Wide projections with workbook headers; only the first ten nations go by a name."""
+        names = self.table("nation", "n_nationkey", "n_name").withColumn("n_name", F.when(F.col("n_nationkey") < 10, F.col("n_name")))
         return self._nation_years.join(names, F.col("c_nationkey") == F.col("n_nationkey")).select(
             (F.col("year") + PROJECTION_SHIFT).alias("Year"), F.col("n_name").alias("Donor"),
             (F.col("ngdp") * 3).alias("GNI Value"),

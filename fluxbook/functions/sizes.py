@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def below_broadcast_threshold(df: DataFrame) -> bool:
-    """True if the optimizer's size for ``df`` is under the session's broadcast threshold.
+def below_broadcast_threshold(df: DataFrame, times: int = 1) -> bool:
+    """True if ``times`` the optimizer's size for ``df`` is under the session's broadcast threshold.
 
     For a scan that size comes from the files themselves. Where it cannot be read (a remote
     client without the driver's plan) the answer is no.
@@ -16,7 +16,7 @@ def below_broadcast_threshold(df: DataFrame) -> bool:
         limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     except AttributeError:
         return False
-    return size <= limit
+    return size * times <= limit
 
 
 def broadcast_if_small(df: DataFrame, bound: DataFrame) -> DataFrame:

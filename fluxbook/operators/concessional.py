@@ -10,7 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fluxbook.functions.values import total
+from fluxbook.functions.values import nan_to_null, total
 from fluxbook.vocabulary import DEBT_KEYS
 
 
@@ -54,7 +54,7 @@ def debt_by_direction(debt: DataFrame, books: dict[str, dict]) -> DataFrame:
         return F.when(F.col("role") == kind, F.col("value"))
 
     sums = (
-        debt.join(book, "indicator")
+        nan_to_null(debt, "value").join(book, "indicator")
         .groupBy(*DEBT_KEYS, "family", "leg", "indicator_type")
         .agg(
             F.max(F.col("role") == "total").alias("has_total"),

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fluxbook.functions import masks
+from fluxbook.functions.sizes import below_broadcast_threshold
 from fluxbook.vocabulary import CHINA_RELABELS, DEBT_KEYS, OTHER_OFFICIAL_DONORS
 
 Members = DataFrame | Iterable
@@ -117,17 +118,21 @@ def keep_countries_with_outflows(df: DataFrame, *also_by: str) -> DataFrame:
     return df.withColumn("__keep", has_outflow).where("__keep and year is not null").drop("__keep")
 
 
-def semi_join_outflows(df: DataFrame) -> DataFrame:
+def semi_join_outflows(df: DataFrame, countries: DataFrame | None = None, years: int = 100) -> DataFrame:
     """The same rule for fact-grained input: a semi join on the distinct outflow pairs.
 
-    Distinct pairs are combined map-side, so a pair holding most of the rows costs nothing
-    extra, and the small side is broadcast by Spark once its size is known.
+    There are at most as many pairs as countries times years. Where the table of ``countries``,
+    times ``years``, is under the broadcast threshold, the pairs are broadcast and the facts stay
+    where they are; else, and without that table, the join is left to Spark. Distinct pairs are
+    combined map-side, so a pair holding most of the rows costs nothing extra.
     """
     pairs = (
         df.where(F.col("indicator_type") == "outflow")
         .select(F.col("year").alias("__year"), F.col("country").alias("__country"))
         .distinct()
     )
+    if countries is not None and below_broadcast_threshold(countries, years):
+        pairs = F.broadcast(pairs)
     match = (F.col("year") == F.col("__year")) & F.col("country").eqNullSafe(F.col("__country"))
     return df.join(pairs, match, "left_semi")
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fluxbook import creditor_names as fixed
+from fluxbook.functions.sizes import broadcast_if_small
 
 FIELDS = ("iso_code", "name", "continent")
 
@@ -88,7 +89,17 @@ def resolve_names(names: DataFrame, book: NameBook) -> DataFrame:
 
 
 def _with_answers(df: DataFrame, column: str, book: NameBook, names: DataFrame | None) -> DataFrame:
-    names = df.select(column) if names is None else names
+    if names is None:
+        # Row by row: the rows stay where they are, only the alias table moves.
+        aliases = book.aliases.select(F.col("alias").alias("raw_name"), *[F.col(f).alias(f"alias_{f}") for f in FIELDS])
+        joined = df.join(broadcast_if_small(aliases, book.aliases), F.col(column) == F.col("raw_name"), "left")
+        incomplete = F.lit(False)
+        for f in FIELDS:
+            incomplete = incomplete | F.col(f"alias_{f}").isNull()
+        hit = F.when(incomplete, _first_match(column, book.patterns))
+        return joined.withColumn("__hit", hit).withColumns(
+            {f"__{f}": F.coalesce(f"alias_{f}", f"__hit.{f}") for f in FIELDS}
+        ).drop("raw_name", "__hit", *[f"alias_{f}" for f in FIELDS])
     answers = resolve_names(names, book).select(
         "raw_name", *[F.col(f).alias(f"__{f}") for f in FIELDS]
     )
@@ -98,8 +109,8 @@ def _with_answers(df: DataFrame, column: str, book: NameBook, names: DataFrame |
 def clean_debtors(df: DataFrame, column: str, book: NameBook, names: DataFrame | None = None) -> DataFrame:
     """iso_code (NULL if unknown), short name and continent (raw name if unknown) up front.
 
-    ``names`` may list the names of ``column``; without it ``df`` is scanned once more for
-    its distinct names, reading that column only.
+    ``names`` may list the names of ``column``, which are then resolved once each; without it
+    the rows are resolved where they are, against the alias table and the patterns.
     """
     rest = [c for c in df.columns if c not in (column, "iso_code", "continent")]
     return _with_answers(df, column, book, names).select(

@@ -17,17 +17,21 @@ def unpivot(df: DataFrame, ids: Sequence[str], measures: Sequence[str]) -> DataF
 
 def pivot_unique(df: DataFrame, index: Sequence[str], column: str, values: Sequence[str],
                  measure: str = "value") -> DataFrame:
-    """Long to wide without aggregating: a second row for one cell is an error.
+    """Long to wide without aggregating: a second row for one cell is an error, and so is a
+    label that ``values`` does not list, NULL included, as its amount would be lost.
 
     The column labels are fixed up front, so this is one aggregation with no extra job to
     discover them.
     """
     cells = []
+    unlisted = F.count(F.when(~F.coalesce(F.col(column).isin(*values), F.lit(False)), 1)) > 0
+    lost = F.raise_error(F.lit(f"pivot: a label of {column} that is not listed"))
     for value in values:
         hit = F.col(column) == value
         clash = F.raise_error(F.lit(f"pivot: more than one row for {column}={value}"))
         cells.append(
-            F.when(F.count(F.when(hit, 1)) > 1, clash)
+            F.when(unlisted, lost)
+            .when(F.count(F.when(hit, 1)) > 1, clash)
             .otherwise(F.max(F.when(hit, F.col(measure))))
             .alias(value)
         )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
-from fluxbook.functions.values import scaled_type
+from fluxbook.functions.values import nan_to_null, scaled_type
 from fluxbook.operators.totals import union_by_name
 
 
@@ -43,7 +43,7 @@ def keep_latest_year(df: DataFrame) -> DataFrame:
 
 def growth_rate(df: DataFrame) -> DataFrame:
     """Change on the previous row, gaps carried forward; rows without a rate drop out."""
-    filled = df.withColumn("value", F.last("value", ignorenulls=True).over(so_far()))
+    filled = nan_to_null(df, "value").withColumn("value", F.last("value", ignorenulls=True).over(so_far()))
     rate = F.try_divide(F.col("value"), F.lag("value").over(in_order())) - 1
     return filled.withColumn("value", rate).dropna(subset=["value"])
 
@@ -54,6 +54,7 @@ def cumulative_growth(df: DataFrame) -> DataFrame:
 
 def rebase(df: DataFrame, base_year: int) -> DataFrame:
     """Divide by the base-year value; NULL where a series has no base year."""
+    df = nan_to_null(df, "value")
     base = F.sum(F.when(F.col("year") == base_year, F.col("value"))).over(in_series())
     return df.withColumn("value", F.try_divide(F.col("value"), base))
 

@@ -6,8 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from fluxbook.functions.values import nan_to_null
 from fluxbook.operators.joins import add_donor_and_recipient_names
 from fluxbook.operators.scenarios import clean_columns
+from fluxbook.vocabulary import EXTRA_AID_DONORS
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -24,6 +26,7 @@ def scan_debt(debt: DataFrame, indicators: Iterable[str], start_year: int, end_y
     """Some indicators of some years. The timestamp bounds are pushed to the scan, and the
     indicator list prunes partitions of a table written by ``land_debt``."""
     kind = debt.schema["year"].dataType
+    debt = nan_to_null(debt)
     first, after = (F.lit(f"{y:04d}-01-01").cast(kind) for y in (start_year, end_year + 1))
     return debt.where(F.col("indicator").isin(*indicators) & (F.col("year") >= first) & (F.col("year") < after))
 
@@ -32,7 +35,7 @@ def scan_aid(aid: DataFrame, start_year: int, end_year: int, *, prices: str = "c
              indicator: str | None = None, donors: Iterable[int] | None = None,
              donor_names: DataFrame | None = None, recipient_names: DataFrame | None = None) -> DataFrame:
     """Aid rows of some years, in one price basis, optionally of some donors and with names."""
-    rows = aid.where(F.col("year").between(start_year, end_year) & (F.col("prices") == prices))
+    rows = nan_to_null(aid).where(F.col("year").between(start_year, end_year) & (F.col("prices") == prices))
     if indicator is not None:
         rows = rows.where(F.col("indicator") == indicator)
     if donors is not None:
@@ -47,18 +50,21 @@ def to_units(df: DataFrame, scale: int = 1_000_000) -> DataFrame:
     return df.withColumn("value", F.col("value") * scale)
 
 
-def scan_aid_totals(aid_total: DataFrame, donors: Iterable[int], start_year: int, end_year: int,
+def scan_aid_totals(aid_total: DataFrame, dac_donors: Iterable[int], start_year: int, end_year: int,
                     prices: str = "current") -> DataFrame:
-    """Official totals of the scenario donors, in units."""
+    """Official totals of the scenario donors, which are the DAC's and one more, in units."""
+    donors = sorted({*dac_donors, *EXTRA_AID_DONORS})
     return scan_aid(aid_total, start_year, end_year, prices=prices, donors=donors).transform(to_units)
 
 
 def scan_macro(macro: DataFrame, indicator: str, first_year: int = 2000) -> DataFrame:
-    """One macro indicator by integer year, without rows that have no iso_code."""
+    """One macro indicator by integer year, without rows that have no iso_code. The first year is
+    a bound on the stored timestamp, which the reader can push down."""
+    first = F.lit(f"{first_year:04d}-01-01").cast(macro.schema["year"].dataType)
     return (
-        macro.where((F.col("indicator") == indicator) & F.col("iso_code").isNotNull())
+        nan_to_null(macro)
+        .where((F.col("indicator") == indicator) & F.col("iso_code").isNotNull() & (F.col("year") >= first))
         .withColumn("year", F.year("year"))
-        .where(F.col("year") >= first_year)
         .drop("indicator")
     )
 
@@ -71,20 +77,20 @@ def scan_aid_gni(aid: DataFrame, isos: DataFrame, start_year: int, end_year: int
 
 
 def scan_gni(gni: DataFrame) -> DataFrame:
-    return gni.select("year", "entity_code", F.col("value").alias("gni"))
+    return nan_to_null(gni).select("year", "entity_code", F.col("value").alias("gni"))
 
 
 def scan_gni_per_capita(gni_pc: DataFrame) -> DataFrame:
-    return gni_pc.select("year", "entity_code", F.col("value").alias("gni_pc"))
+    return nan_to_null(gni_pc).select("year", "entity_code", F.col("value").alias("gni_pc"))
 
 
 def scan_projections(wide: DataFrame, skip_year: int = 2024) -> DataFrame:
     """Wide projections with clean headers, without the year that is not projected."""
-    return wide.transform(clean_columns).where(F.coalesce(F.col("year") != skip_year, F.lit(True)))
+    return nan_to_null(wide.transform(clean_columns)).where(F.coalesce(F.col("year") != skip_year, F.lit(True)))
 
 
 def scan_deflators(deflators: DataFrame) -> DataFrame:
-    return deflators.select("year", "iso_code", "usd_usd_deflator")
+    return nan_to_null(deflators).select("year", "iso_code", "usd_usd_deflator")
 
 
 def dim_names(code_list: DataFrame, side: str, start_year: int = 2010, end_year: int = 2022) -> DataFrame:

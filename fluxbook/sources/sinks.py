@@ -28,9 +28,12 @@ def land_debt(debt: DataFrame, path: str) -> None:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that is unset, as in local tests, a temporary folder is used.
+    Only where that is unset and the master is local, as in tests, a temporary folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
