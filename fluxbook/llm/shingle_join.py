@@ -21,6 +21,8 @@ EXTRA = 0.1
 CHUNK = 512
 #: Tokens that so many texts of one task list are counted as frequent; the most frequent ones over all tasks are salted.
 LOCALLY_FREQUENT, SALTED = 64, 50_000
+#: Bits of the filter in front of the shuffle of token sets: 1 MB.
+CLASS_BITS = 1 << 23
 
 
 # --- token sets -----------------------------------------------------------------------------
@@ -302,8 +304,10 @@ def _link_parts(asking: pa.Table, members: pa.Table) -> pa.Table:
 def _blocks(chosen: DataFrame) -> DataFrame:
     """``class`` and ``leader``: every two similar classes have a leader in common.
 
-    Every token that several classes list has a leader, the smallest of them. Classes that do not
-    list enough shared tokens are similar to none and drop out first. The most frequent tokens
+    Classes that do not list enough shared tokens are similar to none and drop out first. As two
+    similar classes share at least so many listed tokens, each may leave out all but one of that
+    number, the most frequent ones by one order of all tokens: the rarest token they share stays
+    with both. A token has a leader, the smallest class it is left with. The most frequent tokens
     are salted before the shuffle, so that no token fills a partition.
     """
     spark = chosen.sparkSession
@@ -314,29 +318,56 @@ def _blocks(chosen: DataFrame) -> DataFrame:
     shared = tokens.withColumns({"low": F.min("class").over(alike), "high": F.max("class").over(alike)}).filter("low < high or salt > 0")
     shared = staged(shared.select("token", "class", "n"), "join-shared").distinct()
     enough = shared.groupBy("class").agg(F.count("*").alias("shares"), F.first("n").alias("n")).filter(F.col("shares") >= least_shared(F.col("n"))).select("class")
-    kept = staged(shared.join(enough, "class", "left_semi").select("token", "class"), "join-tokens")
-    leaders = kept.groupBy("token").agg(F.min("class").alias("leader"), F.count("*").alias("lists")).filter("lists > 1").select("token", "leader")
-    return staged(kept.join(leaders, "token").select("leader", "class").distinct(), "join-blocks")
+    kept = staged(shared.join(enough, "class", "left_semi"), "join-tokens")
+    often = kept.groupBy("token").agg(F.count("*").alias("lists")).filter("lists > 1")
+    rarest_last = Window.partitionBy("class").orderBy(F.col("lists").desc(), "token")
+    rare = kept.join(often, "token").withColumn("place", F.row_number().over(rarest_last)).filter(F.col("place") >= least_shared(F.col("n")))
+    rare = staged(rare.select("token", "class"), "join-rare")
+    leaders = rare.groupBy("token").agg(F.min("class").alias("leader"), F.count("*").alias("lists")).filter("lists > 1").select("token", "leader")
+    return staged(rare.join(leaders, "token").select("leader", "class").distinct(), "join-blocks")
 
 
-def _links(chosen: DataFrame, slim: DataFrame) -> DataFrame:
+def _class_bits(classes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the classes' bits. Others may have the same bits: it only spares
+    the shuffle token sets, most of them while the classes are few beside it."""
+    place = F.pmod("class", F.lit(CLASS_BITS))
+    rows = classes.groupBy(F.floor(place / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg(place % 32768).alias("bits")).collect()
+    out = np.zeros((CLASS_BITS // 32768, 4096), np.uint8)
+    for row in rows:
+        out[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _wanted_sets(bits):
+    """Token sets of the classes in a bitmap, each once per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, seen = bits.value, set()
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0)):
+                classes, tokens = [], []
+                for s in token_sets(data, offsets):
+                    if len(s):
+                        own = set_class(s)
+                        place = own % CLASS_BITS
+                        if marks[place >> 3] >> (place & 7) & 1 and own not in seen:
+                            seen.add(own)
+                            classes.append(own), tokens.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(tokens, pa.binary())], names=["class", "tokens"])
+
+    return run
+
+
+def _links(chosen: DataFrame) -> DataFrame:
     """``a``, ``b``: links between classes that connect all that are similar."""
     blocks = _blocks(chosen)
     sizes = blocks.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     part = F.pmod("class", F.col("parts").cast("long")).cast("int")
-    # the leader itself stands in every part; that is spread out after the texts are there
+    # the leader itself stands in every part; that is spread out after the token sets are there
     of_class = blocks.join(sizes, "leader").groupBy("class").agg(F.collect_list(F.struct("leader", part.alias("part"), "parts")).alias("blocks"))
-    stands = slim.filter("class is not null").groupBy("class").agg(F.min(F.struct("key", "hash")).alias("in"))
-    wanted = of_class.join(stands, "class").select("class", "blocks", F.col("in.key").alias("of_key"), F.col("in.hash").alias("of_hash"))
-    texts = chosen.join(wanted, (F.col("key") == F.col("of_key")) & (F.col("hash") == F.col("of_hash"))).select("class", "blocks", "text")
-
-    def start():
-        def kernel(batch, first, end, data, offsets):
-            return {"tokens": pa.array([s.tobytes() for s in token_sets(data, offsets)], pa.binary())}
-
-        return kernel
-
-    sets = map_texts(texts, "text", ["class", "blocks"], T.StructType([T.StructField("tokens", T.BinaryType())]), start)
+    of_class = staged(of_class, "join-of-class")
+    bits = chosen.sparkSession.sparkContext.broadcast(_class_bits(of_class.select("class")))
+    sets = chosen.select("text").mapInArrow(_wanted_sets(bits), "class long, tokens binary").join(of_class, "class")
     spread = F.when(F.col("b.leader") == F.col("class"), F.sequence(F.lit(0), F.col("b.parts") - 1)).otherwise(F.array("b.part"))
     rows = (
         sets.select("class", F.explode("blocks").alias("b"), "tokens")
@@ -371,7 +402,7 @@ def shingle_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     added = T.StructType([T.StructField("n", T.LongType()), T.StructField("class", T.LongType())])
     slim = staged(map_texts(chosen, "text", ["id", "key", "hash"], added, _classes), "join-classes")
-    roots = connected_components(_links(chosen, slim))
+    roots = connected_components(_links(chosen))
     per_class = slim.filter("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     rooted = staged(per_class.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "least"), "join-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
