@@ -143,10 +143,11 @@ def redact_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, ledger: str | None = None,
 ) -> DataFrame:
     """``docs`` with a mask in place of every secret; rows, columns and other texts stay as they are."""
-    found = blob_findings(docs, id_col, text_col, rules, ledger).select(F.col("blob").alias("_of"), F.col("found").alias("_found"))
-    joined = docs.withColumn("_blob", blob_of(F.col(text_col))).join(found, F.col("_blob") == F.col("_of"), "left")
-    text = F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_found")))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    found = blob_findings(docs, id_col, text_col, rules, ledger)
+    joined = docs.select(F.struct("*").alias("doc"), blob_of(F.col(text_col)).alias("blob")).join(found, "blob", "left")
+    own = F.col("doc")[text_col]
+    text = F.when(F.col("found").isNull(), own).otherwise(redact(own, F.col("found")))
+    return joined.select(*[(text if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def redact(text: Column, found: Column) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from fluxbook.llm.components import connected_components
-from fluxbook.llm.staging import WORD, row_key, staged, text_hash
+from fluxbook.llm.staging import WORD, keyed_rows, row_key, staged, text_hash
 from fluxbook.llm.texts import LOWERED, U64, map_texts, mix, span_hashes, text_slices, windows, words_of
 
 SHINGLE = 5
@@ -436,13 +436,12 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     groups = shingle_groups(docs, id_col, text_col)
     first = groups.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "hash")).alias("k")).select(
-        F.col("k.key").alias("_of_key"), F.col("k.hash").alias("_of_hash")
+        "k.key", "k.hash"
     )
-    keyed = docs.withColumns({"_key": row_key(id_col), "_hash": text_hash(text_col)})
-    order = Window.partitionBy("_key", "_hash").orderBy("_hash")
+    order = Window.partitionBy("key", "hash").orderBy("hash")
     worded = F.coalesce(F.regexp_like(text_col, F.lit(WORD)), F.lit(False))
-    kept = keyed.filter(worded).join(first, (F.col("_key") == F.col("_of_key")) & (F.col("_hash") == F.col("_of_hash"))).withColumn("_place", F.row_number().over(order))
-    return kept.filter("_place = 1").select(*docs.columns).unionByName(docs.filter(~worded))
+    kept = keyed_rows(docs.filter(worded), id_col, text_col).join(first, ["key", "hash"]).withColumn("place", F.row_number().over(order))
+    return kept.filter("place = 1").select("doc.*").unionByName(docs.filter(~worded))
 
 
 def op2_shingle_join(spark: SparkSession, folder: str) -> DataFrame:

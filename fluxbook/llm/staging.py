@@ -48,11 +48,15 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc``, the whole row, so that no name of its columns clashes with others, and its ``key`` and ``hash``."""
+    return docs.select(F.struct("*").alias("doc"), row_key(id_col).alias("key"), text_hash(text_col).alias("hash"))
+
+
 def without(docs: DataFrame, id_col: str, text_col: str, rejected: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id and text are not among ``rejected`` (``id``, ``text_hash``)."""
-    out = rejected.select(row_key("id").alias("_out_key"), F.col("text_hash").alias("_out_hash")).distinct()
-    keyed = docs.withColumns({"_key": row_key(id_col), "_hash": text_hash(text_col)})
-    return keyed.join(out, (F.col("_key") == F.col("_out_key")) & (F.col("_hash") == F.col("_out_hash")), "left_anti").select(*docs.columns)
+    out = rejected.select(row_key("id").alias("key"), F.col("text_hash").alias("hash")).distinct()
+    return keyed_rows(docs, id_col, text_col).join(out, ["key", "hash"], "left_anti").select("doc.*")
 
 
 def running_totals(
