@@ -112,6 +112,8 @@ def test_pivot_is_unique_or_fails(frame, table_rows):
     assert table_rows(reshape.pivot_unique(df, ["year"], "kind", ["a", "b"])) == [(2000, 1.0, 2.0), (2001, 3.0, None)]
     with pytest.raises(PySparkException, match="more than one row"):
         reshape.pivot_unique(df.union(df), ["year"], "kind", ["a", "b"]).collect()
+    with pytest.raises(PySparkException, match="not listed"):
+        reshape.pivot_unique(df, ["year"], "kind", ["a"]).collect()
 
 
 def test_unpivot_keeps_nulls(frame, table_rows):
