@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,35 +13,61 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from fluxbook.llm.staging import shared_path, staged
-from fluxbook.llm.texts import LOWERED, U64, span_hashes, text_slices, words_of
+from fluxbook.llm.texts import BASE, LOWERED, U64, mix, span_hashes, text_slices, words_of
 
-#: Longest context in symbols; a context and the next symbol fit a 64-bit key.
-DEPTH = 5
-#: The words' symbols are their bytes; no word holds these two.
+#: Longest contexts: words before a word, across all of the text, and bytes before a byte of a word's spelling.
+WORDS, DEPTH = 3, 5
+#: The symbols of a spelling are the word's bytes; no word holds these two.
 START, STOP = 0x20, 0x0A
 SYMBOLS = 257
+#: Words in front of a text and behind it, beside the hashes of words.
+FRONT, END = 0, 1
 CHUNK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """A context is retained if at least ``least_share`` of all symbols follow it (so each depth
-    has at most ``1 / least_share`` of them), the divergence of its next-symbol distribution from
-    that of its suffix is at least ``divergence`` nats, and this times its count ``evidence``.
-    ``drawn``: count that the suffix's distribution gets in the smoothing."""
+    """A context is retained if its distribution of the next symbol tells its own training
+    occurrences, each left out in turn, better than its suffix does: by at least ``evidence``
+    nats in all and ``divergence`` for each. ``drawn``: count that the suffix's distribution gets
+    in the smoothing."""
 
-    least_share: float = 1e-5
     divergence: float = 0.01
     evidence: float = 10.0
     drawn: float = 4.0
 
 
-def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol of the words (stop included): its context code, itself, its word.
+def context_logs(pairs: DataFrame, depth: int, root: DataFrame, settings: TreeSettings, name: str) -> DataFrame:
+    """``k<depth>``, ``s``, ``c`` and ``log``, the log10 probability of a symbol from the longest retained suffix of its context.
 
-    A code holds up to DEPTH symbols before it, the last in the lowest byte, and their number in
-    the sixth byte. The start counts as a symbol of the context.
+    ``pairs`` holds ``s``, its contexts ``k1`` to ``k<depth>`` (each tells the shorter ones) and
+    its training count ``n``, 0 for pairs that are only asked for; ``root`` has ``s``, ``c`` and the
+    ``log`` without a context. Every occurrence of a pair is one of the pair with the shorter
+    context, so each level is a join with the level above.
     """
+    keys = [f"k{d}" for d in range(1, depth + 1)]
+    counts = staged(pairs.groupBy(*keys, "s").agg(F.sum("n").alias("n")), f"{name}-pairs")
+    known, drawn, n = root.select("s", "c", "log"), settings.drawn, F.col("n")
+    for d in range(1, depth + 1):
+        own = keys[d - 1]
+        level = counts if d == depth else counts.groupBy(*keys[:d], "s").agg(F.sum("n").alias("n"))
+        pair = level.select(*keys[max(d - 2, 0):d], "s", "n").join(known, [*keys[max(d - 2, 0):d - 1], "s"])
+        likely = F.when(n == 1, F.lit(math.log(drawn))).when(n > 1, F.log(n - 1 + drawn * F.pow(F.lit(10.0), "log")) - F.col("log") * math.log(10))
+        tested = pair.groupBy(own).agg(F.sum("n").alias("total"), F.sum(n * likely).alias("gain"))
+        gain = F.col("gain") - F.col("total") * F.log(F.col("total") - 1 + drawn)
+        kept = tested.filter("total > 0").filter((gain >= settings.evidence) & (gain >= settings.divergence * F.col("total"))).select(own, "total")
+        below = F.log10(F.col("total") + drawn)
+        log = (
+            F.when(F.col("total").isNull(), F.col("log"))
+            .when(n > 0, F.log10(n + drawn * F.pow(F.lit(10.0), "log")) - below)
+            .otherwise(F.col("log") + math.log10(drawn) - below)
+        )
+        known = staged(pair.join(kept, own, "left").select(own, "s", "c", log.alias("log")), f"{name}-{d}")
+    return known
+
+
+def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every symbol of the words (stop included): the DEPTH symbols before it, the last in the lowest byte, itself, its word."""
     sizes = np.diff(offsets)
     n = len(sizes)
     begins = offsets[:-1] + 2 * np.arange(n)
@@ -53,135 +80,72 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     since = np.arange(len(line)) - begins[word]
     code = np.zeros(len(line), np.int64)
     for k in range(1, DEPTH + 1):
-        past = np.zeros(len(line), np.int64)
+        past = np.full(len(line), START, np.int64)
         past[k:] = line[:-k]
-        code |= np.where(since >= k, past, 0) << (8 * (k - 1))
-    code |= np.minimum(since, DEPTH) << 40
+        code |= np.where(since >= k, past, START) << (8 * (k - 1))
     at = since > 0
     return code[at], line[at].astype(np.int64), word[at]
 
 
-def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        weights = batch.column(1).to_numpy(zero_copy_only=False)
+        own, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
         for first, end, data, offsets in text_slices(batch.column(0)):
             code, symbol, word = _symbols(data, offsets)
-            keys, which = np.unique(code << 8 | symbol, return_inverse=True)
-            n = np.bincount(which, weights[first:end][word], minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys >> 8), pa.array(keys & 255), pa.array(n)], names=["code", "symbol", "n"])
+            order = np.lexsort((symbol, code, word))
+            code, symbol, word = code[order], symbol[order], word[order]
+            begin = np.flatnonzero(np.append(True, (np.diff(word) != 0) | (np.diff(code) != 0) | (np.diff(symbol) != 0))) if len(word) else np.zeros(0, np.int64)
+            times = np.diff(np.append(begin, len(word)))
+            made = own[first:end][word[begin]], code[begin], symbol[begin], times, times * weights[first:end][word[begin]]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in made], names=["word", "code", "s", "times", "n"])
 
 
-def context_table(words: DataFrame, settings: TreeSettings) -> DataFrame:
-    """Retained contexts: ``code``, ``symbol``, ``n`` and the context's ``total``.
+def spell(words: DataFrame, settings: TreeSettings) -> DataFrame:
+    """``s`` and ``spelt``, the log10 probability of the word letter by letter, its stop included.
 
-    ``words`` holds each different training word and its count ``c``.
+    ``words`` holds each different word, its hash ``s`` and its training count ``c``.
     """
-    deepest = words.filter("c > 0").select("word", "c").mapInArrow(_context_counts, "code long, symbol long, n long").groupBy("code", "symbol").agg(F.sum("n").alias("n"))
-    size = F.shiftright("code", 40)
-    suffix = lambda code, k: F.shiftleft(k.cast("long"), 40).bitwiseOR(code.bitwiseAND(F.expr("shiftleft(1L, cast(8 * k as int)) - 1")))
-    counts = staged(
-        deepest.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), size)))
-        .select(suffix(F.col("code"), F.col("k")).alias("code"), "symbol", "n")
-        .groupBy("code", "symbol").agg(F.sum("n").alias("n")),
-        "lm-contexts",
-    )
-    totals = counts.groupBy("code").agg(F.sum("n").alias("total"))
-    symbols = totals.filter("code = 0").first()
-    if symbols is None:
-        return counts.withColumn("total", F.lit(0).cast("long")).limit(0)
-    frequent = counts.join(totals.filter(F.col("total") >= max(2, settings.least_share * symbols["total"])), "code")
-    frequent = staged(frequent, "lm-frequent")
-    shorter = frequent.filter("code > 0").withColumn("k", F.shiftright("code", 40) - 1).withColumn("parent", suffix(F.col("code"), F.col("k")))
-    above = frequent.select(F.col("code").alias("parent"), "symbol", F.col("n").alias("up_n"), F.col("total").alias("up_total"))
-    tested = shorter.join(above, ["parent", "symbol"]).groupBy("code").agg(
-        F.sum(F.col("n") * F.log(F.col("n") * F.col("up_total") / (F.col("total") * F.col("up_n")))).alias("nats"), F.first("total").alias("of")
-    )
-    kept = tested.filter((F.col("nats") >= settings.evidence) & (F.col("nats") >= settings.divergence * F.col("of"))).select("code")
-    return frequent.join(kept, "code", "left_semi").unionByName(frequent.filter("code = 0"))
-
-
-class SuffixTree:
-    """Smoothed next-symbol distributions of the retained contexts, by sorted arrays.
+    letters = staged(words.select("word", "s", "c").mapInArrow(_letters, "word long, code long, s long, times long, n long"), "lm-letters")
+    cut = lambda d: F.col("code").bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long")).alias(f"k{d}")
+    single = letters.groupBy("s").agg(F.sum("n").alias("c"))
+    total = single.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    root = single.withColumn("log", F.log10((F.col("c") + 1) / F.lit(float(total + SYMBOLS))))
+    logs = context_logs(letters.select(*[cut(d) for d in range(1, DEPTH + 1)], "s", "n"), DEPTH, root, settings, "lm-letters")
+    asked = letters.select("word", cut(DEPTH), "s", "times")
+    return asked.join(logs, [f"k{DEPTH}", "s"]).groupBy("word").agg(F.sum(F.col("times") * F.col("log")).alias("spelt")).withColumnRenamed("word", "s")
+
+
+def _in_context(hashes: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Contexts of one word and more, the word itself and its row, for all words of all texts and their ends."""
+    n = len(sizes)
+    begins = np.concatenate([[0], np.cumsum(sizes + WORDS + 1)[:-1]]).astype(np.int64)
+    line = np.full(int(sizes.sum()) + n * (WORDS + 1), FRONT, U64)
+    rows = np.repeat(np.arange(n), sizes + WORDS + 1)
+    since = np.arange(len(line)) - begins[rows]
+    line[(since >= WORDS) & (since < WORDS + sizes[rows])] = hashes
+    line[begins + WORDS + sizes] = END
+    at = np.flatnonzero(since >= WORDS)
+    keys, key = [], np.zeros(len(at), U64)
+    for k in range(1, WORDS + 1):
+        key = mix(key * BASE + line[at - k] + U64(k))
+        keys.append(key)
+    return keys, line[at], rows[at]
 
-    A symbol that a context has not seen gets the share drawn from the longest retained suffix;
-    the root has every symbol.
-    """
 
-    def __init__(self, code: np.ndarray, symbol: np.ndarray, n: np.ndarray, total: np.ndarray, drawn: float) -> None:
-        order = np.lexsort((symbol, code))
-        code, symbol, n, total = code[order], symbol[order], n[order], total[order]
-        self.codes, first, which = np.unique(code, return_index=True, return_inverse=True)
-        if not len(self.codes):
-            self.codes, first, total = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        total = total[first].astype(float)
-        self.keys = which.astype(np.int64) * 256 + symbol
-        self.logs = np.zeros(len(self.keys))
-        self.back = np.log10(drawn / (total + drawn))
-        self.unseen = -np.log10(total[0] + SYMBOLS)
-        depth = self.codes >> 40
-        self.parent = np.zeros(len(self.codes), np.int64)
-        deep = np.flatnonzero(depth > 0)
-        self.parent[deep] = self.state(self._suffix(self.codes[deep], depth[deep] - 1))
-        for d in range(int(depth.max()) + 1):
-            at = np.flatnonzero(depth[which] == d) if len(which) else np.zeros(0, np.int64)
-            if d == 0:
-                self.logs[at] = np.log10((n[at] + 1) / (total[0] + SYMBOLS))
-            else:
-                up = 10.0 ** self._log(self.parent[which[at]], symbol[at])
-                self.logs[at] = np.log10((n[at] + drawn * up) / (total[which[at]] + drawn))
-
-    @staticmethod
-    def _suffix(code: np.ndarray, k: np.ndarray) -> np.ndarray:
-        return k << 40 | code & ((np.int64(1) << (8 * k)) - 1)
-
-    def state(self, code: np.ndarray) -> np.ndarray:
-        """Place of the longest retained suffix of each context."""
-        out = np.zeros(len(code), np.int64)
-        todo, k = np.arange(len(code)), code >> 40
-        while len(todo):
-            wanted = self._suffix(code[todo], k[todo])
-            place = np.minimum(np.searchsorted(self.codes, wanted), len(self.codes) - 1)
-            hit = self.codes[place] == wanted
-            out[todo[hit]] = place[hit]
-            todo = todo[~hit & (k[todo] > 0)]
-            k[todo] -= 1
-        return out
-
-    def _log(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(state))
-        state, todo = state.copy(), np.arange(len(state))
-        while len(todo) and len(self.keys):
-            wanted = state[todo] * 256 + symbol[todo]
-            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            hit = self.keys[place] == wanted
-            out[todo[hit]] += self.logs[place[hit]]
-            todo = todo[~hit]
-            root = state[todo] == 0
-            out[todo[root]] += self.unseen
-            todo = todo[~root]
-            out[todo] += self.back[state[todo]]
-            state[todo] = self.parent[state[todo]]
-        if not len(self.keys):
-            out += self.unseen
-        return out
-
-    def word_logs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each word, its stop included."""
-        code, symbol, word = _symbols(data, offsets)
-        keys, which = np.unique(code << 8 | symbol, return_inverse=True)
-        logs = self._log(self.state(keys >> 8), keys & 255)
-        return np.bincount(word, logs[which], minlength=len(offsets) - 1)
+CONTEXTS = [f"k{d}" for d in range(1, WORDS + 1)]
 
 
 def _bags(id_type: pa.DataType):
-    """Rows of kind 0: a document as the places of its words in its chunk's vocabulary; kind 1: a word of a chunk."""
+    """Rows of kind 0: a document as the places of its pairs of context and word in its chunk's list;
+    kind 1: a word of a chunk; kind 2: a pair of a chunk."""
     schema = pa.schema([
         ("kind", pa.int32()), ("chunk", pa.int64()), ("id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
         ("places", pa.binary()), ("times", pa.binary()), ("place", pa.int64()), ("word", pa.string()), ("trained", pa.int64()),
+        ("s", pa.int64()), *[(k, pa.int64()) for k in CONTEXTS],
     ])
 
-    def nulls(n, *names):
-        return {c: pa.nulls(n, schema.field(c).type) for c in names}
+    def rows_of(n, **columns):
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -190,27 +154,32 @@ def _bags(id_type: pa.DataType):
             for first, end, data, offsets in text_slices(batch.column(2), CHUNK_BYTES):
                 n, held = end - first, held_all[first:end]
                 starts, ends, rows = words_of(data, offsets)
-                _, example, which = np.unique(span_hashes(data, starts, ends, LOWERED), return_index=True, return_inverse=True)
+                hashes = span_hashes(data, starts, ends, LOWERED)
+                different, example, which = np.unique(hashes, return_index=True, return_inverse=True)
                 trained = np.bincount(which, ~held[rows], minlength=len(example)).astype(np.int64)
                 raw = LOWERED[data].tobytes()
                 words = pa.array([raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())], pa.binary()).cast(pa.string())
+                sizes = np.bincount(rows, minlength=n)
+                keys, symbol, rows = _in_context(hashes, sizes)
+                _, pair, which = np.unique(mix(keys[-1] * BASE + symbol), return_index=True, return_inverse=True)
                 bag, times = np.unique(rows.astype(np.int64) << 32 | which, return_counts=True)
                 ends_of = np.searchsorted(bag >> 32, np.arange(n + 1))
                 place = (bag & 0xFFFFFFFF).astype(np.uint32)
                 times = times.astype(np.uint32)
-                docs = nulls(n, "place", "word", "trained") | {
-                    "kind": pa.array(np.zeros(n, np.int32)), "chunk": pa.array(np.full(n, chunk)),
-                    "id": batch.column(0).slice(first, n).cast(id_type), "held_out": pa.array(held), "n_tokens": pa.array(np.bincount(rows, minlength=n) + 1),
-                    "places": pa.array([place[a:b].tobytes() for a, b in zip(ends_of[:-1], ends_of[1:])], pa.binary()),
-                    "times": pa.array([times[a:b].tobytes() for a, b in zip(ends_of[:-1], ends_of[1:])], pa.binary()),
-                }
-                m = len(words)
-                vocabulary = nulls(m, "id", "held_out", "n_tokens", "places", "times") | {
-                    "kind": pa.array(np.ones(m, np.int32)), "chunk": pa.array(np.full(m, chunk)), "place": pa.array(np.arange(m)),
-                    "word": words, "trained": pa.array(trained),
-                }
-                for made in (docs, vocabulary):
-                    yield pa.RecordBatch.from_arrays([made[f.name] for f in schema], schema=schema)
+                of = lambda k, n: {"kind": pa.array(np.full(n, k, np.int32)), "chunk": pa.array(np.full(n, chunk))}
+                signed = lambda x: pa.array(x.view(np.int64))
+                yield rows_of(
+                    n, **of(0, n), id=batch.column(0).slice(first, n).cast(id_type), held_out=pa.array(held), n_tokens=pa.array(sizes + 1),
+                    places=pa.array([place[a:b].tobytes() for a, b in zip(ends_of[:-1], ends_of[1:])], pa.binary()),
+                    times=pa.array([times[a:b].tobytes() for a, b in zip(ends_of[:-1], ends_of[1:])], pa.binary()),
+                )
+                yield rows_of(len(words), **of(1, len(words)), word=words, trained=pa.array(trained), s=signed(different))
+                m = len(pair)
+                seen = np.bincount(which, ~held[rows], minlength=m).astype(np.int64)
+                yield rows_of(
+                    m, **of(2, m), place=pa.array(np.arange(m)), trained=pa.array(seen), s=signed(symbol[pair]),
+                    **{k: signed(key[pair]) for k, key in zip(CONTEXTS, keys)},
+                )
                 chunk += 1
 
     return run
@@ -222,13 +191,14 @@ def score_texts(
     """The id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every document.
 
     ``held_out`` is a condition; the other documents are learned from. The words of a text, in
-    small letters, are drawn one by one, then its end. A word is drawn by its training count or, with
+    small letters, and then its end are drawn one by one, each from the longest retained suffix
+    of the WORDS words before it. Without a context, a word is drawn by its training count or, with
     as much weight as there are words seen once, spelt symbol by symbol by the suffix tree of the
     training words, so every word has a probability. ``base_score`` is that of single words with added ones.
 
-    The texts are read once: a chunk of some megabytes becomes its vocabulary and a bag of
-    places per document. Vocabularies are summed over all chunks, scored once per different
-    word and joined back to their chunks, so that no table of all words is held anywhere.
+    The texts are read once: a chunk of some megabytes becomes its words, its pairs of context and
+    word, and a bag of places per document. Pairs are counted over all chunks, scored once per
+    different pair and joined back to their chunks; both trees are Spark tables, none is held anywhere.
     NULL and empty texts are an end only; a NULL id is not held out; repeated rows are learned
     and scored each; an empty table gives no rows; other columns are left aside.
     """
@@ -239,32 +209,25 @@ def score_texts(
         T.StructField("kind", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("id", kind), T.StructField("held_out", T.BooleanType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("times", T.BinaryType()),
         T.StructField("place", T.LongType()), T.StructField("word", T.StringType()), T.StructField("trained", T.LongType()),
+        T.StructField("s", T.LongType()), *[T.StructField(k, T.LongType()) for k in CONTEXTS],
     ])
     path = shared_path(spark, "lm-bags")
     id_type = to_arrow_schema(T.StructType([T.StructField("id", kind)])).field(0).type
     chosen.mapInArrow(_bags(id_type), bags_schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    bag, vocabulary = (spark.read.schema(bags_schema).parquet(path).filter(f"kind = {k}") for k in (0, 1))
-    words = staged(vocabulary.groupBy("word").agg(F.sum("trained").alias("c")), "lm-words")
+    bag, vocabulary, pairs = (spark.read.schema(bags_schema).parquet(path).filter(f"kind = {k}") for k in (0, 1, 2))
+    words = staged(vocabulary.groupBy("word", "s").agg(F.sum("trained").alias("c")), "lm-words")
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds"), F.count_if(F.col("c") == 1).alias("once")).first()
     ends = bag.filter("not held_out").count()
     tokens, kinds = seen["tokens"] + ends, seen["kinds"] + (ends > 0)
-    table = context_table(words, settings).toPandas()
-    tree = spark.sparkContext.broadcast(SuffixTree(*(table[c].to_numpy(np.int64) for c in ("code", "symbol", "n", "total")), settings.drawn))
-
-    def word_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, offsets in text_slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(tree.value.word_logs(data, offsets))],
-                    names=["word", "c", "log"],
-                )
-
-    scored = words.mapInArrow(word_scores, "word string, c long, log double")
-    by_chunk = vocabulary.select("chunk", "place", "word").join(scored, "word").select("chunk", "place", "c", "log")
     below = np.log10(tokens + kinds + 1)
     stop = (ends + 1) / (tokens + 2)
     fresh = max(seen["once"], 1)
-    end_base, end_log, go_on, end_known = float(np.log10(ends + 1) - below), float(np.log10(stop)), float(np.log10(1 - stop)), int(ends > 0)
+    whole = F.when(F.col("c") > 0, F.log10(F.col("c") + fresh * F.pow(F.lit(10.0), "spelt"))).otherwise(F.col("spelt") + math.log10(fresh))
+    single = words.select("s", "c").join(spell(words, settings), "s").select("s", "c", (whole + math.log10((1 - stop) / max(seen["tokens"] + fresh, 1))).alias("log"))
+    end = spark.createDataFrame([(END, ends, math.log10(stop))], "s long, c long, log double")
+    root = staged(single.unionByName(end), "lm-root")
+    known = context_logs(pairs.select(*CONTEXTS, "s", F.col("trained").alias("n")), WORDS, root, settings, "lm-words")
+    by_chunk = pairs.select("chunk", "place", CONTEXTS[-1], "s").join(known, [CONTEXTS[-1], "s"]).select("chunk", "place", "c", "log")
 
     def finish(documents: pa.Table, vocab: pa.Table) -> pa.Table:
         size = vocab.num_rows
@@ -276,11 +239,10 @@ def score_texts(
         places, times = joined("places"), joined("times").astype(float)
         row = np.repeat(np.arange(documents.num_rows), [len(x) // 4 for x in documents["places"].to_pylist()])
         total = lambda values: np.bincount(row, times * values[places], minlength=documents.num_rows)
-        whole = np.log10((c + fresh * 10.0**log) / max(seen["tokens"] + fresh, 1))
         return pa.table({
             "id": documents["id"], "held_out": documents["held_out"], "n_tokens": documents["n_tokens"],
-            "n_known": pa.array(total((c > 0).astype(float)).astype(np.int64) + end_known), "train_tokens": pa.array(np.full(documents.num_rows, tokens)),
-            "base_score": pa.array(total(base) + end_base), "score": pa.array(total(whole + go_on) + end_log),
+            "n_known": pa.array(total((c > 0).astype(float)).astype(np.int64)), "train_tokens": pa.array(np.full(documents.num_rows, tokens)),
+            "base_score": pa.array(total(base)), "score": pa.array(total(log)),
         })
 
     result = T.StructType([

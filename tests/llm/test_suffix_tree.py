@@ -76,6 +76,27 @@ def test_better_than_uniform_spelling_on_given_documents(spark):
     assert sum(found.values()) > 0.9 * sum(uniform.values())
 
 
+def test_word_order_counts(frame):
+    """Contexts reach over words: a text in the order of the training texts is likelier than its words in another one."""
+    rng = random.Random(9)
+    line = [f"w{i}" for i in range(12)]
+    train = [(i, " ".join(line if i % 2 else rng.sample(line, 12)), False) for i in range(80)]
+    ask = [(1000, " ".join(line), True), (1001, " ".join(line[::-1]), True)]
+    found = {r["doc_id"]: r for r in score_texts(frame(train + ask, "doc_id long, text string, held boolean"), F.col("held")).filter("held_out").collect()}
+    assert found[1000]["base_score"] == pytest.approx(found[1001]["base_score"])
+    assert found[1000]["score"] > found[1001]["score"] + 1
+
+
+def test_rare_contexts_are_tested_too(spark):
+    """A context is judged by its own count, not by its share of the corpus: here one in 200000 words."""
+    def line(i):
+        return "zeta omega" if i % 10_000 == 0 else " ".join(f"v{(i * 7919 + k * 104729) % 997}" for k in range(20))
+
+    docs = spark.createDataFrame([(i, line(i), False) for i in range(100_000)] + [(200_000, "zeta omega", True), (200_001, "omega zeta", True)], "doc_id long, text string, held boolean")
+    found = {r["doc_id"]: r["score"] for r in score_texts(docs, F.col("held")).filter("held_out").collect()}
+    assert found[200_000] > found[200_001] + 2
+
+
 def test_edges(frame, no_documents):
     assert score_texts(no_documents, F.lit(False)).collect() == []
     docs = frame([(1, None, 5), (2, "", 5), (None, "a a", 5), (1, None, 5)], "doc_id long, text string, word int")
