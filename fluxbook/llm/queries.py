@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fluxbook.llm.conversations import op11_repair_conversations
 from fluxbook.llm.divergence import OP12_SQL, op12_source_divergence
 from fluxbook.llm.language import op6_language_id
 from fluxbook.llm.mixing import OP1_SQL, op1_mix_sources
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_url_filter": op10_url_filter,
+    "op11_repair_conversations": op11_repair_conversations,
     "op12_source_divergence": op12_source_divergence,
     "op13_toxicity": op13_toxicity,
 }
