@@ -699,6 +699,41 @@ register(
         FROM flows f LEFT JOIN isos i ON f.country = i.name GROUP BY ALL) s
     LEFT JOIN rebased r ON r.indicator = 'NGDP_D' AND r.iso_code = s.iso_code AND r.year = s.year""",
 )
+CURRENCY_PAIRS = [
+    series.Currencies(source, target, back)
+    for source, target in (("LCU", "LCU"), ("LCU", "USD"), ("USD", "LCU"), ("USD", "USD"), ("N05", "USD"), ("LCU", "N05"))
+    for back in (False, True)
+]
+
+
+def _rates(t: Trade) -> DataFrame:
+    dollars = t.series("NGDPD").select("iso_code", "year", F.col("value").alias("dollars"))
+    exchange = t.series("NGDP").join(dollars, ["iso_code", "year"]).select("iso_code", "year", F.try_divide("dollars", "value").alias("rate"))
+    return series.currency_rates(t.iso_deflators("NGDP_D"), exchange, BASE_YEAR)
+
+
+register(
+    "deflate_currency",
+    lambda t: series.deflate_between(_debtor_sums(t), _rates(t), CURRENCY_PAIRS).transform(to_cents),
+    f"""SELECT s.year, s.iso_code, s.indicator_type, p.source AS source_currency, p.target AS target_currency, p.back AS to_current,
+        {cents("""CAST(s.value AS DOUBLE) * power(
+            CASE p.source WHEN 'LCU' THEN 1 WHEN 'USD' THEN 1 / x.rate ELSE c.rate / x.rate END
+            * CASE p.target WHEN 'LCU' THEN 1 WHEN 'USD' THEN b.rate ELSE b.rate / k.rate END / x.price, CASE WHEN p.back THEN -1 ELSE 1 END)""")} AS value
+    FROM (SELECT f.year, i.iso_code, f.indicator_type, sum(f.value) AS value
+        FROM flows f LEFT JOIN isos i ON f.country = i.name GROUP BY ALL) s
+    CROSS JOIN (SELECT * FROM (VALUES ('LCU', 'LCU'), ('LCU', 'USD'), ('USD', 'LCU'), ('USD', 'USD'), ('N05', 'USD'), ('LCU', 'N05')) a(source, target),
+        (VALUES (FALSE), (TRUE)) b(back)) p
+    LEFT JOIN (SELECT r.iso_code, r.year, r.value AS price, d.value / n.value AS rate FROM rebased r
+        LEFT JOIN macro d ON d.indicator = 'NGDPD' AND d.iso_code = r.iso_code AND d.year = r.year
+        LEFT JOIN macro n ON n.indicator = 'NGDP' AND n.iso_code = r.iso_code AND n.year = r.year
+        WHERE r.indicator = 'NGDP_D') x ON x.iso_code = s.iso_code AND x.year = s.year
+    LEFT JOIN (SELECT d.iso_code, d.year, d.value / n.value AS rate FROM macro d JOIN macro n ON d.iso_code = n.iso_code AND d.year = n.year
+        WHERE d.indicator = 'NGDPD' AND n.indicator = 'NGDP' AND d.year = 1998) b ON b.iso_code = s.iso_code
+    LEFT JOIN (SELECT d.year, d.value / n.value AS rate FROM macro d JOIN macro n ON d.iso_code = n.iso_code AND d.year = n.year
+        WHERE d.indicator = 'NGDPD' AND n.indicator = 'NGDP' AND d.iso_code = 'N05') c ON c.year = s.year
+    LEFT JOIN (SELECT d.value / n.value AS rate FROM macro d JOIN macro n ON d.iso_code = n.iso_code AND d.year = n.year
+        WHERE d.indicator = 'NGDPD' AND n.indicator = 'NGDP' AND d.iso_code = 'N05' AND d.year = 1998) k ON TRUE""",
+)
 register(
     "aid_gni",
     lambda t: t.donor_gni("constant"),
@@ -874,15 +909,39 @@ register(
     f"SELECT {CLEAN}, 'inflow' AS indicator_type, {dbl('value')} AS value FROM {TOTAL_INFLOWS}",
 )
 SLIM = "year, country, continent, counterpart_area, income_level, indicator, counterpart_type, prices"
-register(
-    "all_flows",
-    lambda t: fl.all_flows(t.sources, TRADE),
-    f"""SELECT {SLIM}, indicator_type, {dbl('sum(value)')} AS value FROM (
-        SELECT {SLIM}, iso_code, counterpart_iso_code, 'inflow' AS indicator_type, value FROM {TOTAL_INFLOWS}
-        UNION ALL SELECT {SLIM}, iso_code, counterpart_iso_code, indicator_type, -value FROM clean_service_legs)
+
+
+def _all_flows_sql(inflows: str, service: str, value: str) -> str:
+    return f"""SELECT {SLIM}, indicator_type, {value} AS value FROM (
+        SELECT {SLIM}, iso_code, counterpart_iso_code, 'inflow' AS indicator_type, value FROM {inflows}
+        UNION ALL SELECT {SLIM}, iso_code, counterpart_iso_code, indicator_type, -value FROM {service})
     WHERE iso_code IS NOT NULL AND counterpart_area <> 'World'
-    GROUP BY {SLIM}, iso_code, counterpart_iso_code, indicator_type HAVING sum(value) <> 0""",
+    GROUP BY {SLIM}, iso_code, counterpart_iso_code, indicator_type HAVING sum(value) <> 0"""
+
+
+def _real(legs: str, *more: str) -> str:
+    """Legs in constant prices, as the flow table has them: eight digits."""
+    kept = ", ".join([*("l." + c for c in CLEAN.replace(", prices", "").split(", ")), *("l." + c for c in more)])
+    return f"""(SELECT {kept}, 'constant' AS prices, CAST(CAST(l.value AS DOUBLE) / (100 * r.value / 100) AS DECIMAL(38,8)) AS value
+        FROM {legs} l LEFT JOIN rebased r ON r.indicator = 'NGDP_D' AND 'ISO_' || r.k = l.iso_code AND r.year = l.year)"""
+
+
+CONSTANT_INFLOWS = f"""(SELECT {CLEAN}, value FROM {_real('clean_inflow_legs')} UNION ALL
+    SELECT {CLEAN}, CAST(value AS DECIMAL(38,8)) FROM grants WHERE prices = 'constant' AND year <= 2000)"""
+register("all_flows", lambda t: fl.all_flows(t.sources, TRADE), _all_flows_sql(TOTAL_INFLOWS, "clean_service_legs", dbl("sum(value)")))
+register(
+    "total_inflows_constant",
+    lambda t: fl.total_inflows(t.sources, TRADE, constant=True).transform(to_cents),
+    f"SELECT {CLEAN}, 'inflow' AS indicator_type, {cents('value')} AS value FROM {CONSTANT_INFLOWS}",
 )
+CONSTANT_FLOWS = _all_flows_sql(CONSTANT_INFLOWS, _real("clean_service_legs", "indicator_type"), "sum(value)")
+register(
+    "all_flows_constant",
+    lambda t: fl.all_flows(t.sources, TRADE, constant=True).transform(to_cents),
+    f"SELECT * REPLACE ({cents('value')} AS value) FROM ({CONSTANT_FLOWS})",
+)
+
+
 register(
     "flows_by_version",
     lambda t: fl.flows_by_version(t.flow_table, TRADE, version="excluding_concessional_finance", as_net_flows=True),
@@ -943,6 +1002,15 @@ register(
     lambda t: _scenario_table(t).transform(to_cents, "inflows", "outflows", "net_flows"),
     f"""SELECT {PAIRS}, {PAIR_VALUES}, {cents('net_flows')} AS net_flows FROM scenario_table""",
 )
+PAIR_MEASURES = ("inflows", "outflows", "net_flows")
+register(
+    "unpivot",
+    lambda t: reshape.unpivot(
+        _scenario_table(t).transform(to_cents, *PAIR_MEASURES).transform(finish), PAIRS.split(", "), PAIR_MEASURES
+    ),
+    f"""SELECT {PAIRS}, unnest(['inflows', 'outflows', 'net_flows']) AS indicator,
+        unnest([{cents('inflows')}, {cents('outflows')}, {cents('net_flows')}]) AS value FROM scenario_table""",
+)
 register(
     "oda_scenarios",
     lambda t: sr.aid_scenarios(t.aid, t.isos, _factors(t), TRADE, (sc.SCENARIO_2, SCENARIO_3))

@@ -17,6 +17,7 @@ from fluxbook.functions import masks
 from fluxbook.functions.sizes import broadcast_if_small
 from fluxbook.functions.values import sum_by_all_except
 from fluxbook.operators import series
+from fluxbook.operators.landing import AID, DEBT, route
 from fluxbook.operators.names import NameBook, NamePattern
 from fluxbook.plans.flows import FlowSources
 from fluxbook.settings import FlowSettings
@@ -275,6 +276,36 @@ class Trade:
             )
         )
 
+    @cached_property
+    def routes(self) -> DataFrame:
+        """Instrument keys -> what they serve: a measure under each debt code, and grants in both price bases."""
+        codes = [(status, line, flag, DEBT, code, "current", measure, 1)
+                 for status, line, flag, indicator in INSTRUMENTS
+                 for of, family, code, measure in code_rows() if (of, family) == (status, indicator)]
+        grants = [("O", line, "", AID, "recipient_grants_flow", prices, "principal", times)
+                  for line in (1, 2) for prices, times in (("current", 1), ("constant", 2))]
+        names = (*INSTRUMENT_KEYS, "source", "indicator", "prices", "measure", "times")
+        kinds = {"line": pa.int32(), "times": pa.int32()}
+        return self.spark.createDataFrame(pa.table({
+            n: pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, zip(*codes, *grants))
+        }))
+
+    @cached_property
+    def landed(self) -> DataFrame:
+        """Debt and aid in one table: each cell of the cube once per code it serves."""
+        debtor, creditor = (self.table("nation", "n_nationkey", "n_name").toDF(f"{s}_key", f"{s}_name") for s in ("debtor", "creditor"))
+        owed = F.col("source") == DEBT
+        routed = route(self.cube.drop("gross"), self.routes, INSTRUMENT_KEYS, ("principal", "interest"))
+        return (
+            routed.join(debtor, F.col("debtor") == F.col("debtor_key")).join(creditor, F.col("creditor") == F.col("creditor_key"))
+            .select(
+                "source", "indicator", "year", F.when(owed, F.col("debtor_name")).alias("country"),
+                F.when(owed, F.concat(F.lit("  "), "creditor_name", F.lit(" "))).alias("counterpart_area"),
+                F.when(~owed, F.col("debtor")).alias("recipient_code"), F.when(~owed, F.col("creditor")).alias("donor_code"),
+                "prices", "value",
+            )
+        )
+
     def _millions(self, value: Column) -> Column:
         return value.cast("decimal(24,4)") * F.lit("0.000001").cast("decimal(7,6)")
 
@@ -365,7 +396,7 @@ class Trade:
             official_donors=self.group("n_nationkey < 20"),
             bilateral_donors=self.group("n_nationkey % 2 = 0"),
             developing_recipients=self.group("n_nationkey <> 24"),
-            deflators=deflators, debtor_names=names, creditor_names=names,
+            deflators=deflators, debtor_names=names, creditor_names=names, landed=self.landed,
         )
 
     # --- macro, GNI, projections ---------------------------------------------------------
@@ -470,7 +501,9 @@ class Trade:
     def projections_raw(self) -> DataFrame:
         """Wide projections with workbook headers; only the first ten nations go by a name."""
         names = self.table("nation", "n_nationkey", "n_name").withColumn("n_name", F.when(F.col("n_nationkey") < 10, F.col("n_name")))
-        return self._nation_years.join(names, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        # ngdp_r, never 0, is asked for to share the shuffle of the macro series, which the deflators come from
+        rows = self._nation_years.where("ngdp_r > 0")
+        return rows.join(names, F.col("c_nationkey") == F.col("n_nationkey")).select(
             (F.col("year") + PROJECTION_SHIFT).alias("Year"), F.col("n_name").alias("Donor"),
             (F.col("ngdp") * 3).alias("GNI Value"),
             F.col("ngdp").alias("ODA Realistic (constant USD)"),

@@ -7,6 +7,8 @@ one conditional aggregation over one scan; no join of the two code slices is nee
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,12 +34,8 @@ def debt_by_indicator(debt: DataFrame, codes: dict) -> DataFrame:
     return debt_by_direction(debt, {"inflow": codes}).drop("indicator_type")
 
 
-def debt_by_direction(debt: DataFrame, books: dict[str, dict]) -> DataFrame:
-    """Indicators of several code books, one per indicator type, in one scan and one shuffle.
-
-    The legs of an indicator (principal and interest) stay separate rows, as in the source;
-    they are summed when the flows are prepared.
-    """
+def code_roles(books: Mapping[str, dict]) -> list[tuple]:
+    """(code, family, leg, role, direction) of every code of some code books by direction."""
     roles = []
     for direction, codes in books.items():
         for name, pairs in codes["split"].items():
@@ -46,23 +44,21 @@ def debt_by_direction(debt: DataFrame, books: dict[str, dict]) -> DataFrame:
                 roles.append((concessional_code, name, leg, "concessional", direction))
         for name, plain in codes["plain"].items():
             roles += [(code, name, leg, "plain", direction) for leg, code in enumerate(plain)]
-    # A local relation of a few dozen codes: Spark broadcasts it by its known size.
-    names = ("indicator", "family", "leg", "role", "indicator_type")
-    book = debt.sparkSession.createDataFrame(pa.table(dict(zip(names, zip(*roles)))))
+    return roles
+
+
+def indicators_of_roles(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys``, indicator, direction and value from rows with ``family``, ``leg``, ``role``, ``indicator_type``, by one sum."""
 
     def part(kind):
         return F.when(F.col("role") == kind, F.col("value"))
 
-    sums = (
-        nan_to_null(debt, "value").join(book, "indicator")
-        .groupBy(*DEBT_KEYS, "family", "leg", "indicator_type")
-        .agg(
-            F.max(F.col("role") == "total").alias("has_total"),
-            F.max(F.col("role") == "plain").alias("is_plain"),
-            total(part("total")).alias("total"),
-            F.sum(part("concessional")).alias("concessional"),
-            F.sum(part("plain")).alias("plain"),
-        )
+    sums = rows.groupBy(*keys, "family", "leg", "indicator_type").agg(
+        F.max(F.col("role") == "total").alias("has_total"),
+        F.max(F.col("role") == "plain").alias("is_plain"),
+        total(part("total")).alias("total"),
+        F.sum(part("concessional")).alias("concessional"),
+        F.sum(part("plain")).alias("plain"),
     )
     split = F.array(
         F.struct(F.concat("family", F.lit("_concessional")).alias("indicator"), F.col("concessional").alias("value")),
@@ -75,5 +71,17 @@ def debt_by_direction(debt: DataFrame, books: dict[str, dict]) -> DataFrame:
     return (
         sums.where("has_total or is_plain")
         .withColumn("out", F.explode(F.when(F.col("is_plain"), plain).otherwise(split)))
-        .select(*DEBT_KEYS, "out.indicator", "indicator_type", "out.value")
+        .select(*keys, "out.indicator", "indicator_type", "out.value")
     )
+
+
+def debt_by_direction(debt: DataFrame, books: dict[str, dict]) -> DataFrame:
+    """Indicators of several code books, one per indicator type, in one scan and one shuffle.
+
+    The legs of an indicator (principal and interest) stay separate rows, as in the source;
+    they are summed when the flows are prepared.
+    """
+    # A local relation of a few dozen codes: Spark broadcasts it by its known size.
+    names = ("indicator", "family", "leg", "role", "indicator_type")
+    book = debt.sparkSession.createDataFrame(pa.table(dict(zip(names, zip(*code_roles(books))))))
+    return indicators_of_roles(nan_to_null(debt, "value").join(book, "indicator"), DEBT_KEYS)

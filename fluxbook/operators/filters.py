@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fluxbook.functions import masks
 from fluxbook.functions.sizes import below_broadcast_threshold
@@ -47,9 +47,13 @@ def keep_recipient_group(df: DataFrame, developing: Members) -> DataFrame:
     return keep_members(df, "recipient_code", developing)
 
 
+def is_no_total(column: str) -> Column:
+    return ~F.col(column).contains(", Total")
+
+
 def drop_totals(df: DataFrame, column: str) -> DataFrame:
     """Drop "..., Total" rows; rows with a NULL name go too."""
-    return df.where(~F.col(column).contains(", Total"))
+    return df.where(is_no_total(column))
 
 
 def drop_counterpart_totals(df: DataFrame) -> DataFrame:

@@ -12,26 +12,60 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join in which NULL keys match each other; the keys appear once."""
+#: Shares into which rows with a NULL key are dealt.
+SHARES = 64
+LEFT_JOINS = ("left", "left_semi", "left_anti", "inner")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Equi-join on keys that may be NULL in many rows of ``left``; the keys appear once.
+
+    Rows with a NULL key would all meet in one task of a shuffled join. A share, by the hash of the
+    whole row, is one more key and deals them out; rows without NULL have share 0 and stay
+    together. With ``null_safe`` NULL matches NULL, and the rows of ``right`` with a NULL key (few, as it
+    is a lookup) are repeated for every share; otherwise they match nothing and are left out.
+    Right joins and full ones would return those repeats.
+    """
+    if how not in LEFT_JOINS:
+        raise ValueError(f"spread_join is a {', '.join(LEFT_JOINS)} join, not {how!r}")
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    joined = left.join(renamed, match, how)
-    if how in ("full_outer", "outer", "full"):
-        joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(f"__{k}")) for k in keys})
-    return joined.drop(*[f"__{k}" for k in keys])
+    empty = reduce(lambda a, b: a | b, [F.col(f"__{k}").isNull() for k in keys])
+    if null_safe:
+        shares = F.when(empty, F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+        renamed = renamed.withColumn("__share_of", F.explode(shares))
+    else:
+        # always 0, but not a literal: the optimizer would make a filter of that, and no key
+        zero = F.least(F.lit(0), F.length(F.col(f"__{keys[0]}").cast("string")))
+        renamed = renamed.where(~empty).withColumn("__share_of", zero)
+    vacant = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    dealt = left.withColumn("__share", F.when(vacant, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SHARES))).otherwise(0).cast("int"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) if null_safe else F.col(k) == F.col(f"__{k}") for k in keys]
+    match = reduce(lambda a, b: a & b, same, F.col("__share") == F.col("__share_of"))
+    return dealt.join(renamed, match, how).drop("__share", "__share_of", *[f"__{k}" for k in keys])
 
 
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left join on every shared column."""
-    return null_safe_join(left, right, [c for c in left.columns if c in right.columns], "left")
+    """Left join on every shared column, NULL matching NULL."""
+    return spread_join(left, right, [c for c in left.columns if c in right.columns], null_safe=True)
+
+
+def unique_lookup(lookup: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+    """One row per key. A second row for a key is an error, as a join with it would repeat rows.
+
+    The check is a sum by the key, on which the join shuffles anyway.
+    """
+    clash = F.raise_error(F.concat(F.lit(f"lookup: more than one row for {', '.join(keys)} = "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    one = F.struct(*values)
+    return lookup.groupBy(*keys).agg(F.when(F.count("*") > 1, clash.cast(lookup.select(one.alias("v")).schema["v"].dataType)).otherwise(F.first(one)).alias("__row")).select(
+        *keys, *[F.col(f"__row.{v}").alias(v) for v in values]
+    )
 
 
 def add_column_from(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str,
                     value: str, output: str) -> DataFrame:
-    """Left join one column of a lookup table; unmatched rows get NULL."""
-    slim = lookup.select(F.col(lookup_key).alias("__key"), F.col(value).alias(output))
-    return df.join(slim, F.col(key) == F.col("__key"), "left").drop("__key")
+    """Left join one column of a lookup table with unique keys; unmatched rows get NULL."""
+    slim = lookup.where(F.col(lookup_key).isNotNull()).select(F.col(lookup_key).alias(key), F.col(value).alias(output))
+    return spread_join(df, unique_lookup(slim, [key], output), [key])
 
 
 def add_iso_codes(df: DataFrame, isos: DataFrame, key: str, lookup_key: str = "name",

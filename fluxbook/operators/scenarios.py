@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fluxbook.functions import masks
 from fluxbook.functions.values import columns_except, multiply
+from fluxbook.operators.joins import spread_join, unique_lookup
 from fluxbook.operators.series import latest_year
 from fluxbook.vocabulary import PROJECTION_FAMILIES, PROJECTION_INDEX
 
@@ -28,7 +29,7 @@ class Ramp:
 
     def __post_init__(self):
         if self.end < self.start:
-            raise ValueError("end_year must be greater than or equal to start_year.")
+            raise ValueError(f"A ramp ends after it starts, not {self.start}-{self.end}")
 
     def cut(self, year: Column) -> Column:
         share = (year - self.start + 1) / (self.end - self.start + 1)
@@ -55,13 +56,6 @@ SCENARIO_2 = Scenario("scenario 2", donors=True, usa=60, rest=0)
 SCENARIO_3 = Scenario("scenario 3", donors=True, usa=80, rest=10, ramp=Ramp(0.1, 2025, 2027))
 
 
-def published_scenario(number: int) -> Scenario:
-    known = {1: SCENARIO_1, 2: SCENARIO_2, 3: SCENARIO_3}
-    if number not in known:
-        raise ValueError(f"Unsupported scenario: {number}")
-    return known[number]
-
-
 # --- multipliers from the projection workbook ---------------------------------------------
 
 _ABBREVIATIONS = (("bl", "bilateral"), ("ml", "multilateral"), ("ag", "agriculture"), ("_value", ""))
@@ -94,9 +88,8 @@ def select_family(df: DataFrame, family: str) -> DataFrame:
 
 def multipliers(projections: DataFrame, deflators: DataFrame, base_year: int = 2023) -> DataFrame:
     """Deflated level over the donor's own base-year level, per (year, iso_code, donor)."""
-    level = projections.join(
-        deflators.select("year", "iso_code", "usd_usd_deflator"), ["year", "iso_code"], "left"
-    ).withColumn("level", F.col("realistic") * F.col("usd_usd_deflator"))
+    rates = unique_lookup(deflators.where("year is not null and iso_code is not null"), ["year", "iso_code"], "usd_usd_deflator")
+    level = spread_join(projections, rates, ["year", "iso_code"]).withColumn("level", F.col("realistic") * F.col("usd_usd_deflator"))
     base = F.max(F.when(F.col("year") == base_year, F.col("level"))).over(W.partitionBy("iso_code"))
     return (
         level.withColumn("realistic_multiplier", F.try_divide("level", base))
@@ -159,7 +152,7 @@ def project_with_multiplier(df: DataFrame, factors: DataFrame, version: str | No
     Without a multiplier a row keeps its value. The multiplier column stays in the result.
     """
     ahead = carry_forward(df, target_year, latest)
-    joined = ahead.join(factors.select("iso_code", "year", multiplier), ["iso_code", "year"], "left")
+    joined = spread_join(ahead, factors.select("iso_code", "year", multiplier), ["iso_code", "year"])
     factor = F.coalesce(multiplier, F.lit(1.0))
     if version is not None:
         factor = F.when(masks.reducible(version), factor).otherwise(F.lit(1.0))
@@ -175,10 +168,13 @@ def project_scenarios(df: DataFrame, factors: DataFrame, scenarios: Sequence[Sce
     carries its own latest year forward; a caller whose rows are all of one year passes
     ``latest`` and saves the scan for the maxima.
     """
-    covered = factors.select(F.col("iso_code").alias("__donor")).distinct()
-    classed = df.join(covered, F.col("iso_code") == F.col("__donor"), "left").withColumn(
+    # All a donor has, in one row: that it has any makes it covered, and each row finds its year's.
+    donors = factors.groupBy("iso_code").agg(
+        F.collect_list(F.struct("year", F.col("realistic_multiplier").alias("m"))).alias("__years")
+    )
+    classed = spread_join(df, donors, ["iso_code"]).withColumn(
         "__class",
-        F.when(F.col("__donor").isNotNull(), "covered").when(F.col("iso_code") == usa, "usa").otherwise("rest"),
+        F.when(F.col("__years").isNotNull(), "covered").when(F.col("iso_code") == usa, "usa").otherwise("rest"),
     )
     if latest is not None:
         dated = classed.withColumns({"__own": latest, "__all": latest})
@@ -202,13 +198,11 @@ def project_scenarios(df: DataFrame, factors: DataFrame, scenarios: Sequence[Sce
         .withColumn("__latest", start)
         .withColumn("year", F.explode(years))
     )
-    # Only covered donors in donor scenarios take a multiplier, at most one row per year and
-    # donor name; all other rows pass the left join untouched.
-    multiplier = factors.select(
-        F.col("iso_code").alias("__iso"), F.col("year").alias("__at"), F.col("realistic_multiplier").alias("__m")
-    )
+    # Only covered donors in donor scenarios take a multiplier, at most one per year and donor
+    # name; all other rows, and years without one, pass with NULL.
     takes = per_scenario(lambda s: F.lit(s.donors)) & (F.col("__class") == "covered")
-    rows = rows.join(multiplier, takes & (F.col("iso_code") == F.col("__iso")) & (year == F.col("__at")), "left")
+    own_years = F.transform(F.filter("__years", lambda y: y["year"] == year), lambda y: y["m"])
+    rows = rows.withColumn("__m", F.explode_outer(F.when(takes, own_years)))
 
     def factor_of(s: Scenario) -> Column:
         if not s.extend:

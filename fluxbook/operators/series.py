@@ -6,9 +6,13 @@ years; all windows of an index share one partitioning and one sort.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from fluxbook.functions.values import nan_to_null, scaled_type
+from fluxbook.operators.joins import spread_join, unique_lookup
 from fluxbook.operators.totals import union_by_name
 
 
@@ -149,15 +153,104 @@ def year_iso_grid(isos: DataFrame, start_year: int, end_year: int) -> DataFrame:
 
 
 def deflate(df: DataFrame, deflators: DataFrame, *, to_current: bool = False, column: str = "value") -> DataFrame:
-    """Constant prices through a base-100 deflator joined on (iso_code, year), or back again."""
+    """Constant prices through a base-100 deflator joined on (iso_code, year), or back again.
+
+    ``deflators`` may be for any pair of currencies, see ``currency_deflators``."""
     rates = deflators.select("iso_code", "year", F.col("deflator").alias("__deflator"))
     rate = F.col("__deflator") / 100
     value = F.col(column).cast("double")
     changed = value * rate if to_current else F.try_divide(value, rate)
-    deflated = df.join(rates, ["iso_code", "year"], "left")
+    deflated = spread_join(df, rates, ["iso_code", "year"])
     return deflated.withColumn(column, changed.cast(scaled_type(df, column))).select(*df.columns)
 
 
+# --- deflation between currencies ----------------------------------------------------------
+
+#: The country's own currency, and the one that all rates are quoted in.
+LOCAL, DOLLAR = "LCU", "USD"
+
+
+@dataclass(frozen=True)
+class Currencies:
+    """Amounts of ``source`` currency turned into constant prices of ``target``, or back ``to_current``.
+
+    A currency is ``LOCAL``, ``DOLLAR`` or the iso code of the country whose currency it is.
+    """
+
+    source: str = DOLLAR
+    target: str = DOLLAR
+    to_current: bool = False
+
+
+def currency_rates(deflators: DataFrame, exchange: DataFrame, base_year: int) -> DataFrame:
+    """Per (iso_code, year): ``price``, the price level over the base year's, ``rate``, dollars for a unit of
+    the local currency, and ``base_rate``, the same in the base year.
+
+    ``deflators`` has a base-100 ``deflator``, ``exchange`` a ``rate``, one row per iso and year each. The base year is read by a window over
+    the series, so both tables meet once. A year without a rate still serves local currency.
+    """
+    both = unique_lookup(deflators, ["iso_code", "year"], "deflator").join(
+        unique_lookup(exchange, ["iso_code", "year"], "rate"), ["iso_code", "year"], "left"
+    )
+    base = F.max(F.when(F.col("year") == base_year, F.struct(nullable(F.col("deflator")).alias("deflator"), nullable(F.col("rate")).alias("rate")))).over(in_series())
+    return both.withColumn("__base", base).select(
+        "iso_code", "year", F.try_divide("deflator", F.col("__base.deflator")).alias("price"), "rate", F.col("__base.rate").alias("base_rate")
+    )
+
+
+def nullable(column: Column) -> Column:
+    """NaN as NULL."""
+    return F.when(~F.isnan(column.cast("double")), column)
+
+
+def _of_country(rates: DataFrame, iso: str, column: str) -> DataFrame:
+    """One country's rates by year, for amounts in its currency: a row per year."""
+    return rates.where(F.col("iso_code") == iso).select(F.col("year").alias("__year"), F.col(column).alias(f"__{iso}_{column}"))
+
+
+def deflate_between(df: DataFrame, rates: DataFrame, pairs: Sequence[Currencies], column: str = "value") -> DataFrame:
+    """Rows of ``df`` once per pair of currencies, with ``source_currency``, ``target_currency``, ``to_current``.
+
+    The way leads through the dollar: an amount of year y is turned into dollars by its currency's
+    rate of y and from there into the country's own currency, is divided by the country's price level of y, and
+    goes through the dollar into the target currency at the rates of the base year. ``to_current`` goes the
+    way back. The rates are looked up once for all pairs; where one is missing the value is NULL.
+    """
+    joined = spread_join(df, rates.select("iso_code", "year", "price", "rate", "base_rate"), ["iso_code", "year"])
+    others = sorted({c for p in pairs for c in (p.source, p.target)} - {LOCAL, DOLLAR})
+    for iso in others:
+        for own in ("rate", "base_rate"):
+            joined = joined.join(F.broadcast(_of_country(rates, iso, own)), F.col("year") == F.col("__year"), "left").drop("__year")
+
+    def dollars(currency: str, own: str) -> Column:
+        return F.lit(1.0) if currency == DOLLAR else F.col(own if currency == LOCAL else f"__{currency}_{own}")
+
+    def factor(p: Currencies) -> Column:
+        """What one unit of the source currency is worth in constant prices of the target."""
+        into = F.lit(1.0) if p.source == LOCAL else F.try_divide(dollars(p.source, "rate"), F.col("rate"))
+        out = F.lit(1.0) if p.target == LOCAL else F.try_divide(F.col("base_rate"), dollars(p.target, "base_rate"))
+        return F.try_divide(into * out, F.col("price"))
+
+    value = F.col(column).cast("double")
+    kind = scaled_type(df, column)
+    made = F.array(*[
+        F.struct(
+            F.lit(p.source).alias("source_currency"), F.lit(p.target).alias("target_currency"), F.lit(p.to_current).alias("to_current"),
+            (F.try_divide(value, factor(p)) if p.to_current else value * factor(p)).cast(kind).alias("__made"),
+        )
+        for p in pairs
+    ])
+    kept = [F.col("__pair.__made").alias(column) if c == column else F.col(c) for c in df.columns]
+    return joined.withColumn("__pair", F.explode(made)).select(*kept, "__pair.source_currency", "__pair.target_currency", "__pair.to_current")
+
+
+def currency_deflators(rates: DataFrame, pair: Currencies = Currencies()) -> DataFrame:
+    """The base-100 deflator of one pair of currencies by (iso_code, year), for ``deflate`` and the flow table."""
+    units = rates.select("iso_code", "year", F.lit(100.0).alias("value"))
+    current = Currencies(pair.source, pair.target, to_current=True)
+    return deflate_between(units, rates, [current]).select("iso_code", "year", F.col("value").alias("deflator"))
+
+
 def to_constant_prices(df: DataFrame, deflators: DataFrame) -> DataFrame:
     return deflate(df, deflators).withColumn("prices", F.lit("constant"))
 

@@ -10,9 +10,10 @@ from fluxbook import vocabulary as v
 from fluxbook.operators import filters, totals
 from fluxbook.operators.concessional import debt_by_direction
 from fluxbook.operators.filters import Members
-from fluxbook.operators.joins import add_donor_and_recipient_names, add_income_level
+from fluxbook.operators.joins import add_donor_and_recipient_names, add_income_level, spread_join
+from fluxbook.operators.landing import AID, flows_of_landed, land_together
 from fluxbook.operators.names import NameBook, clean_creditors, clean_debtors
-from fluxbook.operators.series import to_constant_prices
+from fluxbook.operators.series import deflate, to_constant_prices
 from fluxbook.settings import FlowSettings
 from fluxbook.sources.scans import scan_aid, scan_debt, to_units
 
@@ -20,7 +21,8 @@ from fluxbook.sources.scans import scan_aid, scan_debt, to_units
 @dataclass(frozen=True)
 class FlowSources:
     """Landed tables and code groups. ``debtor_names`` and ``creditor_names`` are optional
-    one-column lists of the names in use; they save a scan for the distinct names."""
+    one-column lists of the names in use; they save a scan for the distinct names. ``landed`` is
+    debt and aid in one table, where they come so; else the two are laid together."""
 
     debt: DataFrame
     aid: DataFrame
@@ -36,6 +38,7 @@ class FlowSources:
     debtor_names: DataFrame | None = None
     creditor_names: DataFrame | None = None
     grants_indicator: str | None = None
+    landed: DataFrame | None = None
 
 
 def clean_grants(aid: DataFrame, src: FlowSources) -> DataFrame:
@@ -124,19 +127,81 @@ def debt_service(src: FlowSources, settings: FlowSettings, constant: bool = Fals
     return debt_flows(src, settings, constant, ("outflow",))
 
 
-def total_inflows(src: FlowSources, settings: FlowSettings, constant: bool = False) -> DataFrame:
-    both = totals.union_by_name(
-        grants_inflows(src, settings, constant), debt_inflows(src, settings, constant)
+DIRECTIONS = ("inflow", "outflow")
+
+
+def _donors(src: FlowSources) -> DataFrame:
+    """Code, name and kind of every official donor; who is not listed gives no grants."""
+    spark, kind = src.donor_names.sparkSession, src.donor_names.schema["donor_code"].dataType
+    official = src.official_donors
+    codes = official.toDF("donor_code") if isinstance(official, DataFrame) else spark.createDataFrame([(c,) for c in official], "donor_code long")
+    others = spark.createDataFrame([(c,) for c in v.OTHER_OFFICIAL_DONORS], "donor_code long")
+    codes = codes.select(F.col("donor_code").cast(kind)).unionByName(others.select(F.col("donor_code").cast(kind))).distinct()
+    return (
+        codes.join(src.donor_names, "donor_code", "left").transform(filters.assign_grants_indicator, src.bilateral_donors)
+        .select("donor_code", F.col("donor_name").alias("donor"), F.col("indicator").alias("grants"))
+    )
+
+
+def _recipients(src: FlowSources) -> DataFrame:
+    kind = src.recipient_names.schema["recipient_code"].dataType
+    group, spark = src.developing_recipients, src.recipient_names.sparkSession
+    codes = group.toDF("recipient_code") if isinstance(group, DataFrame) else spark.createDataFrame([(c,) for c in group], "recipient_code long")
+    named = codes.select(F.col("recipient_code").cast(kind)).distinct().join(src.recipient_names, "recipient_code", "left")
+    return named.select("recipient_code", F.col("recipient_name").alias("recipient"), F.lit(True).alias("developing"))
+
+
+def flow_rows(src: FlowSources, settings: FlowSettings, constant: bool = False, directions: tuple[str, ...] = DIRECTIONS) -> DataFrame:
+    """Grants and debt flows as positive amounts, with canonical names and labels, in one pass.
+
+    Both sources are summed together by their own keys before any name is looked up; from there
+    on the rows are bounded by the dimensions. Grants come in the wanted prices, debt is deflated.
+    """
+    if constant and src.deflators is None:
+        raise ValueError("Constant prices need a deflator table.")
+    landed = land_together(src.debt, src.aid) if src.landed is None else src.landed
+    books = {
+        "inflow": (v.DISBURSEMENT_CODES, settings.last_year),
+        "outflow": (v.DEBT_SERVICE_CODES, settings.last_year + settings.service_projection_years),
+    }
+    rows = flows_of_landed(
+        landed, {d: books[d] for d in directions}, settings.first_year, settings.last_year if "inflow" in directions else None,
+        "constant" if constant else "current", src.grants_indicator,
+    )
+    aid = F.col("source") == AID
+    named = (
+        spread_join(spread_join(rows, _donors(src), ["donor_code"]), _recipients(src), ["recipient_code"])
+        .where(~aid | (F.col("grants").isNotNull() & F.col("developing")))
+        .withColumns({
+            "indicator": F.when(aid, F.col("grants")).otherwise(F.col("indicator")),
+            "country": F.when(aid, F.col("recipient")).otherwise(F.col("country")),
+            "counterpart_area": F.when(aid, F.col("donor")).otherwise(F.btrim("counterpart_area", F.lit(" \t\r\n"))),
+        })
+        .drop("grants", "developing", "recipient", "donor", "recipient_code", "donor_code")
+    )
+    both = lambda names, listed: None if listed is None else names.toDF("name").unionByName(listed.toDF("name"))
+    clean = (
+        named.transform(clean_debtors, "country", src.debtors, both(src.recipient_names.select("recipient_name"), src.debtor_names))
+        .transform(clean_creditors, "counterpart_area", src.creditors, both(src.donor_names.select("donor_name"), src.creditor_names))
+        .where(~aid | filters.is_no_total("counterpart_area"))
+        .transform(filters.add_counterpart_type)
+        .transform(add_income_level, src.income_levels)
     )
-    return both.withColumn("indicator_type", F.lit("inflow"))
+    if not constant:
+        return clean.drop("source")
+    real = deflate(clean.withColumn("__aid", F.when(aid, F.col("value"))), src.deflators)
+    value = F.when(aid, F.col("__aid").cast(real.schema["value"].dataType)).otherwise(F.col("value"))
+    return real.withColumns({"value": value, "prices": F.lit("constant")}).drop("source", "__aid")
+
+
+def total_inflows(src: FlowSources, settings: FlowSettings, constant: bool = False) -> DataFrame:
+    """Grants and disbursements; the rows of one key of a source are summed."""
+    return flow_rows(src, settings, constant, ("inflow",))
 
 
 def all_flows(src: FlowSources, settings: FlowSettings, constant: bool = False) -> DataFrame:
     """The flow table: inflows positive, outflows negative, no zero rows."""
-    grants = grants_inflows(src, settings, constant).withColumn("indicator_type", F.lit("inflow"))
-    flows = totals.union_by_name(grants, debt_flows(src, settings, constant)).transform(
-        totals.prep_flows, settings.world
-    )
+    flows = flow_rows(src, settings, constant).transform(totals.prep_flows, settings.world)
     signed = F.when(F.col("indicator_type") == "outflow", -F.col("value")).otherwise(F.col("value"))
     return (
         flows.withColumn("value", signed)

@@ -77,13 +77,6 @@ def test_natural_join_matches_null_keys(frame, table_rows):
     assert table_rows(joins.natural_left_join(left, right), "year", "outflows") == [(2000, 9.0), (2001, None)]
 
 
-def test_full_outer_keeps_both_sides(frame, table_rows):
-    left = frame([(1, None, "l")], "a int, b int, x string")
-    right = frame([(1, None, "r"), (2, 3, "s")], "a int, b int, y string")
-    joined = joins.null_safe_join(left, right, ["a", "b"], "full_outer")
-    assert table_rows(joined, "a", "b", "x", "y") == [(1, None, "l", "r"), (2, 3, None, "s")]
-
-
 def test_names_alias_first_then_first_pattern(spark, frame, table_rows):
     aliases = alias_table(spark, [("Ivory Coast", "CIV", "Cote d'Ivoire", "Africa"), ("GDR", None, "Germany", None)])
     book = NameBook(aliases, (

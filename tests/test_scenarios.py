@@ -82,8 +82,6 @@ def test_ramp_and_validation(frame, table_rows):
     assert [r[0] for r in reduced] == pytest.approx([0.7, 0.7, 0.8, 0.9, 1.0])
     with pytest.raises(ValueError):
         sc.ramp_multiplier(df, 0.1, 2027, 2025)
-    with pytest.raises(ValueError):
-        sc.published_scenario(4)
 
 
 def test_multipliers_over_the_own_base_year(frame, table_rows):
