@@ -204,7 +204,7 @@ def score_toxicity(
 
     NULL and empty texts have no terms and get the machine's bias; so has every text without learned
     terms. A NULL id or label is not learned from; repeated labels of an id are one, toxic if any is;
-    repeated rows of ``docs`` are learned from and scored each. Without labels all scores are one half.
+    repeated rows of ``docs`` are scored each, of those with one id the least text is learned from. Without labels all scores are one half.
     An empty table gives no rows; other columns are left aside.
     """
     truth = (
@@ -214,11 +214,8 @@ def score_toxicity(
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     drawn = truth.withColumn("_hash", F.xxhash64("_id", F.lit(settings.seed))).orderBy("_hash", "_id").limit(settings.sample)
     drawn = staged(drawn.select("_id", "toxic"), "toxic-labels")
-    labelled = staged(  # repeated rows of one id could be many; the limit holds for rows as well
-        chosen.join(F.broadcast(drawn), F.col("id") == F.col("_id"))
-        .orderBy(F.xxhash64("id", F.lit(settings.seed)), "id", F.xxhash64("text")).limit(settings.sample).select("toxic", "text"),
-        "toxic-sample",
-    )
+    rows = chosen.join(F.broadcast(drawn), F.col("id") == F.col("_id"))  # at most settings.sample ids
+    labelled = staged(rows.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).drop("id"), "toxic-sample")
     machine = learn_machine(labelled, settings)
     # plain arrays, so that workers need no class of this package
     shipped = docs.sparkSession.sparkContext.broadcast((machine.place, machine.bias, machine.weights, machine.vectors))
