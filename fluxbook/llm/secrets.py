@@ -50,7 +50,10 @@ def _matches(text: Column, rule: Rule) -> Column:
 
 
 def find_spans(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Spans (code points, end exclusive) of each row of ``blob``, ``text``, ``due`` for its due kinds."""
+    """Spans (code points, end exclusive) of each blob for its due kinds, from rows of ``blob``, ``text``, ``due``.
+
+    Rows that repeat a blob find the same matches; each counts once, as offsets add up along them.
+    """
     found = blobs.select(
         "blob",
         F.explode(F.array(*[
@@ -58,7 +61,7 @@ def find_spans(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                      F.when(F.array_contains("due", r.kind), _matches(F.col("text"), r)).alias("found"))
             for r in rules
         ])).alias("r"),
-    ).select("blob", "r.kind", "r.version", F.explode("r.found").alias("m"))
+    ).select("blob", "r.kind", "r.version", F.explode("r.found").alias("m")).dropDuplicates(["blob", "kind", "version", "m"])
     upto = Window.partitionBy("blob", "kind").orderBy("m.place").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("m.gap") + F.col("m.size")).over(upto).cast("int")
     return (

@@ -1,4 +1,8 @@
-"""Operator 8: language-model scores from a probabilistic suffix tree."""
+"""Operator 8: language-model scores from a probabilistic suffix tree.
+
+The symbols are bytes. A text is its words in small letters with a space between them and an end
+behind the last one; contexts are the bytes before a symbol, across words, back to the beginning of the text.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +12,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fluxbook.llm.staging import shared_path, staged
-from fluxbook.llm.texts import BASE, LOWERED, U64, mix, span_hashes, text_slices, words_of
+from fluxbook.llm.staging import staged
+from fluxbook.llm.texts import IS_SPACE, LOWERED, span_hashes, text_slices, words_of
 
-#: Longest contexts: words before a word, across all of the text, and bytes before a byte of a word's spelling.
-WORDS, DEPTH = 3, 5
-#: The symbols of a spelling are the word's bytes; no word holds these two.
-START, STOP = 0x20, 0x0A
-SYMBOLS = 257
-#: Words in front of a text and behind it, beside the hashes of words.
-FRONT, END = 0, 1
-CHUNK_BYTES = 8 << 20
+#: Longest context in bytes; a context and its symbol are one number of 64 bits, so 7 is the most.
+DEPTH = 5
+SPACE, END = 0x20, 0x0A
+SYMBOLS = 256
+#: Bytes that are worked on at once, and bytes of texts whose different grams and words are asked for together.
+PIECE_BYTES, CHUNK_BYTES = 1 << 20, 32 << 20
+WORD, GRAM = 0, 1
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,7 @@ class TreeSettings:
     divergence: float = 0.01
     evidence: float = 10.0
     drawn: float = 4.0
+    depth: int = DEPTH
 
 
 def context_logs(pairs: DataFrame, depth: int, root: DataFrame, settings: TreeSettings, name: str) -> DataFrame:
@@ -66,183 +71,192 @@ def context_logs(pairs: DataFrame, depth: int, root: DataFrame, settings: TreeSe
     return known
 
 
-def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol of the words (stop included): the DEPTH symbols before it, the last in the lowest byte, itself, its word."""
-    sizes = np.diff(offsets)
-    n = len(sizes)
-    begins = offsets[:-1] + 2 * np.arange(n)
-    line = np.empty(len(data) + 2 * n, np.uint8)
-    line[begins], line[begins + sizes + 1] = START, STOP
-    inner = np.ones(len(line), bool)
-    inner[begins] = inner[begins + sizes + 1] = False
-    line[inner] = data
-    word = np.repeat(np.arange(n), sizes + 2)
-    since = np.arange(len(line)) - begins[word]
-    code = np.zeros(len(line), np.int64)
-    for k in range(1, DEPTH + 1):
-        past = np.full(len(line), START, np.int64)
-        past[k:] = line[:-k]
-        code |= np.where(since >= k, past, START) << (8 * (k - 1))
-    at = since > 0
-    return code[at], line[at].astype(np.int64), word[at]
-
-
-def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-        for first, end, data, offsets in text_slices(batch.column(0)):
-            code, symbol, word = _symbols(data, offsets)
-            order = np.lexsort((symbol, code, word))
-            code, symbol, word = code[order], symbol[order], word[order]
-            begin = np.flatnonzero(np.append(True, (np.diff(word) != 0) | (np.diff(code) != 0) | (np.diff(symbol) != 0))) if len(word) else np.zeros(0, np.int64)
-            times = np.diff(np.append(begin, len(word)))
-            made = own[first:end][word[begin]], code[begin], symbol[begin], times, times * weights[first:end][word[begin]]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in made], names=["word", "code", "s", "times", "n"])
+def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pieces of a long text that begin at a space; a word is never cut."""
+    start = 0
+    while start < len(data):
+        stop = min(start + PIECE_BYTES, len(data))
+        while stop < len(data) and not IS_SPACE[data[stop]]:
+            spaces = np.flatnonzero(IS_SPACE[data[stop:stop + PIECE_BYTES]])
+            stop = stop + int(spaces[0]) if len(spaces) else min(stop + PIECE_BYTES, len(data))
+        yield start, stop
+        start = stop
 
 
-def spell(words: DataFrame, settings: TreeSettings) -> DataFrame:
-    """``s`` and ``spelt``, the log10 probability of the word letter by letter, its stop included.
+def grams_of(texts: pa.Array, depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per piece its first and end row, the words (hashes, rows) and the grams (numbers, rows) in it.
 
-    ``words`` holds each different word, its hash ``s`` and its training count ``c``.
+    A gram holds a symbol in its lowest byte and the ``depth`` symbols before it above that, the last one lowest;
+    in front of a text there are ends. A text longer than a piece comes in several.
     """
-    letters = staged(words.select("word", "s", "c").mapInArrow(_letters, "word long, code long, s long, times long, n long"), "lm-letters")
-    cut = lambda d: F.col("code").bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long")).alias(f"k{d}")
-    single = letters.groupBy("s").agg(F.sum("n").alias("c"))
-    total = single.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    root = single.withColumn("log", F.log10((F.col("c") + 1) / F.lit(float(total + SYMBOLS))))
-    logs = context_logs(letters.select(*[cut(d) for d in range(1, DEPTH + 1)], "s", "n"), DEPTH, root, settings, "lm-letters")
-    asked = letters.select("word", cut(DEPTH), "s", "times")
-    return asked.join(logs, [f"k{DEPTH}", "s"]).groupBy("word").agg(F.sum(F.col("times") * F.col("log")).alias("spelt")).withColumnRenamed("word", "s")
-
-
-def _in_context(hashes: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Contexts of one word and more, the word itself and its row, for all words of all texts and their ends."""
-    n = len(sizes)
-    begins = np.concatenate([[0], np.cumsum(sizes + WORDS + 1)[:-1]]).astype(np.int64)
-    line = np.full(int(sizes.sum()) + n * (WORDS + 1), FRONT, U64)
-    rows = np.repeat(np.arange(n), sizes + WORDS + 1)
-    since = np.arange(len(line)) - begins[rows]
-    line[(since >= WORDS) & (since < WORDS + sizes[rows])] = hashes
-    line[begins + WORDS + sizes] = END
-    at = np.flatnonzero(since >= WORDS)
-    keys, key = [], np.zeros(len(at), U64)
-    for k in range(1, WORDS + 1):
-        key = mix(key * BASE + line[at - k] + U64(k))
-        keys.append(key)
-    return keys, line[at], rows[at]
-
-
-CONTEXTS = [f"k{d}" for d in range(1, WORDS + 1)]
-
-
-def _bags(id_type: pa.DataType):
-    """Rows of kind 0: a document as the places of its pairs of context and word in its chunk's list;
-    kind 1: a word of a chunk; kind 2: a pair of a chunk."""
-    schema = pa.schema([
-        ("kind", pa.int32()), ("chunk", pa.int64()), ("id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-        ("places", pa.binary()), ("times", pa.binary()), ("place", pa.int64()), ("word", pa.string()), ("trained", pa.int64()),
-        ("s", pa.int64()), *[(k, pa.int64()) for k in CONTEXTS],
-    ])
+    for first, end, data, offsets in text_slices(texts, PIECE_BYTES):
+        pieces = list(_cuts(data)) if end - first == 1 and len(data) > 2 * PIECE_BYTES else [(0, len(data))]
+        tail, begun = np.full(depth, END, np.uint8), False
+        for start, stop in pieces:
+            own = data[start:stop]
+            edges = offsets if len(pieces) == 1 else np.array([0, len(own)])
+            starts, ends, rows = words_of(own, edges)
+            sizes, n, closes = ends - starts, end - first, int(stop == len(data))
+            follows = np.append(begun, rows[1:] == rows[:-1]) if len(rows) else np.zeros(0, bool)
+            spans = sizes + follows
+            out = np.cumsum(spans) - spans + rows * closes + follows  # where each word begins in the line
+            line = np.full(int(spans.sum()) + n * closes, SPACE, np.uint8)
+            inside = np.arange(int(sizes.sum())) + np.repeat(out - (np.cumsum(sizes) - sizes), sizes)
+            line[inside] = LOWERED[own[~IS_SPACE[own]]]
+            totals = np.bincount(rows, spans, minlength=n).astype(np.int64) + closes
+            if closes:
+                line[np.cumsum(totals) - 1] = END
+            row = np.repeat(np.arange(n), totals)
+            since = np.arange(len(line)) - (np.cumsum(totals) - totals)[row]
+            whole = np.concatenate([tail, line])
+            gram = np.zeros(len(line), np.int64)
+            for k in range(depth + 1):
+                symbol = whole[depth - k:len(whole) - k].astype(np.int64)
+                gram |= (symbol if len(pieces) > 1 else np.where(since >= k, symbol, END)) << (8 * k)
+            yield first, end, span_hashes(own, starts, ends, LOWERED).view(np.int64), rows, gram, row
+            tail, begun = whole[len(whole) - depth:], begun or len(rows) > 0
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their chunk; a new one begins when the last has its bytes."""
+    chunk, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = held + np.cumsum(sizes) - sizes
+        numbers = chunk + before // CHUNK_BYTES
+        held += int(sizes.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), *batch.columns], names=["chunk", *batch.schema.names])
+
+
+class _Tally:
+    """Different keys with their counts; what has come in is merged when it outgrows the rest."""
+
+    def __init__(self):
+        self.keys, self.counts, self.new, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        different, which = np.unique(keys, return_inverse=True)
+        self.new.append((different, np.bincount(which, counts, minlength=len(different)).astype(np.int64)))
+        self.size += len(different)
+        if self.size > len(self.keys) + (1 << 20):
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *[k for k, _ in self.new]])
+        counts = np.concatenate([self.counts, *[c for _, c in self.new]])
+        self.keys, begin = np.unique(keys, return_inverse=True)
+        self.counts = np.bincount(begin, counts, minlength=len(self.keys)).astype(np.int64)
+        self.new, self.size = [], 0
+
 
-    def rows_of(n, **columns):
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+def _asks(depth: int):
+    """Per chunk its different words and grams, and how often each is there to be learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            held_all = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, end, data, offsets in text_slices(batch.column(2), CHUNK_BYTES):
-                n, held = end - first, held_all[first:end]
-                starts, ends, rows = words_of(data, offsets)
-                hashes = span_hashes(data, starts, ends, LOWERED)
-                different, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-                trained = np.bincount(which, ~held[rows], minlength=len(example)).astype(np.int64)
-                raw = LOWERED[data].tobytes()
-                words = pa.array([raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())], pa.binary()).cast(pa.string())
-                sizes = np.bincount(rows, minlength=n)
-                keys, symbol, rows = _in_context(hashes, sizes)
-                _, pair, which = np.unique(mix(keys[-1] * BASE + symbol), return_index=True, return_inverse=True)
-                bag, times = np.unique(rows.astype(np.int64) << 32 | which, return_counts=True)
-                ends_of = np.searchsorted(bag >> 32, np.arange(n + 1))
-                place = (bag & 0xFFFFFFFF).astype(np.uint32)
-                times = times.astype(np.uint32)
-                of = lambda k, n: {"kind": pa.array(np.full(n, k, np.int32)), "chunk": pa.array(np.full(n, chunk))}
-                signed = lambda x: pa.array(x.view(np.int64))
-                yield rows_of(
-                    n, **of(0, n), id=batch.column(0).slice(first, n).cast(id_type), held_out=pa.array(held), n_tokens=pa.array(sizes + 1),
-                    places=pa.array([place[a:b].tobytes() for a, b in zip(ends_of[:-1], ends_of[1:])], pa.binary()),
-                    times=pa.array([times[a:b].tobytes() for a, b in zip(ends_of[:-1], ends_of[1:])], pa.binary()),
-                )
-                yield rows_of(len(words), **of(1, len(words)), word=words, trained=pa.array(trained), s=signed(different))
-                m = len(pair)
-                seen = np.bincount(which, ~held[rows], minlength=m).astype(np.int64)
-                yield rows_of(
-                    m, **of(2, m), place=pa.array(np.arange(m)), trained=pa.array(seen), s=signed(symbol[pair]),
-                    **{k: signed(key[pair]) for k, key in zip(CONTEXTS, keys)},
+        tallies, chunk = {WORD: _Tally(), GRAM: _Tally()}, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, tally in tallies.items():
+                tally.merge()
+                n = len(tally.keys)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, chunk)), pa.array(np.full(n, kind, np.int32)), pa.array(tally.keys), pa.array(tally.counts)], names=["chunk", "kind", "key", "n"]
                 )
-                chunk += 1
+                tallies[kind] = _Tally()
+
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if a == b:
+                    continue
+                if chunk is not None and numbers[a] != chunk:
+                    yield from out()
+                chunk = int(numbers[a])
+                for first, end, words, word_rows, grams, gram_rows in grams_of(batch.column(2).slice(a, b - a), depth):
+                    learned = (~held_out[a + first:a + end]).astype(float)
+                    tallies[WORD].add(words, learned[word_rows])
+                    tallies[GRAM].add(grams, learned[gram_rows])
+        if chunk is not None:
+            yield from out()
 
     return run
 
 
+def gram_logs(grams: DataFrame, settings: TreeSettings) -> DataFrame:
+    """``key`` and ``log`` of every gram of ``grams`` (``key`` and ``n``), read from its longest retained context."""
+    depth = settings.depth
+    above = F.shiftright("key", 8)
+    cut = [above.bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long")).alias(f"k{d}") for d in range(1, depth + 1)]
+    pairs = grams.select(*cut, F.col("key").bitwiseAND(F.lit(0xFF).cast("long")).alias("s"), "n")
+    single = staged(pairs.groupBy("s").agg(F.sum("n").alias("c")), "lm-symbols")
+    total = single.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    root = single.withColumn("log", F.log10((F.col("c") + 1) / F.lit(float(total + SYMBOLS))))
+    logs = context_logs(pairs, depth, root, settings, "lm-grams")
+    return logs.select(F.shiftleft(f"k{depth}", 8).bitwiseOR(F.col("s")).alias("key"), "log")
+
+
 def score_texts(
-    docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", settings: TreeSettings = TreeSettings(),
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", settings: TreeSettings = TreeSettings(),
 ) -> DataFrame:
     """The id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every document.
 
-    ``held_out`` is a condition; the other documents are learned from. The words of a text, in
-    small letters, and then its end are drawn one by one, each from the longest retained suffix
-    of the WORDS words before it. Without a context, a word is drawn by its training count or, with
-    as much weight as there are words seen once, spelt symbol by symbol by the suffix tree of the
-    training words, so every word has a probability. ``base_score`` is that of single words with added ones.
+    ``held_out`` is a condition; the other documents are learned from. ``score`` is the log10 probability
+    of a text's bytes, each drawn from the longest retained suffix of the bytes before it; as every
+    byte can follow every context, each text has a probability. ``base_score`` is that of single
+    words with added ones.
+
+    The texts are written once, with the number of a chunk of some tens of megabytes. A chunk asks for its different words
+    and grams (a byte with the bytes before it). These are counted over all chunks, which gives the tree as
+    tables, one for each length of context; every gram is scored once and joined back to the chunks that ask for it,
+    which add up their documents. No table of the model is held anywhere. Words are told apart by 64-bit hashes.
 
-    The texts are read once: a chunk of some megabytes becomes its words, its pairs of context and
-    word, and a bag of places per document. Pairs are counted over all chunks, scored once per
-    different pair and joined back to their chunks; both trees are Spark tables, none is held anywhere.
     NULL and empty texts are an end only; a NULL id is not held out; repeated rows are learned
-    and scored each; an empty table gives no rows; other columns are left aside.
+    and scored each; an empty table gives no rows; other columns are left aside. A text longer
+    than a piece is worked on in pieces.
     """
-    spark = docs.sparkSession
-    chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    depth = settings.depth
+    chosen = docs.select(F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = chosen.schema["id"].dataType
-    bags_schema = T.StructType([
-        T.StructField("kind", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("id", kind), T.StructField("held_out", T.BooleanType()),
-        T.StructField("n_tokens", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("times", T.BinaryType()),
-        T.StructField("place", T.LongType()), T.StructField("word", T.StringType()), T.StructField("trained", T.LongType()),
-        T.StructField("s", T.LongType()), *[T.StructField(k, T.LongType()) for k in CONTEXTS],
-    ])
-    path = shared_path(spark, "lm-bags")
-    id_type = to_arrow_schema(T.StructType([T.StructField("id", kind)])).field(0).type
-    chosen.mapInArrow(_bags(id_type), bags_schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    bag, vocabulary, pairs = (spark.read.schema(bags_schema).parquet(path).filter(f"kind = {k}") for k in (0, 1, 2))
-    words = staged(vocabulary.groupBy("word", "s").agg(F.sum("trained").alias("c")), "lm-words")
-    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds"), F.count_if(F.col("c") == 1).alias("once")).first()
-    ends = bag.filter("not held_out").count()
+    schema = T.StructType([T.StructField("chunk", T.LongType()), *chosen.schema.fields])
+    texts = staged(chosen.mapInArrow(_chunked, schema), "lm-texts")
+    asks = staged(
+        texts.select("chunk", "held_out", "text").mapInArrow(_asks(depth), "chunk long, kind int, key long, n long"), "lm-asks"
+    )
+    words = staged(asks.filter(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("c")), "lm-words")
+    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
+    ends = texts.filter("not held_out").count()
     tokens, kinds = seen["tokens"] + ends, seen["kinds"] + (ends > 0)
-    below = np.log10(tokens + kinds + 1)
-    stop = (ends + 1) / (tokens + 2)
-    fresh = max(seen["once"], 1)
-    whole = F.when(F.col("c") > 0, F.log10(F.col("c") + fresh * F.pow(F.lit(10.0), "spelt"))).otherwise(F.col("spelt") + math.log10(fresh))
-    single = words.select("s", "c").join(spell(words, settings), "s").select("s", "c", (whole + math.log10((1 - stop) / max(seen["tokens"] + fresh, 1))).alias("log"))
-    end = spark.createDataFrame([(END, ends, math.log10(stop))], "s long, c long, log double")
-    root = staged(single.unionByName(end), "lm-root")
-    known = context_logs(pairs.select(*CONTEXTS, "s", F.col("trained").alias("n")), WORDS, root, settings, "lm-words")
-    by_chunk = pairs.select("chunk", "place", CONTEXTS[-1], "s").join(known, [CONTEXTS[-1], "s"]).select("chunk", "place", "c", "log")
-
-    def finish(documents: pa.Table, vocab: pa.Table) -> pa.Table:
-        size = vocab.num_rows
-        place = vocab["place"].to_numpy()
-        c, log = np.zeros(size, np.int64), np.zeros(size)
-        c[place], log[place] = vocab["c"].to_numpy(), vocab["log"].to_numpy()
-        base = np.log10(c + 1) - below
-        joined = lambda name: np.frombuffer(b"".join(documents[name].to_pylist()), np.uint32)
-        places, times = joined("places"), joined("times").astype(float)
-        row = np.repeat(np.arange(documents.num_rows), [len(x) // 4 for x in documents["places"].to_pylist()])
-        total = lambda values: np.bincount(row, times * values[places], minlength=documents.num_rows)
+    logs = gram_logs(asks.filter(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), settings)
+    answers = words.select(F.lit(WORD).alias("kind"), "key", F.col("c").cast("double").alias("value")).unionByName(
+        logs.select(F.lit(GRAM).alias("kind"), "key", F.col("log").alias("value"))
+    )
+    by_chunk = asks.select("chunk", "kind", "key").join(answers, ["kind", "key"])
+    share = math.log10(tokens + kinds + 1)
+
+    def finish(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        n = documents.num_rows
+        which, keys, values = (answers[c].to_numpy() for c in ("kind", "key", "value"))
+        tables = []
+        for own in (which == WORD, which == GRAM):
+            order = np.argsort(keys[own], kind="stable")
+            tables.append((keys[own][order], values[own][order]))
+        (word_keys, counts), (gram_keys, log) = tables
+        base = np.log10(counts + 1)
+        sums = {name: np.zeros(n) for name in ("n_words", "n_known", "base", "score")}
+        for first, end, words, word_rows, grams, gram_rows in grams_of(documents["text"], depth):
+            at = np.searchsorted(word_keys, words)
+            size = end - first
+            sums["n_words"][first:end] += np.bincount(word_rows, minlength=size)
+            sums["n_known"][first:end] += np.bincount(word_rows, counts[at] > 0, minlength=size)
+            sums["base"][first:end] += np.bincount(word_rows, base[at], minlength=size)
+            sums["score"][first:end] += np.bincount(gram_rows, log[np.searchsorted(gram_keys, grams)], minlength=size)
+        n_tokens = sums["n_words"].astype(np.int64) + 1
         return pa.table({
-            "id": documents["id"], "held_out": documents["held_out"], "n_tokens": documents["n_tokens"],
-            "n_known": pa.array(total((c > 0).astype(float)).astype(np.int64)), "train_tokens": pa.array(np.full(documents.num_rows, tokens)),
-            "base_score": pa.array(total(base)), "score": pa.array(total(log)),
+            "id": documents["id"], "held_out": documents["held_out"], "n_tokens": pa.array(n_tokens),
+            "n_known": pa.array(sums["n_known"].astype(np.int64) + (ends > 0)), "train_tokens": pa.array(np.full(n, tokens)),
+            "base_score": pa.array(sums["base"] + math.log10(ends + 1) - n_tokens * share), "score": pa.array(sums["score"]),
         })
 
     result = T.StructType([
@@ -250,8 +264,7 @@ def score_texts(
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
     return (
-        bag.select("chunk", "id", "held_out", "n_tokens", "places", "times").groupBy("chunk")
-        .cogroup(by_chunk.groupBy("chunk")).applyInArrow(finish, result).withColumnRenamed("id", id_col)
+        texts.groupBy("chunk").cogroup(by_chunk.groupBy("chunk")).applyInArrow(finish, result).withColumnRenamed("id", id_col)
     )
 
 

@@ -43,6 +43,8 @@ def corpus():
     rows = []
     for i, text in enumerate(texts):
         rows.append((i, text, rng.choice(["en", "de", None]), rng.choices(["web", "book", "code", None], [8, 2, 1, 1])[0], None if text is None else len(text)))
+    secret = next(r for r in rows if r[1] and "hunter2" in r[1])
+    rows += [secret, secret, (990, *secret[1:])]
     rows += [rows[10], rows[10], rows[95], (None, texts[7], "en", "web", 5), (None, texts[7], "en", "web", 5), (None, None, None, None, None)]
     return rows
 
