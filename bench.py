@@ -1,7 +1,9 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
 Each query is run once to warm up and then timed; the median of the timed runs counts. A run
-covers building the plan and executing it completely (no-op sink).
+covers building the plan and executing it completely (no-op sink). Beside that, ``parts`` gives the medians of
+building the DataFrame, planning it and executing it, and ``shuffled`` one run with broadcast joins
+switched off, as with tables that are too large for them.
 """
 
 from __future__ import annotations
@@ -35,26 +37,42 @@ def session(cpus: str) -> SparkSession:
     )
 
 
-def timed(spark: SparkSession, folder: str, key: str) -> float:
+def timed(spark: SparkSession, folder: str, key: str) -> dict[str, float]:
+    """Seconds of building and executing, and of planning, which the execution contains."""
     start = time.perf_counter()
-    QUERIES[key](spark, folder).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    df = QUERIES[key](spark, folder)
+    built = time.perf_counter()
+    df._jdf.queryExecution().executedPlan()
+    planned = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    done = time.perf_counter()
+    plan = planned - built
+    return {"build": built - start, "plan": plan, "run": max(done - planned - plan, 0.0), "total": built - start + done - planned}
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
+    seconds, parts, shuffled = {}, {}, {}
     for key in HEADLINE:
         timed(spark, folder, key)
-        seconds[key] = round(statistics.median(timed(spark, folder, key) for _ in range(RUNS)), 3)
+        runs = [timed(spark, folder, key) for _ in range(RUNS)]
+        middle = {part: round(statistics.median(r[part] for r in runs), 3) for part in runs[0]}
+        seconds[key] = middle.pop("total")
+        parts[key] = middle
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    for key in HEADLINE:
+        shuffled[key] = round(timed(spark, folder, key)["total"], 3)
     print(json.dumps({
         "metric": "headline_queries_total",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
+        "parts": parts,
+        "shuffled": shuffled,
     }))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from checks.relations import (
-    BASE_YEAR, GROUPS, PERIODS, PROJECTION_SHIFT, TRADE, Trade, trade,
+    BASE_YEAR, GROUPS, PATTERNS, PERIODS, PROJECTION_SHIFT, TRADE, Trade, trade,
 )
 from checks.sqltext import cents, dbl, half_even, query
 from fluxbook.functions import masks
@@ -49,10 +49,15 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def register(key: str, build: Callable[[Trade], DataFrame], sql: str | None) -> None:
+def register(key: str, build: Callable[[Trade], DataFrame], sql: str | None, **instead: str) -> None:
     QUERIES[key] = lambda spark, folder: finish(build(trade(spark, folder)))
     if sql is not None:
-        ORACLES[key] = query(sql)
+        ORACLES[key] = query(sql, **instead)
+
+
+def ranked(sql: str, order: str) -> str:
+    """Rows of a query with their place in an order."""
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM ({sql})"
 
 
 # --- scans, sources and sinks ------------------------------------------------------------
@@ -326,6 +331,23 @@ register(
         r.indicator, r.year, trim(r.counterpart_area) AS counterpart_area, {dbl('r.value')} AS value
     FROM debt_raw r LEFT JOIN names d ON r.country = d.raw_name""",
 )
+
+
+def _many_patterns(t: Trade) -> names.NameBook:
+    """The patterns as a table behind 300 others that fit no name, or only as a later choice."""
+    others = [names.NamePattern(f"(?i)^(no )?nation_{k}[0-9]*$", f"ISO_O{k}", f"Other {k}", None) for k in range(100, 390)]
+    late = [names.NamePattern("(?i)n.tion", "ISO_L", "Late", "Late"), names.NamePattern("(?i)[a-z]+_1?5$", "ISO_M", "Later", "Later")]
+    rows = [(n, p.pattern, p.iso_code, p.name, p.continent) for n, p in enumerate([*others, *PATTERNS, *late])]
+    return names.NameBook(t.book.aliases, t.spark.createDataFrame(rows[::-1], "rank long, pattern string, iso_code string, name string, continent string"))
+
+
+register(
+    "clean_debtors_pattern_table",
+    lambda t: names.clean_debtors(_trimmed_debt(t), "country", _many_patterns(t), t.table("nation", "n_name")),
+    f"""SELECT d.indicator, d.year, trim(d.counterpart_area) AS counterpart_area, coalesce(n.iso_code, 'ISO_L') AS iso_code,
+        coalesce(n.name, 'Late') AS country, coalesce(n.continent, CASE WHEN n.name IS NULL THEN 'Late' ELSE d.country END) AS continent, {dbl('d.value')} AS value
+    FROM debt_raw d JOIN names n ON d.country = n.raw_name""",
+)
 register(
     "clean_creditors",
     lambda t: names.clean_creditors(
@@ -829,25 +851,26 @@ register("projected_outflows", _estimates, f"SELECT {GROUPER}, {dbl('value')} AS
 
 # --- orders and set operations -----------------------------------------------------------
 
+FIRST_NATIONS = ("NATION_8", "NATION_12")
 register(
     "custom_sort",
-    lambda t: reshape.custom_sort(totals.by_country(t.flows), "country", ("NATION_8", "NATION_12"), "year", "indicator_type")
-    .withColumn("place", reshape.list_order("country", ("NATION_8", "NATION_12"))[0]),
-    f"""SELECT {GROUPER}, {dbl('sum(value)')} AS value, CASE country WHEN 'NATION_8' THEN 0 WHEN 'NATION_12' THEN 1 ELSE 2 END AS place
-    FROM flows GROUP BY {GROUPER}""",
+    lambda t: totals.by_country(t.flows).withColumn("place", reshape.list_order("country", FIRST_NATIONS)[0])
+    .transform(reshape.with_rank, [*reshape.list_order("country", FIRST_NATIONS), F.col("year"), F.col("indicator_type")]),
+    ranked(f"""SELECT {GROUPER}, {dbl('sum(value)')} AS value, CASE country WHEN 'NATION_8' THEN 0 WHEN 'NATION_12' THEN 1 ELSE 2 END AS place
+    FROM flows GROUP BY {GROUPER}""", "place, country, year, indicator_type"),
 )
 register(
     "reorder",
-    lambda t: reshape.order_countries(
-        totals.group_summary(totals.by_country(t.flows), GROUPS, TRADE.developing), GROUPS
-    ).withColumn("place", masks.rank_in("country", GROUPS, 99)),
-    f"""SELECT g.*, CASE country {' '.join(f"WHEN '{k}' THEN {v}" for k, v in GROUPS.items())} ELSE 99 END AS place FROM (
+    lambda t: totals.group_summary(totals.by_country(t.flows), GROUPS, TRADE.developing)
+    .withColumn("place", masks.rank_in("country", GROUPS, 99))
+    .transform(reshape.with_rank, [*reshape.country_order(GROUPS), F.col("indicator_type")]),
+    ranked(f"""SELECT g.*, CASE country {' '.join(f"WHEN '{k}' THEN {v}" for k, v in GROUPS.items())} ELSE 99 END AS place FROM (
     SELECT {GROUPER}, {dbl('sum(value)')} AS value FROM (
         SELECT year, 'Developing countries' AS country, CAST(NULL AS VARCHAR) AS continent,
             CAST(NULL AS VARCHAR) AS income_level, prices, indicator_type, value FROM flows
         UNION ALL SELECT year, continent, continent, NULL, prices, indicator_type, value FROM flows
         UNION ALL SELECT year, income_level, NULL, income_level, prices, indicator_type, value FROM flows)
-    WHERE country IN {GROUP_NAMES} GROUP BY {GROUPER}) g""",
+    WHERE country IN {GROUP_NAMES} GROUP BY {GROUPER}) g""", "place, country, year, indicator_type"),
 )
 register(
     "union_flows",
@@ -948,6 +971,19 @@ register(
     f"SELECT {NO_TYPE}, 'net_flow' AS indicator_type, {dbl('sum(value)')} AS value FROM kept_market GROUP BY {NO_TYPE}",
 )
 
+register(
+    "net_flows_report_constant",
+    lambda t: reports.net_flows_report(fl.all_flows(t.sources, TRADE, constant=True), TRADE).transform(to_cents),
+    f"SELECT {GROUPER}, flow_type, {cents('value')} AS value FROM report",
+    flows=CONSTANT_FLOWS,
+)
+register(
+    "net_flows_by_country_constant",
+    lambda t: reports.net_flows_by_country(fl.all_flows(t.sources, TRADE, constant=True), TRADE, as_net_flows=False).transform(to_cents),
+    f"SELECT {GROUPER}, {cents('value')} AS value FROM net_all",
+    flows=CONSTANT_FLOWS,
+)
+
 # --- reports -----------------------------------------------------------------------------
 
 register(
@@ -976,6 +1012,23 @@ register(
     lambda t: reports.historical_inflows(t.flows, TRADE, debt_only=True, china_as_counterpart_type=True),
     f"""SELECT year, country, continent, income_level, counterpart_type, indicator_type, prices, {dbl('value')} AS value FROM hist""",
 )
+register(
+    "historical_inflows_all_countries",
+    lambda t: reports.historical_inflows(t.flows, TRADE, version="excluding_grants", exclude_outliers=False, remove_countries_wo_outflows=False),
+    f"""SELECT year, country, continent, income_level, counterpart_area, counterpart_type, indicator_type, prices, {dbl('sum(value)')} AS value
+    FROM (SELECT * FROM flows UNION ALL BY NAME SELECT * REPLACE ('Developing countries' AS country,
+        'World' AS continent, 'All' AS income_level) FROM flows)
+    WHERE indicator_type = 'inflow' AND year <= 2000 AND indicator NOT ILIKE '%grant%' AND income_level IS NOT NULL
+        AND counterpart_type IS NOT NULL
+    GROUP BY year, country, continent, income_level, counterpart_area, counterpart_type, indicator_type, prices""",
+)
+register(
+    "projected_outflows_all_countries",
+    lambda t: reports.projected_outflows(t.flows, TRADE, "excluding_concessional_finance", exclude_outliers=False, remove_countries_wo_outflows=False),
+    f"""SELECT {GROUPER}, {dbl('sum(value)')} AS value FROM (SELECT * FROM market UNION ALL BY NAME SELECT * REPLACE (
+        'Developing countries' AS country, 'World' AS continent, 'All' AS income_level) FROM market)
+    WHERE indicator_type = 'outflow' AND year > 2000 GROUP BY {GROUPER}""",
+)
 register("debt_service", _service, f"SELECT {SERVICE}, {dbl('value')} AS value FROM service")
 register(
     "debt_service_all_countries",
@@ -1014,13 +1067,14 @@ register(
 register(
     "oda_scenarios",
     lambda t: sr.aid_scenarios(t.aid, t.isos, _factors(t), TRADE, (sc.SCENARIO_2, SCENARIO_3))
-    .transform(to_cents, *sr.AID_TITLES.values()),
-    f"""SELECT year, donor_name, currency, prices, {cents('h.value')} AS "ODA",
+    .transform(to_cents, *sr.AID_TITLES.values()).transform(reshape.with_rank, sr.donor_order()),
+    ranked(f"""SELECT year, donor_name, currency, prices, {cents('h.value')} AS "ODA",
         CASE WHEN year >= 2001 THEN {cents('s2.value')} END AS "ODA (Projected Scenario 2)",
         CASE WHEN year >= 2001 THEN {cents('s3.value')} END AS "ODA (Projected Scenario 3)"
     FROM aid_history h
     FULL OUTER JOIN (SELECT year, donor_name, currency, prices, value FROM aid_dac2) s2 USING (year, donor_name, currency, prices)
     FULL OUTER JOIN (SELECT year, donor_name, currency, prices, value FROM aid_dac3) s3 USING (year, donor_name, currency, prices)""",
+    "CASE donor_name WHEN 'DAC Countries' THEN 0 ELSE 1 END, donor_name, year"),
 )
 
 # --- charts ------------------------------------------------------------------------------
@@ -1064,8 +1118,8 @@ ROUND_UNIT = f"round_even({dbl('r.value')} / 1e6, 2)"
 register(
     "chart_2",
     lambda t: charts.chart_2(_report(t), t.isos, t.gni, t.gni_pc, TRADE, unit=UNIT)
-    .transform(_round_share("value_pct_gni")).transform(rounded, 6, "gni_pc"),
-    _chart_2("value", "value_pct_gni", "gni", "gni_pc", ROUND_UNIT),
+    .transform(_round_share("value_pct_gni")).transform(rounded, 6, "gni_pc").transform(reshape.with_rank, charts.chart_2_order()),
+    ranked(_chart_2("value", "value_pct_gni", "gni", "gni_pc", ROUND_UNIT), "flow_type, gni_pc, country"),
 )
 register(
     "chart_2_download",

@@ -468,20 +468,21 @@ CTES = {
 }
 
 
-def _tables(body: str) -> list[str]:
+def _tables(body: str, ctes: dict[str, str]) -> list[str]:
     words = re.findall(r"(?:FROM|JOIN|,)\s+([a-z_0-9]+)\b", body)
-    return [w for w in dict.fromkeys(words) if w in CTES]
+    return [w for w in dict.fromkeys(words) if w in ctes]
 
 
-def _needed(body: str, done: dict[str, None]) -> dict[str, None]:
-    for name in _tables(body):
+def _needed(body: str, done: dict[str, None], ctes: dict[str, str]) -> dict[str, None]:
+    for name in _tables(body, ctes):
         if name not in done:
-            _needed(CTES[name], done)
+            _needed(ctes[name], done, ctes)
             done[name] = None
     return done
 
 
-def query(body: str) -> str:
-    """``body`` with the common table expressions it uses, dependencies first."""
-    parts = [f"{name} AS ({CTES[name].strip()})" for name in _needed(body, {})]
+def query(body: str, **instead: str) -> str:
+    """``body`` with the common table expressions it uses, dependencies first; ``instead`` replaces some of them."""
+    ctes = CTES | instead
+    parts = [f"{name} AS ({ctes[name].strip()})" for name in _needed(body, {}, ctes)]
     return (f"WITH {', '.join(parts)} " if parts else "") + body.strip()

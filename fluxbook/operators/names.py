@@ -10,10 +10,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fluxbook import creditor_names as fixed
-from fluxbook.functions.sizes import broadcast_if_small
+from fluxbook.operators.joins import spread_join
 
 FIELDS = ("iso_code", "name", "continent")
 
@@ -30,10 +30,11 @@ class NamePattern:
 
 @dataclass(frozen=True)
 class NameBook:
-    """``aliases`` has columns alias, iso_code, name, continent and one row per alias."""
+    """``aliases`` has columns alias, iso_code, name, continent and one row per alias. ``patterns`` is
+    a sequence in order of preference, or a table with a ``rank``."""
 
     aliases: DataFrame
-    patterns: Sequence[NamePattern] = ()
+    patterns: Sequence[NamePattern] | DataFrame = ()
 
 
 def alias_table(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
@@ -58,59 +59,115 @@ def creditor_aliases(spark: SparkSession) -> DataFrame:
     return alias_table(spark, [(s, isos.get(s), names.get(s), None) for s in spellings])
 
 
-def _text(value: str | None) -> str:
-    """SQL literal of a string or NULL."""
-    if value is None:
-        return "cast(null as string)"
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+PATTERN_FIELDS = ("pattern", *FIELDS)
+#: Length of the pieces of names by which patterns are found.
+PIECE = 3
+_GROUP = {"(": ")", "[": "]"}
 
 
-def _first_match(column: str, patterns: Sequence[NamePattern]) -> Column:
-    """What the first fitting pattern stands for, as one CASE expression."""
-    nothing = "cast(null as struct<iso_code:string,name:string,continent:string>)"
-    arms = [
-        f"when `{column}` rlike {_text(p.pattern)} then "
-        f"named_struct({', '.join(f'{_text(f)}, {_text(getattr(p, f))}' for f in FIELDS)})"
-        for p in patterns
-    ]
-    return F.expr(f"case {' '.join(arms)} else {nothing} end" if arms else nothing)
+def sure_literal(pattern: str) -> str:
+    """The longest run of plain ASCII characters, in small letters, that every match must hold; empty if none is sure.
+
+    Groups, classes and what a quantifier may leave out end a run. Alternatives at the top level, quoting and the
+    comment mode leave nothing sure.
+    """
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "|" or pattern.startswith(("\\Q", "(?x"), i):
+            return ""
+        if c == "\\":
+            following = pattern[i + 1:i + 2]
+            i += 2
+            if following.isascii() and not following.isalnum():
+                run += following
+            else:
+                runs, run = [*runs, run], ""
+            continue
+        if c in _GROUP:
+            closing, depth = _GROUP[c], 0
+            while i < len(pattern):
+                if pattern[i] == "\\":
+                    i += 1
+                else:
+                    depth += (pattern[i] == c) - (pattern[i] == closing)
+                i += 1
+                if not depth:
+                    break
+            runs, run = [*runs, run], ""
+            continue
+        if c in "?*{":
+            runs, run = [*runs, run[:-1]], ""
+            i = pattern.find("}", i) + 1 if c == "{" and "}" in pattern[i:] else i + 1
+            continue
+        if c in "+.^$" or not c.isascii():
+            runs, run = [*runs, run], ""
+        else:
+            run += c
+        i += 1
+    return max([*runs, run], key=len).lower()
+
+
+def pattern_table(spark: SparkSession, patterns: Sequence[NamePattern] | DataFrame) -> DataFrame:
+    """``rank``, ``pattern``, what it stands for, and ``piece``, the beginning of its sure literal, as a small relation.
+
+    A sequence is ranked by its order; a table brings ``rank`` and ``PATTERN_FIELDS`` with it.
+    """
+    if isinstance(patterns, DataFrame):
+        rows = [tuple(r) for r in patterns.select("rank", *PATTERN_FIELDS).collect()]  # patterns are written by hand
+    else:
+        rows = [(n, *(getattr(p, f) for f in PATTERN_FIELDS)) for n, p in enumerate(patterns)]
+    literals = [sure_literal(r[1]) for r in rows]
+    pieces = [x[:PIECE] if len(x) >= PIECE else "" for x in literals]
+    columns = list(zip(*rows)) if rows else [[] for _ in range(1 + len(PATTERN_FIELDS))]
+    return spark.createDataFrame(pa.table({
+        "rank": pa.array(columns[0], pa.int64()), **{f: pa.array(c, pa.string()) for f, c in zip(PATTERN_FIELDS, columns[1:])},
+        "piece": pa.array(pieces, pa.string()),
+    }))
+
+
+def first_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``raw_name`` and ``hit``, what the first fitting pattern stands for, of the names that one fits.
+
+    A name meets the patterns whose literal begins with one of its pieces of three letters, and those without
+    a literal; only these are tried. So work grows with the patterns that may fit, not with all.
+    """
+    small = F.lower(F.col("raw_name"))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(small) - (PIECE - 1)))
+    pieces = F.array_distinct(F.array_append(F.transform(places, lambda i: F.substring(small, i, F.lit(PIECE))), F.lit("")))
+    return (
+        names.where(F.col("raw_name").isNotNull()).withColumn("piece", F.explode(pieces))
+        .join(patterns, "piece").where(F.expr("raw_name rlike pattern"))
+        .groupBy("raw_name").agg(F.min_by(F.struct(*FIELDS), "rank").alias("hit"))
+    )
 
 
 def resolve_names(names: DataFrame, book: NameBook) -> DataFrame:
     """One-column table of names -> raw_name, iso_code, name, continent (NULL: no match)."""
     raw = names.toDF("raw_name").distinct()
     aliases = book.aliases.select("alias", *[F.col(f).alias(f"alias_{f}") for f in FIELDS])
-    matched = raw.join(aliases, F.col("raw_name") == F.col("alias"), "left").withColumn(
-        "hit", _first_match("raw_name", book.patterns)
-    )
-    return matched.select(
-        "raw_name", *[F.coalesce(f"alias_{f}", f"hit.{f}").alias(f) for f in FIELDS]
-    )
+    found = raw.join(aliases, F.col("raw_name") == F.col("alias"), "left")
+    if not isinstance(book.patterns, DataFrame) and not book.patterns:
+        return found.select("raw_name", *[F.col(f"alias_{f}").alias(f) for f in FIELDS])
+    hits = first_matches(raw, pattern_table(names.sparkSession, book.patterns)).withColumnRenamed("raw_name", "__name")
+    matched = found.join(hits, F.col("raw_name") == F.col("__name"), "left")
+    return matched.select("raw_name", *[F.coalesce(f"alias_{f}", f"hit.{f}").alias(f) for f in FIELDS])
 
 
 def _with_answers(df: DataFrame, column: str, book: NameBook, names: DataFrame | None) -> DataFrame:
-    if names is None:
-        # Row by row: the rows stay where they are, only the alias table moves.
-        aliases = book.aliases.select(F.col("alias").alias("raw_name"), *[F.col(f).alias(f"alias_{f}") for f in FIELDS])
-        joined = df.join(broadcast_if_small(aliases, book.aliases), F.col(column) == F.col("raw_name"), "left")
-        incomplete = F.lit(False)
-        for f in FIELDS:
-            incomplete = incomplete | F.col(f"alias_{f}").isNull()
-        hit = F.when(incomplete, _first_match(column, book.patterns))
-        return joined.withColumn("__hit", hit).withColumns(
-            {f"__{f}": F.coalesce(f"alias_{f}", f"__hit.{f}") for f in FIELDS}
-        ).drop("raw_name", "__hit", *[f"alias_{f}" for f in FIELDS])
-    answers = resolve_names(names, book).select(
-        "raw_name", *[F.col(f).alias(f"__{f}") for f in FIELDS]
+    # Only the different names move; a name without an answer, or none at all, matches nothing.
+    listed = df.select(column) if names is None else names
+    answers = resolve_names(listed, book).select(
+        F.col("raw_name").alias(column), *[F.col(f).alias(f"__{f}") for f in FIELDS]
     )
-    return df.join(answers, F.col(column) == F.col("raw_name"), "left").drop("raw_name")
+    return spread_join(df, answers, [column])
 
 
 def clean_debtors(df: DataFrame, column: str, book: NameBook, names: DataFrame | None = None) -> DataFrame:
     """iso_code (NULL if unknown), short name and continent (raw name if unknown) up front.
 
-    ``names`` may list the names of ``column``, which are then resolved once each; without it
-    the rows are resolved where they are, against the alias table and the patterns.
+    ``names`` may list the names of ``column``; without it they are read from the rows, once more.
+    Each different name is resolved once.
     """
     rest = [c for c in df.columns if c not in (column, "iso_code", "continent")]
     return _with_answers(df, column, book, names).select(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fluxbook.functions import masks
+from fluxbook.sources.sinks import shared_folder
 from fluxbook.vocabulary import COUNTERPART_ORDER, UNRANKED
 
 
@@ -50,8 +51,30 @@ def custom_sort(df: DataFrame, column: str, listed: Sequence[str], *ties: str) -
     return df.orderBy(*list_order(column, listed), *ties)
 
 
-def order_countries(df: DataFrame, groups: Mapping[str, int], counterpart_type: bool = False) -> DataFrame:
+def country_order(groups: Mapping[str, int], counterpart_type: bool = False) -> list[Column]:
     keys = [masks.rank_in("country", groups, UNRANKED), F.asc_nulls_last("country"), F.asc_nulls_last("year")]
-    if counterpart_type:
-        keys.append(masks.rank_in("counterpart_type", COUNTERPART_ORDER, UNRANKED))
-    return df.orderBy(*keys)
+    return keys + ([masks.rank_in("counterpart_type", COUNTERPART_ORDER, UNRANKED)] if counterpart_type else [])
+
+
+def order_countries(df: DataFrame, groups: Mapping[str, int], counterpart_type: bool = False) -> DataFrame:
+    return df.orderBy(*country_order(groups, counterpart_type))
+
+
+def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Each row's place in an order, from 1, as a column that can be stored.
+
+    The rows are sorted by range over as many partitions as there are, and written once to the shared folder, so
+    that place and partition hold if a task is repeated. The sizes of the partitions, one row each, are summed up
+    along the order; no task sees more than its own range. ``order`` should tell all rows apart.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "ranked")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
+        "__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+    })
+    ranged.write.parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    before = W.orderBy("__of").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.col("__part").alias("__of")).count()
+    starts = sizes.select("__of", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    place = (F.col("__start") + F.col("__row") + 1).cast("long").alias(name)
+    return rows.join(F.broadcast(starts), F.col("__part") == F.col("__of")).select(*df.columns, place)

@@ -56,6 +56,10 @@ def chart_1(net_flows: DataFrame, settings: FlowSettings, download: bool = False
     return custom_sort(wide, "country", settings.chart_order, "year")
 
 
+def chart_2_order() -> list[Column]:
+    return [F.asc_nulls_last("flow_type"), F.asc_nulls_last("gni_pc"), F.asc_nulls_last("country")]
+
+
 def chart_2(net_flows: DataFrame, isos: DataFrame, gni: DataFrame, gni_pc: DataFrame,
             settings: FlowSettings, download: bool = False, unit: float = BILLION) -> DataFrame:
     """African countries in the latest year: net flows as a share of GNI."""
@@ -70,11 +74,10 @@ def chart_2(net_flows: DataFrame, isos: DataFrame, gni: DataFrame, gni_pc: DataF
         .transform(add_gni_per_capita, gni_pc)
         .transform(_with_titles)
     )
-    order = [F.asc_nulls_last("flow_type"), F.asc_nulls_last("gni_pc"), F.asc_nulls_last("country")]
     if download:
         titles = {"value_pct_gni": NET_OF_GNI, "gni_pc": GNI_PC_TITLE, "value": NET_TITLE, "gni": GNI_TITLE}
-        return table.orderBy(*order).withColumnsRenamed(titles)
-    return table.withColumn("value", _in_units(unit)).orderBy(*order)
+        return table.orderBy(*chart_2_order()).withColumnsRenamed(titles)
+    return table.withColumn("value", _in_units(unit)).orderBy(*chart_2_order())
 
 
 def chart_3(inflows: DataFrame, counterpart_types: Iterable[str], settings: FlowSettings,

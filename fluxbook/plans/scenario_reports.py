@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fluxbook.functions import masks
 from fluxbook.functions.values import columns_except, missing, sum_by, total
@@ -93,6 +93,12 @@ def _projected_aid(aid: DataFrame, isos: DataFrame, factors: DataFrame, settings
     return totals.relabel_and_sum(projected, [totals.itself(), (donor_total, complete)])
 
 
+def donor_order() -> list[Column]:
+    """The donor total first."""
+    total_first = F.when(F.col("donor_name") == DAC_TOTAL["donor_name"], 0).otherwise(1)
+    return [total_first, F.col("donor_name").asc_nulls_last(), F.col("year").asc_nulls_last()]
+
+
 def aid_scenarios(aid: DataFrame, isos: DataFrame, factors: DataFrame, settings: FlowSettings,
                   scenarios: Sequence[sc.Scenario] = PUBLISHED[1:]) -> DataFrame:
     """History and two scenarios side by side, donor total first. One pass, no outer joins."""
@@ -103,5 +109,4 @@ def aid_scenarios(aid: DataFrame, isos: DataFrame, factors: DataFrame, settings:
     )
     first_projected = settings.latest_year + 1
     blanked = filters.null_before(wide, first_projected, *list(AID_TITLES.values())[1:])
-    total_first = F.when(F.col("donor_name") == DAC_TOTAL["donor_name"], 0).otherwise(1)
-    return blanked.orderBy(total_first, "donor_name", "year")
+    return blanked.orderBy(*donor_order())

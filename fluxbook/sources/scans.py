@@ -17,9 +17,32 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+BAD_ROW = "bad_row"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header row and an explicit schema, so that no inference pass is needed."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header row and an explicit schema, so that no inference pass is needed. Headers are held against
+    the schema; rows that do not fit it are left out, see ``read_csv_rows``."""
+    return read_csv_rows(spark, path, schema).where(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
+
+
+def read_csv_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a CSV table with ``bad_row``, the text of a row with too few, too many or unreadable fields.
+
+    A file whose header is not the schema's is an error. A bad row keeps the fields that can be read.
+    """
+    told = T.StructType([*schema.fields, T.StructField(BAD_ROW, T.StringType())])
+    return (
+        spark.read.schema(told).option("header", True).option("enforceSchema", False)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_ROW).csv(path)
+    )
+
+
+def bad_csv_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The texts of the rows that do not fit."""
+    rows = read_csv_rows(spark, path, schema)
+    # a query of that column alone would read nothing else, which the reader refuses
+    return rows.where(F.col(BAD_ROW).isNotNull()).select(BAD_ROW, F.struct(*schema.names).alias("read"))
 
 
 def scan_debt(debt: DataFrame, indicators: Iterable[str], start_year: int, end_year: int) -> DataFrame:

@@ -15,9 +15,18 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: str | None = "year") -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+def write_parquet(df: DataFrame, path: str, partition_by: str | None = "year", whole: bool = False) -> None:
+    """Parquet by partition: rows of one value are brought together, so a value has a few files of a good size
+    (a large one is split) however many tasks made them.
+
+    A rerun replaces the partitions that it has rows for and leaves the others; ``whole`` replaces the table.
+    """
+    if partition_by is None:
+        df.write.mode("overwrite").parquet(path)
+        return
+    together = df.hint("rebalance", partition_by)
+    mode = "static" if whole else "dynamic"
+    together.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(partition_by).parquet(path)
 
 
 def land_debt(debt: DataFrame, path: str) -> None:
