@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fluxbook.llm.staging import running_totals, staged, word_count
+from fluxbook.llm.staging import WORD, row_key, running_totals, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -59,13 +59,22 @@ def mix_sources(
     a NULL source is a source; a NULL id is hashed as such. Repeated rows are rows of their own
     and sit next to each other. An empty table gives no rows. Other columns are left aside.
     """
+    placed = _placed(docs, id_col, text_col, source_col, weights, most, seed)
+    return placed.select(
+        F.col("id").alias(id_col), "source", "size", "source_size", "target", "epochs",
+        (F.col("epochs") * F.col("size") + F.col("more")).cast("long").alias("taken"),
+    )
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], most: int, seed: str, *kept: Column) -> DataFrame:
+    """One row per document: what the mix takes, as whole passes (``epochs``) and the words ``more`` of a further one; and ``kept``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), F.md5(text.cast("binary"))))
     slim = staged(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("key"),
+            F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("key"), *kept,
         ),
         "mix-sizes",
     )
@@ -75,14 +84,36 @@ def mix_sources(
     budget = F.floor("target").cast("long")
     whole = F.coalesce(F.expr("floor(target) div nullif(source_size, 0)"), F.lit(0)).cast("long")
     rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before")
-    return (
-        placed.join(t, placed["source"].eqNullSafe(t["of"]))
-        .withColumns({"budget": budget, "epochs": whole})
-        .select(
-            F.col("id").alias(id_col), "source", "size", "source_size", "target", "epochs",
-            (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))).cast("long").alias("taken"),
-        )
+    joined = placed.join(t, placed["source"].eqNullSafe(t["of"])).withColumns({"budget": budget, "epochs": whole})
+    return joined.withColumn("more", F.greatest(F.lit(0), F.least(rest, F.col("size"))).cast("long"))
+
+
+def mixed_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED,
+) -> DataFrame:
+    """The mixed corpus: the rows of ``docs``, each once for every time that the mix of ``mix_sources`` takes it, and ``taken``.
+
+    A document that the mix leaves out has no row, nor has one without words. The one at its source's cut has its first
+    words only, with the spaces between them, in its last row. ``taken`` is the number of words of a row, so the rows of a source
+    add up to its budget. Rows that are equal in all columns are taken together; columns of any name pass through.
+    """
+    whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = _placed(docs, id_col, text_col, source_col, weights, most, seed, row_key(id_col).alias("of_id"), whole_row.alias("of_row"))
+    full = F.col("epochs") + (F.col("more") == F.col("size")).cast("long")
+    takes = placed.filter("size > 0").groupBy("of_id", "of_row").agg(
+        F.sum(full).alias("full"), F.max(F.when(F.col("more") < F.col("size"), F.col("more")).otherwise(0)).alias("cut"), F.first("size").alias("size")
     )
+    takes = takes.filter("full > 0 or cut > 0")
+    rows = docs.select(F.struct("*").alias("doc"), row_key(id_col).alias("of_id"), whole_row.alias("of_row")).dropDuplicates(["of_id", "of_row"])
+    times = F.sequence(F.lit(1).cast("long"), F.col("full") + (F.col("cut") > 0).cast("long"))
+    out = rows.join(takes, ["of_id", "of_row"]).withColumn("time", F.explode(times))
+    last = F.col("time") > F.col("full")
+    text = F.col("doc")[text_col]
+    words = F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("cut").cast("int")), "")
+    kept = [F.when(last, cut).otherwise(text).alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns]
+    return out.select(*kept, F.when(last, F.col("cut")).otherwise(F.col("size")).alias("taken"))
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:

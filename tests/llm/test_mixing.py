@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from compare import compare, connect
 
-from fluxbook.llm.mixing import OP1_SQL, mix_sources, op1_mix_sources, source_targets
+from fluxbook.llm.mixing import OP1_SQL, mix_sources, mixed_texts, op1_mix_sources, source_targets
 
 
 def test_equals_sql(spark, folder, document_table):
@@ -33,6 +33,29 @@ def test_rules_of_the_mix(documents, corpus):
     assert again == {(r["doc_id"], r["size"], r["taken"]) for r in rows}
 
 
+def test_the_mixed_texts(documents, corpus):
+    """Each document's rows are its whole text as often as the digest says, and once its first words at the cut."""
+    wanted = defaultdict(list)
+    for r in mix_sources(documents).collect():
+        wanted[r["doc_id"], r["source"], r["size"]].append(r["taken"])
+    out = mixed_texts(documents)
+    assert out.columns == [*documents.columns, "taken"]
+    found, words_of = defaultdict(list), {}
+    given = defaultdict(set)
+    for own, text, _, source, _ in corpus:
+        given[own, source].add(text)
+    for r in out.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"])
+        assert len(words) == r["taken"] > 0
+        whole = [t for t in given[r["doc_id"], r["source"]] if t and t.startswith(r["text"])]
+        assert whole and all(re.findall(r"[^\x20\x09-\x0D]+", t)[:len(words)] == words for t in whole)
+        size = max(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in whole)
+        found[r["doc_id"], r["source"], size].append(r["taken"])
+    assert {k: sum(v) for k, v in found.items()} == {k: sum(v) for k, v in wanted.items() if sum(v)}
+    cuts = [t for (_, _, size), rows in found.items() for t in rows if t < size]
+    assert 0 < len(cuts) <= 4
+
+
 def _targets(sizes):
     """Shares by weight, the excess over three times a source handed on until none is left."""
     weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
@@ -59,3 +82,10 @@ def test_targets_equal_resharing(frame, sizes):
 
 def test_empty(no_documents):
     assert mix_sources(no_documents).collect() == []
+    assert mixed_texts(no_documents).collect() == []
+
+
+def test_spaces_are_kept_at_the_cut(frame):
+    docs = frame([(1, " a\n b\tc ", "x"), (2, "d", "y")], "doc_id long, text string, source string")
+    out = {(r["text"], r["taken"]) for r in mixed_texts(docs, weights=(1, 1), most=2).collect()}
+    assert out == {(" a\n b", 2), ("d", 1)}

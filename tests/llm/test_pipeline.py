@@ -49,10 +49,11 @@ def test_run_applies_every_stage(spark, sf_dir):
     expected = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         expected = stage(spark, expected, sf_dir)
-    key = lambda df: sorted([tuple(r) for r in df.select("doc_id", "size", "taken").collect()], key=str)
+    key = lambda df: sorted([tuple(r) for r in df.select("doc_id", "text", "taken").collect()], key=str)
     found = key(corpus_pipeline.run(spark, sf_dir))
     assert found == key(expected)
     assert not {11, 12} & {r[0] for r in found}
+    assert found and all(text and taken > 0 and len(text.split()) == taken for _, text, taken in found)
 
 
 def test_empty_tables(spark, folder, document_table):
@@ -66,5 +67,5 @@ def test_empty_tables(spark, folder, document_table):
 def test_registration():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     numbers = sorted(int(q[2:].split("_")[0]) for q in queries if q.startswith("op") and q[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in queries
+    assert numbers == list(range(1, 14)) and "pipeline" in queries
     assert set(sql) <= set(queries)
