@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxbook.llm.mixing import mix_sources
+from fluxbook.llm.mixing import mixed_texts
 from fluxbook.llm.resampling import resample
 from fluxbook.llm.secrets import redact_secrets
 from fluxbook.llm.shingle_join import keep_one_each
@@ -36,8 +36,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What each document gives to the mix of the sources."""
-    return mix_sources(docs)
+    """The mixed corpus: what a source gives beyond its budget is left out, the document at the cut is shortened, a small
+    source's documents come again."""
+    out = mixed_texts(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 STAGES = [
