@@ -29,19 +29,22 @@ RULES = (
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """``depth``: levels of a template, deeper segments share a tail mark. ``fan_out``: a node
-    whose children are at least this share of its pages, and at least ``least_children``, has a
-    variable segment. ``z``: branches whose labelled share differs from their parent's by less
-    than so many standard errors are merged. ``strength``: pseudo-labels of the even prior."""
+    """``fan_out``: a node whose children are at least this share of its pages, and at least
+    ``least_children``, has a variable segment. ``z``: a branch whose shares (of blocked pages among labelled ones, of pages that
+    end in it, of pages that go on with a number) differ from its siblings' by at most so many standard errors is
+    like them, if both have ``least_children`` pages. ``strength``: pseudo-labels that a template gets from its parent, and a host from an even
+    prior. ``reject``: purity below which a template is blocked."""
 
-    depth: int = 4
     fan_out: float = 0.5
     least_children: int = 4
     z: float = 1.96
     strength: float = 2.0
+    reject: float = 0.25
 
 
-ANY, TAIL = "*", "**"
+ANY = "*"
+#: Shares into which the children of a node, and the pages of a variable segment, are dealt.
+SHARES = 16
 
 
 def host_of(url: Column) -> Column:
@@ -61,40 +64,76 @@ def longest_rule(rules: Sequence[UrlRule], result: str) -> Column:
     return out
 
 
+def _masked(segment: Column) -> Column:
+    return F.when(segment.rlike("[0-9]"), F.lit(ANY)).otherwise(segment)
+
+
 def path_templates(paths: DataFrame, settings: TreeSettings) -> DataFrame:
-    """``host``, ``path``, counts ``n``, ``blocked``, ``allowed`` with the ``template`` of each path.
+    """``host``, ``path``, the ``template`` of each path and the template's ``purity``; from counts ``n``, ``blocked``, ``allowed`` by path.
 
     Level by level, a segment is replaced by the name of its branch. A segment with a digit, and
     every child of a node with as many children as pages, is variable. Of the other children,
-    labelled ones whose share of blocked pages is like their parent's are merged into the same
-    wildcard; one that differs, and one without labels, keeps its own branch.
+    those that are like their siblings are merged into the same wildcard: in how many of their pages
+    end there or go on with a number and, where labels can be compared, in how many are blocked. The
+    rest keep branches of their own. Each branch's purity, its share of allowed pages among labelled ones, is drawn
+    to its parent's. A path that is alone in its node goes no further: its other segments stand as they are. The
+    levels end with the last node that two paths share.
     """
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    tree = staged(paths.withColumns({"segments": segments, "template": F.lit("")}), "urls-paths")
-    labelled = F.col("blocked") + F.col("allowed")
-    for level in range(settings.depth):
-        here = tree.filter(F.size("segments") > level)
-        raw = F.get("segments", F.lit(level))
-        children = here.withColumn("segment", F.when(raw.rlike("[0-9]"), F.lit(ANY)).otherwise(raw)).groupBy("host", "template", "segment").agg(
-            *[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")], F.count_distinct(raw).alias("kinds")
+    a, b, s = F.col("allowed"), F.col("blocked"), settings.strength
+    even = paths.groupBy("host").agg(((F.sum(a) + s / 2) / (F.sum(a) + F.sum(b) + s)).alias("purity"))
+    rest = F.filter(F.split("path", "/"), lambda x: x != "")
+    tree = staged(paths.join(even, "host").withColumns({"rest": rest, "template": F.lit("")}), "urls-paths")
+    while not tree.filter(F.size("rest") > 0).isEmpty():
+        raw, after = F.get("rest", F.lit(0)), F.get("rest", F.lit(1))
+        segment = _masked(raw)
+        children = tree.filter(F.size("rest") > 0).groupBy("host", "template", segment.alias("segment")).agg(
+            *[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")], F.count_distinct(raw).alias("kinds"), F.count("*").alias("paths"),
+            F.coalesce(F.sum(F.when(F.size("rest") == 1, F.col("n"))), F.lit(0)).alias("ended"),
+            F.coalesce(F.sum(F.when(after.rlike("[0-9]"), F.col("n"))), F.lit(0)).alias("numbered"), F.max("purity").alias("above"),
         )
         parents = children.groupBy("host", "template").agg(
-            F.sum("n").alias("pages"), F.sum("kinds").alias("fan"), F.sum("blocked").alias("all_blocked"), F.sum(labelled).alias("all_labelled")
-        )
-        share = F.col("all_blocked") / F.nullif("all_labelled", F.lit(0))
-        error = F.sqrt(share * (1 - share) / F.nullif(labelled, F.lit(0)))
-        alike = (labelled > 0) & (F.abs(F.col("blocked") / F.nullif(labelled, F.lit(0)) - share) <= settings.z * error)
+            F.sum("n").alias("pages"), F.sum("kinds").alias("fan"), F.sum("paths").alias("all_paths"), F.sum("blocked").alias("all_blocked"),
+            F.sum(a + b).alias("all_labelled"), F.sum("ended").alias("all_ended"), F.sum("numbered").alias("all_numbered"),
+        ).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+
+        def like(own: Column, size: Column, all_own: Column, all_size: Column) -> Column:
+            """Two shares differ by chance only: a branch's and that of its siblings. NULL where there is nothing to hold it against."""
+            others = all_size - size
+            p = all_own / F.nullif(all_size, F.lit(0))
+            error = F.sqrt(p * (1 - p) * (1 / F.nullif(size, F.lit(0)) + 1 / F.nullif(others, F.lit(0))))
+            return F.abs(own / F.nullif(size, F.lit(0)) - (all_own - own) / F.nullif(others, F.lit(0))) <= settings.z * error
+
+        n, pages = F.col("n"), F.col("pages")
+        same_labels = F.coalesce(like(b, a + b, F.col("all_blocked"), F.col("all_labelled")), F.lit(True))
+        same_shape = like(F.col("ended"), n, F.col("all_ended"), pages) & like(F.col("numbered"), n, F.col("all_numbered"), pages)
+        enough = (n >= settings.least_children) & (pages - n >= settings.least_children)
+        alike = enough & same_labels & same_shape
         variable = (F.col("fan") >= settings.least_children) & (F.col("fan") >= settings.fan_out * F.col("pages"))
-        branch = F.when((F.col("segment") == ANY) | variable | alike, F.lit(ANY)).otherwise(F.col("segment"))
-        names = children.join(parents, ["host", "template"]).select("host", "template", "segment", branch.alias("branch"))
-        moved = (
-            tree.withColumn("segment", F.when(raw.rlike("[0-9]"), F.lit(ANY)).otherwise(raw))
-            .join(names, ["host", "template", "segment"], "left")
-            .withColumn("template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")))
+        branch = F.when(F.col("all_paths") == 1, F.lit(None)).when((F.col("segment") == ANY) | variable | alike, F.lit(ANY)).otherwise(F.col("segment"))
+        dealt = children.withColumn("share", F.pmod(F.xxhash64("segment"), F.lit(SHARES)).cast("int"))
+        named = staged(
+            dealt.join(parents, ["host", "template", "share"])
+            .select("host", "template", "segment", branch.alias("branch"), "allowed", "blocked", "above"),
+            "urls-branches",
         )
-        tree = staged(moved.select(*tree.columns), f"urls-level{level + 1}")
-    deep = F.when(F.size("segments") > settings.depth, F.concat("template", F.lit(f"/{TAIL}"))).otherwise(F.col("template"))
-    return tree.select("host", "path", "n", "blocked", "allowed", deep.alias("template"))
+        purity = ((F.sum(a) + s * F.max("above")) / (F.sum(a) + F.sum(b) + s)).alias("own")
+        pure = named.filter("branch is not null").groupBy("host", "template", "branch").agg(purity)
+        # of a variable segment, which may hold most pages of a host, each share of the pages finds its own row
+        shares = F.when(F.col("segment") == ANY, F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+        names = named.select("host", "template", "segment", "branch").join(pure, ["host", "template", "branch"], "left").withColumn("share", F.explode(shares))
+        share = F.when(F.col("segment") == ANY, F.pmod(F.xxhash64("path"), F.lit(SHARES))).otherwise(0).cast("int")
+        moved = tree.withColumn("segment", segment).withColumn("share", share).join(names, ["host", "template", "segment", "share"], "left")
+        goes_on, alone = F.col("branch").isNotNull(), F.col("branch").isNull() & (F.size("rest") > 0)
+        tail = F.concat(F.lit("/"), F.array_join(F.transform("rest", _masked), "/"))
+        tree = staged(
+            moved.select(
+                "host", "path", "n", "blocked", "allowed", F.when(goes_on, F.col("own")).otherwise(F.col("purity")).alias("purity"),
+                F.when(goes_on, F.expr("slice(rest, 2, size(rest))")).otherwise(F.array().cast("array<string>")).alias("rest"),
+                F.when(goes_on, F.concat("template", F.lit("/"), "branch")).when(alone, F.concat("template", tail)).otherwise(F.col("template")).alias("template"),
+            ),
+            "urls-level",
+        )
+    return tree.select("host", "path", "template", "purity")
 
 
 def judge_urls(
@@ -104,11 +143,10 @@ def judge_urls(
     """The id, ``host``, ``path``, ``rule``, ``verdict``, ``template``, ``purity`` of every page.
 
     A page with a rule gets the rule's verdict, and these verdicts are the labels of the tree. A
-    template's purity is its share of allowed pages among labelled ones, drawn to one half by
-    ``strength`` pseudo-labels; pages without a rule are blocked where it is below one half. A
-    template without labels therefore allows. NULL urls and urls without ``://`` have an empty
-    host and path and fall under no rule. Repeated rows are judged each; an empty table gives no
-    rows; other columns are left aside.
+    page without one is blocked where the purity of its template is below ``reject``, else allowed; so a
+    template without labels follows its nearest labelled ancestors, and a host without any allows. NULL
+    urls and urls without ``://`` have an empty host and path and fall under no rule. Repeated rows
+    are judged each; an empty table gives no rows; other columns are left aside.
     """
     slim = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumns(
         {"rule": longest_rule(rules, "name"), "given": longest_rule(rules, "verdict")}
@@ -117,12 +155,8 @@ def judge_urls(
     paths = slim.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count_if(F.col("given") == "block").alias("blocked"), F.count_if(F.col("given") == "allow").alias("allowed")
     )
-    tree = path_templates(paths, settings)
-    purity = (F.sum("allowed") + settings.strength / 2) / (F.sum("allowed") + F.sum("blocked") + settings.strength)
-    templates = tree.groupBy("host", "template").agg(purity.alias("purity"))
-    by_path = tree.select("host", "path", "template").join(templates, ["host", "template"])
-    learned = F.when(F.col("purity") < 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return slim.join(by_path, ["host", "path"], "left").select(
+    learned = F.when(F.col("purity") < settings.reject, F.lit("block")).otherwise(F.lit("allow"))
+    return slim.join(path_templates(paths, settings), ["host", "path"], "left").select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("given", learned).alias("verdict"), "template", "purity"
     )
 
@@ -139,28 +173,45 @@ def _rule_sql(result: str) -> str:
 
 
 def _level_sql(level: int, s: TreeSettings) -> str:
-    raw = f"segments[{level}]"
+    def like(own: str, size: str, all_own: str, all_size: str) -> str:
+        p, others = f"({all_own}::DOUBLE / nullif({all_size}, 0))", f"nullif({all_size} - {size}, 0)"
+        error = f"sqrt({p} * (1 - {p}) * (1 / nullif({size}, 0)::DOUBLE + 1 / {others}::DOUBLE))"
+        return f"abs({own}::DOUBLE / nullif({size}, 0) - ({all_own} - {own})::DOUBLE / {others}) <= {s.z} * {error}"
+
     return f""", named{level} AS (
-  SELECT *, CASE WHEN len(segments) < {level} THEN NULL WHEN regexp_matches({raw}, '[0-9]') THEN '*' ELSE {raw} END AS segment FROM tree{level - 1}
+  SELECT *, CASE WHEN len(rest) = 0 THEN NULL WHEN regexp_matches(rest[1], '[0-9]') THEN '*' ELSE rest[1] END AS segment FROM tree{level - 1}
 ), children{level} AS (
-  SELECT host, template, segment, sum(n) AS n, sum(blocked) AS blocked, sum(allowed) AS allowed, count(DISTINCT {raw}) AS kinds
+  SELECT host, template, segment, sum(n) AS n, sum(blocked) AS blocked, sum(allowed) AS allowed, count(DISTINCT rest[1]) AS kinds, count(*) AS paths,
+    coalesce(sum(n) FILTER (len(rest) = 1), 0) AS ended, coalesce(sum(n) FILTER (regexp_matches(rest[2], '[0-9]')), 0) AS numbered, max(purity) AS above
   FROM named{level} WHERE segment IS NOT NULL GROUP BY ALL
 ), parents{level} AS (
-  SELECT host, template, sum(n) AS pages, sum(kinds) AS fan, sum(blocked)::DOUBLE / nullif(sum(blocked + allowed), 0) AS share
+  SELECT host, template, sum(n) AS pages, sum(kinds) AS fan, sum(paths) AS all_paths, sum(blocked) AS all_blocked,
+    sum(blocked + allowed) AS all_labelled, sum(ended) AS all_ended, sum(numbered) AS all_numbered
   FROM children{level} GROUP BY ALL
 ), branches{level} AS (
-  SELECT host, template, segment, CASE WHEN segment = '*' OR (fan >= {s.least_children} AND fan >= {s.fan_out} * pages)
-    OR (blocked + allowed > 0 AND abs(blocked::DOUBLE / nullif(blocked + allowed, 0) - share) <= {s.z} * sqrt(share * (1 - share) / nullif(blocked + allowed, 0)))
-    THEN '*' ELSE segment END AS branch
+  SELECT host, template, segment, allowed, blocked, above, CASE WHEN all_paths = 1 THEN NULL
+    WHEN segment = '*' OR (fan >= {s.least_children} AND fan >= {s.fan_out} * pages) THEN '*'
+    WHEN n >= {s.least_children} AND pages - n >= {s.least_children} AND coalesce({like("blocked", "(blocked + allowed)", "all_blocked", "all_labelled")}, TRUE)
+      AND {like("ended", "n", "all_ended", "pages")} AND {like("numbered", "n", "all_numbered", "pages")} THEN '*'
+    ELSE segment END AS branch
   FROM children{level} JOIN parents{level} USING (host, template)
+), pure{level} AS (
+  SELECT host, template, branch, (sum(allowed) + {s.strength} * max(above))::DOUBLE / (sum(allowed) + sum(blocked) + {s.strength})::DOUBLE AS own
+  FROM branches{level} WHERE branch IS NOT NULL GROUP BY ALL
 ), tree{level} AS (
-  SELECT n.host, n.path, n.n, n.blocked, n.allowed, n.segments,
-    CASE WHEN b.branch IS NULL THEN n.template ELSE n.template || '/' || b.branch END AS template
-  FROM named{level} n LEFT JOIN branches{level} b USING (host, template, segment)
+  SELECT n.host, n.path, n.n, n.blocked, n.allowed, coalesce(p.own, n.purity) AS purity,
+    CASE WHEN b.branch IS NOT NULL THEN n.rest[2:] ELSE [] END AS rest,
+    CASE WHEN b.branch IS NOT NULL THEN n.template || '/' || b.branch
+      WHEN len(n.rest) > 0 THEN n.template || '/' || array_to_string(list_transform(n.rest, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END), '/')
+      ELSE n.template END AS template
+  FROM named{level} n LEFT JOIN branches{level} b ON n.host = b.host AND n.template = b.template AND n.segment = b.segment
+  LEFT JOIN pure{level} p ON p.host = b.host AND p.template = b.template AND p.branch = b.branch
 )"""
 
 
 _S = TreeSettings()
+#: Levels that the SQL spells out; the operator goes on as long as two paths share a node.
+SQL_LEVELS = 8
 OP10_SQL = f"""
 WITH parsed AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -168,15 +219,14 @@ WITH parsed AS (
   FROM pages
 ), ruled AS (
   SELECT *, {_rule_sql("name")} AS rule, {_rule_sql("verdict")} AS given FROM parsed
+), paths AS (
+  SELECT host, path, count(*) AS n, count(*) FILTER (given = 'block') AS blocked, count(*) FILTER (given = 'allow') AS allowed FROM ruled GROUP BY host, path
 ), tree0 AS (
-  SELECT host, path, count(*) AS n, count(*) FILTER (given = 'block') AS blocked, count(*) FILTER (given = 'allow') AS allowed,
-    list_filter(string_split(path, '/'), lambda x: x <> '') AS segments, '' AS template
-  FROM ruled GROUP BY host, path
-){"".join(_level_sql(i + 1, _S) for i in range(_S.depth))}, named AS (
-  SELECT host, path, allowed, blocked, CASE WHEN len(segments) > {_S.depth} THEN template || '/**' ELSE template END AS template FROM tree{_S.depth}
-), purity AS (
-  SELECT host, template, (sum(allowed) + {_S.strength / 2})::DOUBLE / (sum(allowed) + sum(blocked) + {_S.strength})::DOUBLE AS purity FROM named GROUP BY ALL
-)
-SELECT page_id, host, path, rule, coalesce(given, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity
-FROM ruled JOIN named USING (host, path) JOIN purity USING (host, template)
+  SELECT host, path, n, blocked, allowed,
+    ((sum(allowed) OVER h) + {_S.strength / 2})::DOUBLE / ((sum(allowed) OVER h) + (sum(blocked) OVER h) + {_S.strength})::DOUBLE AS purity,
+    list_filter(string_split(path, '/'), lambda x: x <> '') AS rest, '' AS template
+  FROM paths WINDOW h AS (PARTITION BY host)
+){"".join(_level_sql(i + 1, _S) for i in range(SQL_LEVELS))}
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN purity < {_S.reject} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+FROM ruled JOIN tree{SQL_LEVELS} USING (host, path)
 """

@@ -55,15 +55,46 @@ def test_rules(frame, urls):
         assert rows[i]["verdict"] == verdict if verdict else rows[i]["verdict"] in ("allow", "block")
 
 
-def test_templates_learn_from_rules(frame):
-    """Pages without a rule go with the ruled pages of their template; a template without labels allows."""
-    pages = [f"http://s.net/{lang}/{i}" for lang in ("es", "fr") for i in range(40)] + [f"http://s.net/{i}/{i + 1}" for i in range(30)] + ["http://t.org/a/1"]
-    found = judge_urls(frame(list(enumerate(pages)), "page_id long, url string")).collect()
-    verdicts = {r["page_id"]: r["verdict"] for r in found}
-    assert all(verdicts[i] == "block" for i in range(80)) and verdicts[110] == "allow"
-    for r in found:
-        if r["rule"] is None:
-            assert r["verdict"] == ("block" if r["purity"] < 0.5 else "allow")
+def judged(frame, pages):
+    return {r["page_id"]: r for r in judge_urls(frame(list(enumerate(pages)), "page_id long, url string")).collect()}
+
+
+def test_pages_without_a_rule_go_either_way(frame):
+    """One host: branches shaped like the blocked ones go with them, others follow what the rules say about the host; a host
+    without labels allows."""
+    blocked = [f"http://s.net/{lang}/item{i}" for lang in ("es", "fr") for i in range(40)]
+    like_them = [f"http://s.net/it/item{i}" for i in range(40)]
+    other = [f"http://t.com/docs/{'x' * (i % 7)}y/part" for i in range(20)] + [f"http://n.org/a/{i}" for i in range(9)]
+    mixed = [f"http://example.com/{'en' if i % 2 else 'de'}/{'list' if i % 2 else f'p{i}'}/z" for i in range(60)]
+    found = judged(frame, blocked + like_them + other + mixed)
+    verdict = lambda rows: {found[i]["verdict"] for i in rows}
+    n = len(blocked)
+    assert verdict(range(n)) == {"block"} and verdict(range(n, n + 40)) == {"block"}
+    assert {found[i]["template"] for i in range(n + 40)} == {"/*/*"} and {found[i]["rule"] for i in range(n, n + 40)} == {None}
+    assert verdict(range(n + 40, n + 69)) == {"allow"}
+    unruled = [r for r in found.values() if r["rule"] is None]
+    assert {r["verdict"] for r in unruled} == {"allow", "block"}
+    assert all(r["verdict"] == ("block" if r["purity"] < 0.25 else "allow") for r in unruled)
+
+
+def test_purity_is_drawn_to_the_parent(frame):
+    """A branch of another shape, without labels, has its host's purity; few labels reject nothing."""
+    pages = [f"http://s.net/es/{i}" for i in range(30)] + [f"http://s.net/about/{'abcdefg'[i % 7]}" for i in range(30)]
+    found = judged(frame, pages)
+    assert found[30]["template"].startswith("/about/") and found[30]["purity"] == pytest.approx(1 / 32)
+    assert found[0]["purity"] == pytest.approx(1 / 32 / 16 / 16)
+    assert {found[i]["verdict"] for i in range(30, 60)} == {"block"}
+    few = judged(frame, ["http://s.net/es/a", "http://s.net/about/b", "http://s.net/c"])
+    assert few[1]["verdict"] == few[2]["verdict"] == "allow" and few[0]["verdict"] == "block"
+
+
+def test_deep_paths(frame):
+    """Branches that differ only at the tenth segment are told apart; the levels end where no two paths go on together."""
+    deep = "/".join("abcdefghi")
+    pages = [f"http://x.org/{deep}/{k}/{i}/tail" for k in ("one", "two") for i in range(30)] + ["http://x.org/" + "/".join("q" * 3000)]
+    found = judged(frame, pages)
+    assert {found[i]["template"] for i in range(60)} == {f"/{deep}/*/*/tail"}
+    assert found[60]["template"] == "/" + "/".join("q" * 3000)
 
 
 def test_repeated_rows_and_empty_table(frame):
