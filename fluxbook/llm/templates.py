@@ -26,12 +26,14 @@ IS_CAPITAL[65:91] = True
 ENDS_SENTENCE = np.zeros(256, bool)
 ENDS_SENTENCE[list(b".!?:\n|")] = True
 NUMBER, UNIT, NAME = U64(1), U64(2), U64(3)
+#: Marks the hash of a window that stands for its own values.
+AS_IS = U64(0xA5A5A5A5A5A5A5A5)
 
 
 @dataclass(frozen=True)
 class TemplateSettings:
     """``width``: words of a window. ``least_words``: how many of them are no placeholders at
-    least. ``share``: part of an item's windows that a text must hold, or ``run`` of them
+    least for a template; windows with fewer are held by their own values. ``share``: part of an item's windows that a text must hold, or ``run`` of them
     (windows of 8 that follow each other: run + 7 words). ``block``: windows of the benchmark
     looked up in one pass over the texts; a larger benchmark takes more passes."""
 
@@ -83,29 +85,35 @@ def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def template_windows(code, value, rows, slot, widths, least: int, n_rows: int, wanted: np.ndarray | None):
+def template_windows(code, value, rows, slot, widths, settings: TemplateSettings, n_rows: int, wanted: np.ndarray | None):
     """Per row lists of window hashes, their places, and their placeholders' values.
 
-    Windows with too few plain words are left out, as they would fit any text. With
-    ``wanted``, sorted hashes, only windows among them are listed.
+    A window with too few plain words would fit any text as a template; it stands for its own values, has
+    no placeholders then, and is left out only where it is a whole short item. With ``wanted``,
+    sorted hashes, only windows among them are listed.
     """
-    hashes, at, sizes = [], [], []
+    hashes, at, sizes, dense = [], [], [], []
     plain = np.concatenate([[0], np.cumsum(~slot)])
     length = np.bincount(rows, minlength=n_rows)
     for width in widths:
         keys, places = windows(code, rows, width)
-        ok = plain[places + width] - plain[places] >= least
+        few = plain[places + width] - plain[places] < settings.least_words
+        ok = np.ones(len(keys), bool)
+        if width == settings.width:
+            keys = np.where(few, windows(value, rows, width)[0] ^ AS_IS, keys)
+        else:
+            ok = ~few
         if wanted is not None:
             near = np.minimum(np.searchsorted(wanted, keys), max(len(wanted) - 1, 0))
             ok &= wanted[near] == keys if len(wanted) else False
-        hashes.append(keys[ok]), at.append(places[ok]), sizes.append(np.full(int(ok.sum()), width))
-    hashes, at, sizes = np.concatenate(hashes), np.concatenate(at), np.concatenate(sizes)
+        hashes.append(keys[ok]), at.append(places[ok]), sizes.append(np.full(int(ok.sum()), width)), dense.append(few[ok])
+    hashes, at, sizes, dense = (np.concatenate(x) for x in (hashes, at, sizes, dense))
     order = np.argsort(at, kind="stable")
-    hashes, at, sizes = hashes[order], at[order], sizes[order]
+    hashes, at, sizes, dense = hashes[order], at[order], sizes[order], dense[order]
     first = np.searchsorted(rows, np.arange(n_rows))
     per_row = np.bincount(rows[at], minlength=n_rows)
     slots = np.concatenate([[0], np.cumsum(slot)])
-    n_slots = slots[at + sizes] - slots[at]
+    n_slots = np.where(dense, 0, slots[at + sizes] - slots[at])
     values = value[slot].view(np.int64)
     taken = np.repeat(slots[at] - np.concatenate([[0], np.cumsum(n_slots)[:-1]]) if len(at) else at, n_slots) + np.arange(int(n_slots.sum()))
     return (
@@ -127,11 +135,11 @@ def _kernel(names: np.ndarray, widths: list[int] | None, settings: TemplateSetti
         if own is None:  # a benchmark: its usual windows, and each short item as a whole
             length = np.bincount(rows, minlength=end - first)
             own = sorted({settings.width} | set(length[(length > 0) & (length < settings.width)].tolist()))
-        made = template_windows(code, value, rows, slot, own, settings.least_words, end - first, wanted)
+        made = template_windows(code, value, rows, slot, own, settings, end - first, wanted)
         if widths is None:
             short = made[3] < settings.width
             if short.any() and len(own) > 1:  # keep of a short item only the window over all its words, of a long one the usual
-                parts = [template_windows(code, value, rows, slot, [w], settings.least_words, end - first, None) for w in own]
+                parts = [template_windows(code, value, rows, slot, [w], settings, end - first, None) for w in own]
                 pick = {w: p for w, p in zip(own, parts)}
                 columns = []
                 for k in range(3):
@@ -166,11 +174,11 @@ def decontaminate(
     Texts and benchmark items become templates. Windows of the benchmark are looked up in every
     whole text; the hits are joined with the items by hash. Along one alignment the placeholders
     must map one to one: an item's value always to the same value of the text, and back. Windows
-    of alignments that break this do not count. A text is contaminated if it holds enough
+    with a placeholder that breaks this do not count. A text is contaminated if it holds enough
     different windows of an item.
 
     NULL and empty texts hold nothing, NULL and empty items are held by nobody, an item shorter
-    than a window is one window of its own, one with fewer than ``least_words`` plain words is
+    than a window is one window of its own; if it has fewer than ``least_words`` plain words as well, it is
     too short to be told and held by nobody; with an empty benchmark all texts are clean. Repeated
     rows and NULL ids are judged each. Other columns are left aside.
     """
@@ -188,16 +196,18 @@ def decontaminate(
     widths = [settings.width] + sorted(r[0] for r in items.filter((F.col("n_words") > 0) & (F.col("n_words") < settings.width)).select("n_words").distinct().collect())
     hashes = item_windows.select("window").distinct()
     passes = max(1, -(-hashes.count() // settings.block))
-    found = None
+    found, row = None, F.monotonically_increasing_id()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
+    if passes > 1:  # all passes read the rows with the numbers that were written once
+        chosen, row = staged(chosen.withColumn("row", row), "template-rows"), F.col("row")
+    kept = [c for c in chosen.columns if c != "text"]
     for k in range(passes):
         part = hashes.filter(F.pmod("window", F.lit(passes)) == k) if passes > 1 else hashes
         wanted = spark.sparkContext.broadcast(np.sort(part.toPandas()["window"].to_numpy(np.int64).view(U64)))
-        one = map_texts(chosen, "text", ["id", "text_hash"], LISTS, lambda wanted=wanted: _kernel(names, widths, settings, wanted.value))
-        # the pass that numbers the rows keeps them all, the others only rows with hits
-        one = staged(one.withColumn("row", F.monotonically_increasing_id()).drop("n_words"), f"template-hits-{k}")
-        found = one if found is None else found.unionByName(one.filter(F.size("windows") > 0))
-    rows = found.groupBy("row").agg(F.first("id").alias("id"), F.first("text_hash").alias("text_hash")) if passes > 1 else found.select("row", "id", "text_hash")
+        one = map_texts(chosen, "text", kept, LISTS, lambda wanted=wanted: _kernel(names, widths, settings, wanted.value))
+        one = staged(one.withColumn("row", row).drop("n_words"), f"template-hits-{k}")
+        found = one if found is None else found.unionByName(one)
+    rows = (found if passes == 1 else chosen).select("row", "id", "text_hash")
     hits = hits_of(found.filter(F.size("windows") > 0), "row").select(
         "row", F.col("h.windows").alias("window"), F.col("h.places").alias("place"), F.col("h.slots").alias("doc_slots")
     )
@@ -206,12 +216,14 @@ def decontaminate(
         "template-aligned",
     )
     along = ["row", "item_row", "shift"]
-    slots = aligned.select(*along, F.explode(F.arrays_zip("doc_slots", "item_slots")).alias("s")).select(*along, "s.doc_slots", "s.item_slots").distinct()
-    torn = slots.groupBy(*along).agg(
-        F.count("*").alias("pairs"), F.count_distinct("doc_slots").alias("of_doc"), F.count_distinct("item_slots").alias("of_item")
-    ).filter((F.col("pairs") > F.col("of_doc")) | (F.col("pairs") > F.col("of_item"))).select(*along)
+    slots = aligned.select(*along, "item_place", F.explode(F.arrays_zip("doc_slots", "item_slots")).alias("s")).select(*along, "item_place", "s.doc_slots", "s.item_slots")
+    pairs = slots.select(*along, "doc_slots", "item_slots").distinct()
+    clash = lambda side: pairs.groupBy(*along, side).count().filter("count > 1").drop("count")
+    torn = slots.join(clash("doc_slots"), [*along, "doc_slots"], "left_semi").unionByName(
+        slots.join(clash("item_slots"), [*along, "item_slots"], "left_semi"), allowMissingColumns=True
+    ).select(*along, "item_place").distinct()
     held = (
-        aligned.join(torn, along, "left_anti").groupBy("row", "item_row")
+        aligned.join(torn, [*along, "item_place"], "left_anti").groupBy("row", "item_row")
         .agg(F.first("item").alias("item"), F.first("n_windows").alias("n_windows"), F.count_distinct("item_place").alias("matched"),
              F.min(F.col("doc_slots") == F.col("item_slots")).alias("same"))
         .filter((F.col("matched") >= settings.run) | (F.col("matched") >= settings.share * F.col("n_windows")))
