@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fluxbook.llm.staging import staged
 from fluxbook.llm.texts import AS_IS, U64, lowered, map_texts, span_hashes, spans_of, text_slices
@@ -20,13 +20,10 @@ IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
 @dataclass(frozen=True)
 class LanguageSettings:
     """``documents``: about how many labelled documents of each language are learned from,
-    chosen by the hashes of their ids. ``words``, ``grams``: the most frequent words and, for
-    each length up to ``longest``, n-grams kept per language; rarer words are what the n-grams
-    are for. ``least``: smallest count that is kept. ``added``: smoothing count."""
+    chosen by the hashes of their ids; all of their words and n-grams up to ``longest`` that have the count ``least`` in a
+    language are known. ``added``: smoothing count."""
 
     documents: int = 4000
-    words: int = 50_000
-    grams: int = 20_000
     longest: int = 4
     least: int = 2
     added: float = 0.5
@@ -129,10 +126,7 @@ def fit_languages(labelled: DataFrame, settings: LanguageSettings) -> LanguageMo
     )
     counts = staged(counts, "lang-counts")
     totals = {(r["lang"], r["length"]): r["n"] for r in counts.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()}
-    place = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.col("n").desc(), "gram"))
-    chosen = counts.filter(F.col("n") >= settings.least).withColumn("place", place).filter(
-        F.col("place") <= F.when(F.col("length") == 0, settings.words).otherwise(settings.grams)
-    ).drop("place").toPandas()
+    chosen = counts.filter(F.col("n") >= settings.least).toPandas()  # bounded by the documents learned from
     tables = {}
     for length in range(settings.longest + 1):
         own = chosen[chosen["length"] == length]
@@ -145,7 +139,7 @@ def fit_languages(labelled: DataFrame, settings: LanguageSettings) -> LanguageMo
 
 
 def _predicting(broadcast):
-    model: LanguageModel = broadcast.value
+    model = LanguageModel(*broadcast.value)
     n = len(model.languages)
 
     def kernel(batch, first, end, data, offsets):
@@ -190,7 +184,9 @@ def predict_language(
     labelled = docs.filter(F.coalesce(learned, F.lit(False)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    model = docs.sparkSession.sparkContext.broadcast(fit_languages(labelled, settings))
+    model = fit_languages(labelled, settings)
+    # plain arrays: workers need no class of this package to read them
+    model = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))
     added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return map_texts(docs, text_col, [id_col], added, lambda: _predicting(model))
 
