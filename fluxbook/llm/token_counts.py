@@ -87,6 +87,8 @@ def _counting(tokenizer: str, huge: int):
     library.no_truncation()
     library.no_padding()
     encode = lambda texts: library.encode_batch(texts, add_special_tokens=False)
+    # spaces are sure places, and chunks can be spliced, with a byte-level pre-tokeniser on the text as it is
+    plain = type(library.pre_tokenizer).__name__ == "ByteLevel" and library.normalizer is None
     memo = {"hashes": np.zeros(0, U64), "tokens": np.zeros(0, np.int64)}
 
     def counted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -113,9 +115,9 @@ def _counting(tokenizer: str, huge: int):
     def kernel(batch, first, end, data, offsets):
         n_bytes = np.diff(offsets)
         n_tokens = np.zeros(len(n_bytes), np.int64)
-        small = n_bytes <= huge
+        small = (n_bytes <= huge) | (not plain)
         if small.any():
-            starts = np.sort(np.concatenate([offsets[:-1][n_bytes > 0], _cuts(data, offsets)]))
+            starts = np.sort(np.concatenate([offsets[:-1][n_bytes > 0], _cuts(data, offsets) if plain else offsets[:0]]))
             ends = np.append(starts[1:], len(data))
             rows = np.searchsorted(offsets, starts, "right") - 1
             own = small[rows]
@@ -133,7 +135,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     ``tokenizer`` is the path of a file that the executors have too. Texts are cut where a
     pre-token surely starts and each different piece is encoded once per task, or, if they are
-    huge, encoded in chunks. NULL and empty texts have no tokens; repeated rows are counted each;
+    huge, encoded in chunks; with a tokenizer whose pre-tokeniser is not byte-level or that normalises texts, each text is
+    encoded as a whole. NULL and empty texts have no tokens; repeated rows are counted each;
     an empty table gives no rows; other columns are left aside.
     """
     added = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])

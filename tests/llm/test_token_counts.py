@@ -11,8 +11,8 @@ from fluxbook.llm.token_counts import count_tokens
 FILE = "byte_bpe_50k.json"
 
 
-def expected(texts):
-    library = Tokenizer.from_file(public_tokenizers.path(FILE))
+def expected(texts, file=FILE):
+    library = Tokenizer.from_file(public_tokenizers.path(file))
     library.no_truncation()
     library.no_padding()
     return [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
@@ -35,5 +35,13 @@ def test_marks_spaces_and_special_strings(frame, huge):
     assert [found[i] for i in range(len(texts))] == expected(texts)
 
 
+def test_other_tokenizers_read_whole_texts(documents, corpus):
+    """One that drops white space and lowers case: no place in a text is sure."""
+    file = "word_bpe_49k.json"
+    found = count_tokens(documents, public_tokenizers.path(file), huge=300).collect()
+    wanted = [(r[0], n) for r, n in zip(corpus, expected([r[1] for r in corpus], file))]
+    assert sorted([(r["doc_id"], r["n_tokens"]) for r in found], key=str) == sorted(wanted, key=str)
+
+
 def test_empty(no_documents):
     assert count_tokens(no_documents, public_tokenizers.path(FILE)).collect() == []
