@@ -411,3 +411,67 @@ def op11_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
             F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
         )
     )
+
+
+#: The inserts that lead from a state to another, and what a row of some initial, or a row given another role, leads to.
+_INSERTS = ", ".join(
+    f"({a}, {b}, '{'I' * len(roles)}', '{''.join(r + ':' + chr(10) for r in roles)}')"
+    for a, b, roles in [
+        (0, 0, ()), (0, 2, ("user",)), (0, 3, ("user", "assistant")), (1, 1, ()), (1, 2, ("user",)), (1, 3, ("user", "assistant")),
+        (2, 2, ()), (2, 3, ("assistant",)), (2, 2, ("assistant", "user")), (3, 3, ()), (3, 2, ("user",)), (3, 3, ("user", "assistant")),
+    ]
+)
+OP11_SQL = rf"""
+WITH RECURSIVE named AS (
+  SELECT row_number() OVER () AS id, conv_id, coalesce(conv_id::VARCHAR, 'none') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+), bits AS (  -- of each character its code, and then eight shifts
+  SELECT *, flatten(list_transform(string_split(name, ''), lambda c: [ascii(c)::UBIGINT] || list_transform(range(8), lambda i: 256::UBIGINT))) AS steps FROM named
+), hurt AS (
+  SELECT *, xor(list_reduce([4294967295::UBIGINT] || steps,
+    lambda a, b: CASE WHEN b < 256 THEN xor(a, b) ELSE xor(a >> 1, 3988292384::UBIGINT * (a & 1)) END), 4294967295::UBIGINT) % 20 AS fault
+  FROM bits
+), rows AS (
+  SELECT key, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hurt WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM rows
+), seen AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY key, role, text ORDER BY pos) > 1 AS duplicate FROM placed
+), judged AS (
+  SELECT *, NOT blank AND NOT duplicate AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+    left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY key ORDER BY pos), 1) AS before, lag(pos) OVER (PARTITION BY key ORDER BY pos) IS NOT NULL AS later
+  FROM seen
+), counts AS (
+  SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (later AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY key
+), inserts(state, ready, letters, lines) AS (VALUES {_INSERTS}
+), keeps(initial, ready, after) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)
+), reroles(role, ready, after) AS (VALUES ('user', 0, 2), ('user', 1, 2), ('assistant', 2, 3), ('user', 3, 2)
+), steps AS (  -- what a row may become behind a state: cost, letter, line
+  SELECT key, pos, ready, after, CASE WHEN truncated THEN 3 ELSE 0 END AS cost, 'K' AS letter, role || ':' || text || chr(10) AS line
+  FROM judged JOIN keeps USING (initial) WHERE NOT blank AND NOT duplicate
+  UNION ALL SELECT key, pos, ready, after, CASE WHEN truncated THEN 6 ELSE 3 END, 'R', r.role || ':' || text || chr(10)
+  FROM judged, reroles r WHERE NOT blank AND NOT duplicate
+  UNION ALL SELECT key, pos, state, state, 4, 'D', '' FROM judged, (VALUES (0), (1), (2), (3)) s(state)
+), best AS (
+  SELECT key, 0::BIGINT AS pos, 0 AS state, {{'cost': 0, 'audit': '', 'lines': ''}} AS own FROM counts
+  UNION ALL
+  SELECT b.key, s.pos, s.after, min({{'cost': b.own.cost + 3 * len(i.letters) + s.cost, 'audit': b.own.audit || i.letters || s.letter, 'lines': b.own.lines || i.lines || s.line}})
+  FROM best b JOIN inserts i ON i.state = b.state JOIN steps s ON s.key = b.key AND s.pos = b.pos + 1 AND s.ready = i.ready
+  GROUP BY b.key, s.pos, s.after
+), ended AS (
+  SELECT b.key, min({{'cost': b.own.cost + 3 * len(i.letters), 'audit': b.own.audit || i.letters, 'lines': b.own.lines || i.lines}}) AS own
+  FROM best b JOIN counts c ON c.key = b.key AND c.n = b.pos JOIN inserts i ON i.state = b.state AND i.ready IN (0, 3) AND (i.ready = 3 OR i.state = 0) GROUP BY b.key
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(own.cost, 0)::BIGINT AS cost, coalesce(own.audit, '') AS audit,
+  sha256(coalesce(left(own.lines, greatest(len(own.lines) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM named) LEFT JOIN counts USING (key) LEFT JOIN ended USING (key)
+"""

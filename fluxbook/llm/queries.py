@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluxbook.llm.conversations import op11_repair_conversations
+from fluxbook.llm.conversations import OP11_SQL, op11_repair_conversations
 from fluxbook.llm.divergence import OP12_SQL, op12_source_divergence
 from fluxbook.llm.language import op6_language_id
 from fluxbook.llm.mixing import OP1_SQL, op1_mix_sources
@@ -35,5 +35,6 @@ ORACLES = {
     "op1_mix_sources": OP1_SQL,
     "op3_secret_scan": OP3_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_repair_conversations": OP11_SQL,
     "op12_source_divergence": OP12_SQL,
 }

@@ -6,9 +6,10 @@ import re
 import zlib
 
 import pytest
+from compare import compare, connect
 from pyspark.sql import functions as F
 
-from fluxbook.llm.conversations import damage_conversations, op11_repair_conversations, repair_conversations, repair_digests
+from fluxbook.llm.conversations import OP11_SQL, damage_conversations, op11_repair_conversations, repair_conversations, repair_digests
 
 ROWS = "conv_id long, turn long, role string, text string"
 FORM = re.compile(r"(s?(ua)+)?")
@@ -107,8 +108,9 @@ def test_against_search(frame, hard_rows, folder):
     names = ("conv_id", "turn", "role", "text")
     types = (pa.int64(), pa.int64(), pa.string(), pa.string())
     path = folder(conversations=pa.table({n: pa.array([r[i] for r in hard_rows], t) for i, (n, t) in enumerate(zip(names, types))}))
-    got = found(op11_repair_conversations(frame([], ROWS).sparkSession, path))
-    assert got == wanted(hard_rows, damaged(hard_rows))
+    query = op11_repair_conversations(frame([], ROWS).sparkSession, path)
+    assert found(query) == wanted(hard_rows, damaged(hard_rows))
+    assert compare(query, connect(path), OP11_SQL) is None
 
 
 @pytest.mark.parametrize("run,fan", [(1, 2), (4, 3), (7, 2)])
