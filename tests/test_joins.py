@@ -6,8 +6,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from checks import registry
+from checks.relations import TRADE, trade
 from fluxbook.operators import joins, scenarios as sc
 from fluxbook.operators.series import Currencies, currency_deflators, currency_rates, deflate, deflate_between
+from fluxbook.plans import scenario_reports as sr
 
 
 @pytest.fixture
@@ -101,13 +104,14 @@ def test_missing_rates_give_null(frame, rates, table_rows):
     assert deflate_between(flows.limit(0), rates, [Currencies()]).collect() == []
 
 
-@pytest.mark.parametrize("key", ["inflow_scenarios", "oda_scenarios"])
-def test_factors_are_read_once(spark, key):
+@pytest.mark.parametrize("build", [
+    lambda t: registry._inflow_scenarios(t),
+    lambda t: sr.aid_scenarios(t.aid, t.isos, registry._factors(t), TRADE, (sc.SCENARIO_2, registry.SCENARIO_3)),
+])
+def test_factors_are_read_once(spark, build):
     """Each donor's multipliers come in one row: the final plan makes those rows once (partial and final sum), from
     one scan for the projections and one for their deflators, beside the one of the facts."""
-    from checks.registry import QUERIES
-
-    df = QUERIES[key](spark, "/root/testdata/sf0.001")
+    df = build(trade(spark, "/root/testdata/sf0.001"))
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
     assert sum("collect_list" in line for line in final) == 2
