@@ -20,6 +20,8 @@ IN_TERM[65:91] = IN_TERM[97:123] = IN_TERM[128:] = True
 SLICE = 8 << 20
 #: Pairs of a node and an ancestor that are worked on at once.
 PAIRS = 1 << 20
+#: Nodes at the beginning of a path that say which range it is in.
+RANGED = 6
 #: Shares of a language's sources and counts among tasks.
 SALTS = 32
 
@@ -164,7 +166,9 @@ def pair_values(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """
     path = F.array_sort(F.collect_list(F.struct("place", "n", "p", "p0"))).alias("path")
     paths = counts.groupBy("lang", "term").agg(path).groupBy("lang", "path").agg(F.count("*").alias("times"))
-    tree = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").mapInArrow(_tree, "lang string, a long, b long, value long")
+    # ranges go by a path's beginning, so that what is sampled for their bounds stays small
+    begin = F.transform(F.slice("path", 1, RANGED), lambda x: F.struct(x["place"], x["n"]))
+    tree = paths.repartitionByRange("lang", begin).sortWithinPartitions("lang", "path").mapInArrow(_tree, "lang string, a long, b long, value long")
     alone = (
         counts.groupBy("lang", "place", "p", "p0").agg(F.count("*").alias("times")).select("lang", "place", "p", "p0", "times", F.lit(False).alias("base"))
         .unionByName(groups.select("lang", "place", F.col("p0").alias("p"), "p0", F.col("kinds").alias("times"), F.lit(True).alias("base")))
