@@ -5,8 +5,9 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from fluxbook.llm.quality_rules import ForestSettings, anomaly, average_path, features, fit, grow_forest, judge_quality, rule_statistics
+from fluxbook.llm.quality_rules import COUNTS, ForestSettings, anomaly, average_path, dealt, features, fit, grow_forest, judge_quality, parts_of, rule_statistics
 
 
 def brute(text):
@@ -98,3 +99,54 @@ def test_verdict_by_loops(frame):
     assert sum(not r["kept"] for i, r in judged.items() if i % 10 > 1) <= 0.05 * len(judged)
     again = labels * 3 + [(i, 1, 0) for i in bad] + [(None, 0, 0), (5, None, 0)]
     assert {i: r["kept"] for i, r in judged.items()} == {r["doc_id"]: r["kept"] for r in judge_quality(docs, frame(again, schema), settings=settings).collect()}
+
+
+def counted(spark, n):
+    """Statistics of ``n`` rows and labels of all but each third; every 40th row is bad, and a few good ones look like it."""
+    draw = lambda k, most: f"pmod(xxhash64(id, {k}), {most})"
+    rows = spark.range(n).selectExpr("id AS doc_id", f"20 + {draw(1, 300)} AS n_words", f"CAST(id % 40 = 0 AS int) * 4 + CAST({draw(2, 2000)} = 0 AS int) AS odd")
+    statistics = rows.withColumnRenamed("doc_id", "id").selectExpr(
+        "id AS doc_id", "n_words", f"n_words * 5 + {draw(3, 60)} AS word_chars", f"{draw(4, 6)} + odd * {draw(5, 90)} AS n_symbols", f"{draw(6, 2)} AS n_dup_lines",
+        "0L AS n_repeat_words", f"{draw(7, 30)} AS n_upper", f"{draw(8, 30)} + odd * {draw(9, 200)} AS n_marks", f"n_words - {draw(10, 20)} AS n_kinds", "12L AS n_lines",
+    )
+    return statistics, rows.filter("doc_id % 3 > 0").selectExpr("doc_id", "CAST(doc_id % 40 > 0 AS int) AS quality")
+
+
+def test_all_rows_are_learned_from(spark):
+    """No row is left out: more rows than any sample, and forest and threshold are those of all of them."""
+    statistics, labels = counted(spark, 36_000)
+    settings = ForestSettings(trees=30)
+    forest, limit, size = fit(statistics.repartition(5), labels, "doc_id", settings)
+    rows = statistics.join(labels, "doc_id", "left").toPandas()
+    points = features({c: rows[c].to_numpy() for c in rows})
+    # the threshold: over all labelled rows, each score as a limit
+    score, quality = anomaly(forest, points, size), rows["quality"].to_numpy()
+    limits, where = np.unique(score, return_inverse=True)
+    good, bad = (np.bincount(where, quality == q, len(limits))[::-1].cumsum()[::-1] for q in (1, 0))
+    gain = bad / bad[0] - settings.good_cost * good / good[0]
+    assert good[0] + bad[0] == 24_000 and gain.max() > 0 and limit == limits[np.flatnonzero(gain == gain.max())[-1]]
+    # the trees: the rows of each, dealt once a round, are in its leaves and on both sides of its splits
+    hashes = statistics.select("doc_id", F.xxhash64("doc_id", *COUNTS, F.lit(settings.seed)).alias("h")).toPandas().set_index("doc_id")["h"]
+    places, trees = dealt(hashes.loc[rows["doc_id"]].to_numpy().view(np.uint64), parts_of(len(rows), settings), settings.trees)
+    assert sorted(places) == list(range(len(rows))) and set(trees) == set(range(settings.trees))
+    for t, (feature, split, left, length) in enumerate(forest):
+        inside = {0: (points[places[trees == t]], 0)}
+        for node in range(len(feature)):
+            own, depth = inside[node]
+            if feature[node] < 0:
+                assert length[node] == depth + average_path(len(own))
+            else:
+                column = own[:, feature[node]]
+                assert column.min() <= split[node] <= column.max()
+                for side in range(2):
+                    inside[left[node] + side] = (own[(column >= split[node]) == side], depth + 1)
+    alike = grow_forest(points, settings, hashes.loc[rows["doc_id"]].to_numpy().view(np.uint64))
+    assert all(np.array_equal(a, b) for one, two in zip(forest, alike) for a, b in zip(one, two))
+
+
+def test_few_rows_go_to_every_tree(spark):
+    statistics, labels = counted(spark, 200)
+    forest, limit, size = fit(statistics, labels, "doc_id", ForestSettings(trees=5))
+    assert size == 200 and len(forest) == 5
+    assert fit(statistics, labels.filter("quality = 0"), "doc_id", ForestSettings(trees=5)) is None
+    assert fit(statistics.limit(0), labels, "doc_id", ForestSettings(trees=5)) is None
